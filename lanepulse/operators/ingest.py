@@ -62,37 +62,29 @@ def flatten_readings(docs: DataFrame) -> DataFrame:
     return type_lanes(explode_lanes(explode_detectors(explode_periods(docs))))
 
 
+def _size(array: Column) -> Column:
+    return F.greatest(F.coalesce(F.size(array), F.lit(0)), F.lit(0)).cast("long")
+
+
+def _sum_over(array: Column, weight) -> Column:
+    none = F.lit(0).cast("long")
+    return F.coalesce(F.aggregate(array, none, lambda total, item: total + weight(item)), none)
+
+
 def fanout_counts(docs: DataFrame) -> DataFrame:
-    """Rows at every nesting level, added up from array sizes in one pass."""
-    def size_of(array):
-        return F.coalesce(F.size(array), F.lit(0)).cast("long")
-
-    def total(array, weight):
-        return F.aggregate(
-            F.coalesce(array, F.array().cast(schemas_of[weight.__name__])),
-            F.lit(0).cast("long"), lambda acc, item: acc + weight(item),
-        )
-
-    def lanes(detector):
-        return F.greatest(size_of(detector["lanes"]["lane"]), F.lit(0))
-
-    def detectors(period):
-        return F.greatest(size_of(period["detectors"]["detector"]), F.lit(0))
-
-    def lanes_of_period(period):
-        return F.coalesce(
-            F.aggregate(period["detectors"]["detector"], F.lit(0).cast("long"), lambda a, d: a + lanes(d)),
-            F.lit(0).cast("long"),
-        )
-
-    period_type = docs.schema["periods"].dataType["period"].dataType
-    schemas_of = {"detectors": period_type, "lanes_of_period": period_type}
+    """Rows after every explode, added up from array sizes in one pass without exploding."""
+    def lanes_of(detectors):
+        return _sum_over(detectors, lambda detector: _size(detector["lanes"]["lane"]))
+
     periods = F.col("periods.period")
+    levels = {
+        "periods": _size(periods),
+        "detectors": _sum_over(periods, lambda period: _size(period["detectors"]["detector"])),
+        "lanes": _sum_over(periods, lambda period: lanes_of(period["detectors"]["detector"])),
+    }
     return docs.agg(
         F.count(F.lit(1)).alias("documents"),
-        F.coalesce(F.sum(F.greatest(size_of(periods), F.lit(0))), F.lit(0)).alias("periods"),
-        F.coalesce(F.sum(total(periods, detectors)), F.lit(0)).alias("detectors"),
-        F.coalesce(F.sum(total(periods, lanes_of_period)), F.lit(0)).alias("lanes"),
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(level) for level, n in levels.items()],
     )
 
 

@@ -424,5 +424,164 @@ def _rush() -> dict[str, str]:
     return forms | {f"{name}_sql": text for name, text in forms.items()}
 
 
+LANES = """
+doc_periods AS (SELECT *, 0 AS p FROM events UNION ALL SELECT *, 1 AS p FROM events WHERE event_id % 5 = 0),
+doc_detectors AS (SELECT *, 0 AS d FROM doc_periods
+                  UNION ALL SELECT *, 1 AS d FROM doc_periods WHERE event_id % 4 = 0),
+doc_lanes AS (SELECT *, 'Fast Lane' AS lane_id FROM doc_detectors
+              UNION ALL SELECT *, 'Slow Lane' AS lane_id FROM doc_detectors WHERE d = 0 AND event_id % 3 = 0),
+k AS (SELECT *, json_extract_string(props, '$.k') AS k, strftime(ts, '%Y-%m-%d') AS day,
+             strftime(ts + p * INTERVAL 30 SECOND, '%H:%M:%S') AS time_from,
+             strftime(ts + p * INTERVAL 30 SECOND + INTERVAL 30 SECOND, '%H:%M:%S') AS time_to,
+             concat('AID', lpad(CAST(user_id + 1000 * d AS VARCHAR), 5, '0')) AS detector_id FROM doc_lanes),
+flat AS (SELECT detector_id, event_type AS direction, lane_id, CAST(k AS INT) AS occupancy,
+                CASE WHEN lane_id = 'Fast Lane' THEN CAST(floor(value) AS INT)
+                     WHEN event_id % 9 <> 0 THEN CAST(k AS INT) END AS speed,
+                CAST(event_id % 131 AS INT) AS volume,
+                (event_id % 17) * CAST(0.5 AS DOUBLE) AS standard_deviation,
+                CASE WHEN event_id % 67 = 0 THEN 'N' ELSE 'Y' END AS valid,
+                day || ' ' || time_from AS period_from, day || ' ' || time_to AS period_to, day AS date FROM k),
+places AS (SELECT concat('AID', lpad(CAST(s_suppkey AS VARCHAR), 5, '0')) AS AID_ID_Number,
+                  concat('Road ', CAST(s_nationkey AS VARCHAR)) AS Road_EN,
+                  CASE WHEN s_nationkey % 2 = 0 THEN 'Central and Western' ELSE 'Southern' END AS District
+           FROM supplier)
+"""
+
+
+def _lanes(body: str) -> str:
+    return f"WITH {LANES}\n{body}"
+
+
+def _ingest() -> dict[str, str]:
+    located = _lanes("SELECT flat.*, District, Road_EN FROM flat LEFT JOIN places ON detector_id = AID_ID_Number")
+    times = "day AS date, time_from AS period_from, time_to AS period_to"
+    return {
+        "exploded_periods": _lanes(f"SELECT {times} FROM k WHERE d = 0 AND lane_id = 'Fast Lane'"),
+        "exploded_detectors": _lanes(
+            f"SELECT {times}, detector_id, event_type AS direction FROM k WHERE lane_id = 'Fast Lane'"),
+        "flatten_readings": _lanes("SELECT * FROM flat"),
+        "fanout_counts": _lanes(
+            "SELECT (SELECT count(*) FROM events) AS documents, (SELECT count(*) FROM doc_periods) AS periods, "
+            "(SELECT count(*) FROM doc_detectors) AS detectors, (SELECT count(*) FROM doc_lanes) AS lanes"),
+        "xml_readings": _lanes("SELECT * FROM flat"),
+        "xml_period_rows": _lanes(
+            "SELECT time_from AS period_from, time_to AS period_to, detector_id, event_type AS direction, lane_id, "
+            "CASE WHEN lane_id = 'Fast Lane' THEN CAST(CAST(floor(value) AS INT) AS VARCHAR) "
+            "WHEN event_id % 9 = 0 THEN 'abc' ELSE k END AS speed FROM k"),
+        "located_readings": located,
+        "streamed_readings": located,
+        "located_observations": _with(f"SELECT {OBS_ROW} FROM obs"),
+    }
+
+
+def _storage() -> dict[str, str]:
+    key = "concat_ws('|', detector_id::VARCHAR, lane_id, occupancy::VARCHAR, volume::VARCHAR)"
+    descriptive = _descriptive()
+    k = "json_extract_string(props, '$.k')"
+    return {
+        "csv_good_rows": (
+            f"SELECT event_id, event_type, CAST({k} AS INT) AS occupancy FROM events WHERE event_id % 101 <> 0"),
+        "csv_quarantine": (
+            "SELECT concat(event_id::VARCHAR, ',', event_type, ',many') AS line FROM events "
+            "WHERE event_id % 101 = 0"),
+        "text_line_count": "SELECT count(*) AS lines FROM events",
+        "parquet_by_month": (
+            "SELECT l_suppkey AS detector_id, l_returnflag AS lane_id, "
+            "CAST((l_partkey * 7 + l_linenumber) % 121 AS INT) AS speed, CAST(l_quantity AS INT) AS volume, "
+            f"{_day('l_shipdate', 'date')}, CAST(hour(l_shipdate) AS INT) AS hour, "
+            "strftime(l_shipdate, '%Y%m') AS month FROM lineitem WHERE year(l_shipdate) = 1996"),
+        "csv_by_date": _with(
+            f"SELECT detector_id, lane_id, occupancy, speed, volume, {_day('date', 'date')} FROM readings"),
+        "compacted_by_date": _with(f"SELECT {ROW} FROM readings"),
+        "exported_summary": descriptive["district_stats"],
+        "stored_lane_stats": descriptive["lane_stats"],
+        "dataset_rows": "SELECT count(*) AS total_records, true AS has_bytes FROM lineitem",
+        "key_sample": _with(
+            f"SELECT {ROW} FROM readings WHERE CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % 10000 < 1000"),
+    }
+
+
+TIMING_ROWS = """
+timings AS (
+  SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, concat(CAST(user_id % 4 + 1 AS VARCHAR), '_month') AS dataset_size,
+         user_id * 1000 AS data_size_bytes, event_id AS total_records, event_type AS tool,
+         CASE event_id % 6 WHEN 0 THEN 'Initialize' WHEN 1 THEN 'Read Data' WHEN 2 THEN 'Clean Data'
+              WHEN 3 THEN 'Execute Analysis' WHEN 4 THEN 'Cleanup' ELSE 'Total Execution' END AS phase,
+         floor(value * 4) / 4 AS duration_seconds, event_id % 1000 AS records_processed,
+         CASE WHEN event_id % 97 = 0 THEN 'FAILED: lost task' ELSE 'done' END AS details
+  FROM events),
+totals AS (SELECT * FROM timings WHERE phase = 'Total Execution')
+"""
+
+
+def _timings() -> dict[str, str]:
+    def over(body):
+        return f"WITH {TIMING_ROWS}\n{body}"
+
+    mean = _avg("duration_seconds", "avg_seconds")
+    everything = over("SELECT * FROM timings")
+    tools = ("click", "error", "purchase", "signup", "view")
+    pivot = ", ".join(f"round(avg(duration_seconds) FILTER (tool = '{t}'), 6) AS {t}" for t in tools)
+    return {
+        "timing_average_by_tool": over(f"SELECT tool, {mean} FROM totals GROUP BY tool"),
+        "timing_average_by_phase": over(
+            f"SELECT tool, phase, {mean} FROM timings WHERE phase <> 'Total Execution' GROUP BY ALL"),
+        "timing_recent_totals": over(
+            "SELECT timestamp, tool, duration_seconds FROM totals "
+            "WHERE CAST(timestamp AS DATE) >= DATE '2024-01-31' - INTERVAL 7 DAY"),
+        "timing_dataset_by_tool": over(f"SELECT dataset_size, {pivot} FROM totals GROUP BY dataset_size"),
+        "timing_phase_share": over(
+            "SELECT t.*, total_seconds, round(duration_seconds / total_seconds * 100, 6) AS percentage FROM "
+            "(SELECT dataset_size, tool, phase, sum(duration_seconds) AS duration_seconds FROM timings "
+            "WHERE phase <> 'Total Execution' GROUP BY ALL) t LEFT JOIN "
+            "(SELECT dataset_size, tool, sum(duration_seconds) AS total_seconds FROM totals GROUP BY ALL) "
+            "USING (dataset_size, tool)"),
+        "timing_speedup": over(
+            "SELECT dataset_size, tool, round(s, 6) AS avg_seconds, "
+            "first(tool) OVER w AS fastest_tool, round(s / first(s) OVER w, 6) AS times_fastest "
+            "FROM (SELECT dataset_size, tool, avg(duration_seconds) AS s FROM totals GROUP BY ALL) "
+            "WINDOW w AS (PARTITION BY dataset_size ORDER BY s, tool "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
+        "timing_failed_runs": over(
+            "SELECT tool, dataset_size, details FROM timings WHERE contains(details, 'FAILED')"),
+        "timing_run_phases": over(
+            "SELECT phase, duration_seconds, details FROM timings WHERE tool = 'view' "
+            "AND dataset_size = '2_month' AND phase <> 'Total Execution'"),
+        "timing_parquet": everything,
+        "timing_csv": everything,
+    }
+
+
+def _rollup() -> dict[str, str]:
+    keys = (
+        f"{_day('date', 'date')}, hour, detector_id, direction, lane_id, Road_EN, District, "
+        "GeometryEasting, GeometryNorthing"
+    )
+    figures = ["count(*) AS n_rows"]
+    for c in ("speed", "volume", "occupancy"):
+        total = f"sum({c})" if c == "speed" else f"CAST(sum({c}) AS BIGINT)"
+        figures += [
+            f"count({c}) AS {c}_n", f"{total} AS {c}_sum", _r(f"var_pop({c}) * count({c})", f"{c}_m2"),
+            f"min({c}) AS {c}_min", f"max({c}) AS {c}_max",
+        ]
+    figures += [
+        f"{SEVERE} AS severe_n", f"{MODERATE} AS moderate_n",
+        "count(*) FILTER (regime_a = 'Free Flow') AS free_flow_n",
+        "count(*) FILTER (regime_a = 'Synchronized Flow') AS synchronized_n",
+        "count(*) FILTER (regime_a = 'Wide Moving Jam') AS jam_n",
+    ]
+    base = _temporal() | _spatial()
+    same = (
+        "hourly_profile", "weekday_weekend_comparison", "road_congestion_severity", "lane_speed",
+        "top10_most_congested_roads", "geospatial_data",
+    )
+    return {"hourly_rollup": _group("clean", keys, ", ".join(figures))} | {
+        f"{name}_from_rollup": base[name] for name in same
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return _descriptive() | _quality() | _temporal() | _spatial() | _flow() | _rush()
+    return (
+        _descriptive() | _quality() | _temporal() | _spatial() | _flow() | _rush() | _ingest() | _storage()
+        | _timings() | _rollup()
+    )

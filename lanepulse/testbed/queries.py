@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanepulse.functions import fixed_values as V
-from lanepulse.operators import descriptive, flow, ingest, quality, rush, spatial, temporal
-from lanepulse.testbed import tables
+from lanepulse.operators import (
+    descriptive, flow, ingest, quality, rush, sampling, spatial, temporal, timings,
+)
+from lanepulse.plans.rollup import hourly_rollup
+from lanepulse.plans.suite import FROM_ROLLUP
+from lanepulse.sinks import tables as sinks
+from lanepulse.sources import shared, xml
+from lanepulse.sources import tables as sources
+from lanepulse.streaming.ingest import ingest_new_files
+from lanepulse.testbed import documents, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -128,5 +136,219 @@ def _rush() -> dict[str, Query]:
     }
 
 
+# --- ingest ---------------------------------------------------------------
+
+TYPED = (
+    "detector_id", "direction", "lane_id", "occupancy", "speed", "volume", "standard_deviation", "valid",
+    "period_from", "period_to", "date",
+)
+
+
+def _xml_files(spark, sf_dir) -> str:
+    """The documents as XML files in the shared folder."""
+    path = shared.new_path(spark, "xml")
+    rows = documents.documents(spark, sf_dir)
+    rows.write.format("xml").option("rowTag", xml.ROW_TAG).option("rootTag", "readings").save(path)
+    return path
+
+
+def exploded_periods(spark, sf_dir):
+    periods = ingest.explode_periods(documents.documents(spark, sf_dir))
+    return periods.select("date", "period.period_from", "period.period_to")
+
+
+def exploded_detectors(spark, sf_dir):
+    periods = ingest.explode_periods(documents.documents(spark, sf_dir))
+    return ingest.explode_detectors(periods).select(
+        "date", "period_from", "period_to", "detector.detector_id", "detector.direction")
+
+
+def flatten_readings(spark, sf_dir):
+    return plain(ingest.flatten_readings(documents.documents(spark, sf_dir)))
+
+
+def xml_readings(spark, sf_dir):
+    good, _ = xml.good_and_corrupt(xml.read_documents(spark, _xml_files(spark, sf_dir)))
+    return plain(ingest.flatten_readings(good).select(*TYPED))
+
+
+def xml_period_rows(spark, sf_dir):
+    good, _ = xml.good_and_corrupt(xml.read_periods(spark, _xml_files(spark, sf_dir)))
+    lanes = ingest.explode_lanes(ingest.explode_detectors(good))
+    return lanes.select("period_from", "period_to", "detector_id", "direction", "lane.lane_id", "lane.speed")
+
+
+def located_readings(spark, sf_dir):
+    readings = ingest.flatten_readings(documents.documents(spark, sf_dir))
+    places = ingest.canonical_locations(documents.detector_locations(spark, sf_dir))
+    return plain(ingest.join_locations(readings, places))
+
+
+def streamed_readings(spark, sf_dir):
+    table, quarantine, checkpoint = (shared.new_path(spark, n) for n in ("table", "quarantine", "stream"))
+    places = ingest.canonical_locations(documents.detector_locations(spark, sf_dir))
+    ingest_new_files(spark, _xml_files(spark, sf_dir), places, table, quarantine, checkpoint, 4)
+    return plain(spark.read.parquet(table).select(*TYPED, "District", "Road_EN"))
+
+
+def _ingest() -> dict[str, Query]:
+    return {
+        "exploded_periods": exploded_periods,
+        "exploded_detectors": exploded_detectors,
+        "flatten_readings": flatten_readings,
+        "fanout_counts": lambda spark, sf_dir: ingest.fanout_counts(documents.documents(spark, sf_dir)),
+        "xml_readings": xml_readings,
+        "xml_period_rows": xml_period_rows,
+        "located_readings": located_readings,
+        "streamed_readings": streamed_readings,
+        "located_observations": _on(tables.observations, lambda obs: obs),
+    }
+
+
+# --- sources and sinks ---------------------------------------------------------------
+
+CSV_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()),
+    T.StructField("occupancy", T.IntegerType()),
+])
+ONE_YEAR = sources.months_back("199612", 12)
+
+
+def _csv_lines_file(spark, sf_dir) -> str:
+    path = shared.new_path(spark, "lines")
+    documents.csv_lines(spark, sf_dir).write.text(path)
+    return path
+
+
+def csv_good_rows(spark, sf_dir):
+    return sources.read_csv(spark, _csv_lines_file(spark, sf_dir), CSV_SCHEMA, header=False)[0]
+
+
+def csv_quarantine(spark, sf_dir):
+    _, bad = sources.read_csv(spark, _csv_lines_file(spark, sf_dir), CSV_SCHEMA, header=False)
+    return bad.select(F.col(xml.CORRUPT).alias("line"))
+
+
+def parquet_by_month(spark, sf_dir):
+    path = shared.new_path(spark, "months")
+    sinks.write_by_month(tables.long_span(spark, sf_dir), path)
+    year = sources.read_months(spark, path, ONE_YEAR)
+    return plain(year.select("detector_id", "lane_id", "speed", "volume", "date", "hour",
+                             F.col("month").cast("string").alias("month")))
+
+
+def csv_by_date(spark, sf_dir):
+    path = shared.new_path(spark, "dates")
+    sinks.write_csv_by_date(tables.readings(spark, sf_dir).select(
+        "detector_id", "lane_id", "occupancy", "speed", "volume", "date"), path)
+    schema = "detector_id long, lane_id string, occupancy int, speed double, volume int, date date"
+    return plain(spark.read.schema(schema).csv(path, header=True))
+
+
+def compacted_by_date(spark, sf_dir):
+    loose, dense = shared.new_path(spark, "loose"), shared.new_path(spark, "dense")
+    sinks.write_by_date(tables.readings(spark, sf_dir), loose)
+    sinks.compact(spark.read.parquet(loose), dense)
+    return plain(spark.read.parquet(dense).select(*tables.readings(spark, sf_dir).columns))
+
+
+def exported_summary(spark, sf_dir):
+    path = shared.new_path(spark, "export")
+    sinks.export_summaries({"district_stats": descriptive.district_stats(
+        tables.valid_observations(spark, sf_dir))}, path)
+    read = sources.peek_csv(spark, f"{path}/district_stats")
+    types = {"Records": "long", "Total_Volume": "long", "District": "string"}
+    return plain(read.select(*[F.col(c).cast(types.get(c, "double")).alias(c) for c in read.columns]))
+
+
+def stored_lane_stats(spark, sf_dir):
+    path = shared.new_path(spark, "lanes")
+    for _ in range(2):  # the second call finds the table
+        stored = sources.read_or_compute(
+            spark, path, lambda: descriptive.lane_stats(tables.valid_observations(spark, sf_dir)))
+    return plain(stored)
+
+
+def dataset_rows(spark, sf_dir):
+    size = sources.dataset_size(tables.table(spark, sf_dir, "lineitem"))
+    return size.select("total_records", (F.col("data_size_bytes") > 0).alias("has_bytes"))
+
+
+def key_sample(spark, sf_dir):
+    return plain(sampling.key_sample(
+        tables.readings(spark, sf_dir), 0.1, "detector_id", "lane_id", "occupancy", "volume"))
+
+
+def text_line_count(spark, sf_dir):
+    lines = sources.read_text(spark, _csv_lines_file(spark, sf_dir))
+    return lines.agg(F.count(F.lit(1)).alias("lines"))
+
+
+def _storage() -> dict[str, Query]:
+    return {
+        "csv_good_rows": csv_good_rows,
+        "csv_quarantine": csv_quarantine,
+        "text_line_count": text_line_count,
+        "parquet_by_month": parquet_by_month,
+        "csv_by_date": csv_by_date,
+        "compacted_by_date": compacted_by_date,
+        "exported_summary": exported_summary,
+        "stored_lane_stats": stored_lane_stats,
+        "dataset_rows": dataset_rows,
+        "key_sample": key_sample,
+    }
+
+
+# --- timings ---------------------------------------------------------------
+
+TOOLS = ["click", "error", "purchase", "signup", "view"]
+
+
+def stored_timings(fmt: str) -> Query:
+    def query(spark, sf_dir):
+        path = shared.new_path(spark, "timings")
+        sinks.write_timings(documents.timings(spark, sf_dir), path, fmt)
+        return plain(sources.read_timings(spark, path, fmt))
+
+    return query
+
+
+def _timings() -> dict[str, Query]:
+    rows = documents.timings
+    return {
+        "timing_average_by_tool": _on(rows, timings.average_by_tool),
+        "timing_average_by_phase": _on(rows, timings.average_by_phase),
+        "timing_recent_totals": _on(rows, timings.recent_totals, today="2024-01-31"),
+        "timing_dataset_by_tool": _on(rows, timings.dataset_by_tool, tools=TOOLS),
+        "timing_phase_share": _on(rows, timings.phase_share),
+        "timing_speedup": _on(rows, timings.speedup),
+        "timing_failed_runs": _on(rows, timings.failed_runs),
+        "timing_run_phases": _on(rows, timings.run_phases, tool="view", dataset_size="2_month"),
+        "timing_parquet": stored_timings("parquet"),
+        "timing_csv": stored_timings("csv"),
+    }
+
+
+# --- roll-up ---------------------------------------------------------------
+
+# Reports checked against the same SQL when they read the roll-up instead of the readings.
+ROLLED_UP = (
+    "hourly_profile", "weekday_weekend_comparison", "road_congestion_severity", "lane_speed",
+    "top10_most_congested_roads", "geospatial_data",
+)
+
+
+def _rollup() -> dict[str, Query]:
+    def source(spark, sf_dir):
+        return hourly_rollup(tables.clean(spark, sf_dir))
+
+    return {"hourly_rollup": _on(source, lambda rollup: rollup)} | {
+        f"{name}_from_rollup": _on(source, FROM_ROLLUP[name]) for name in ROLLED_UP
+    }
+
+
 def queries() -> dict[str, Query]:
-    return _descriptive() | _quality() | _temporal() | _spatial() | _flow() | _rush()
+    return (
+        _descriptive() | _quality() | _temporal() | _spatial() | _flow() | _rush() | _ingest() | _storage()
+        | _timings() | _rollup()
+    )
