@@ -79,16 +79,24 @@ def occupancy_outlier() -> Column:
     return ~F.col("occupancy").between(*V.OCCUPANCY_RANGE)
 
 
-def plausible() -> Column:
-    """Measures in range and road known; a missing measure is not plausible."""
+def in_range() -> Column:
+    """All measures present and within their limits."""
     return (
         F.col("speed").between(*V.SPEED_RANGE)
         & (F.col("volume") >= V.VOLUME_MIN)
         & F.col("occupancy").between(*V.OCCUPANCY_RANGE)
-        & F.col("Road_EN").isNotNull()
     )
 
 
+def road_known() -> Column:
+    return F.col("Road_EN").isNotNull()
+
+
+def plausible() -> Column:
+    """Measures in range and road known; a missing measure is not plausible."""
+    return in_range() & road_known()
+
+
 def _congested(limits) -> Column:
     return (F.col("occupancy") > limits["occupancy_above"]) & (F.col("speed") < limits["speed_below"])
 

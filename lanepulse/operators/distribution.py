@@ -52,19 +52,23 @@ def describe_column(df: DataFrame, value: str, shares: dict[str, float], keys=()
 
     counts = df.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.count(value).alias("_n"),
         *[agg for c in carry for agg in (F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}"))],
     ).withColumn("_bucket", _bucket(df, value, bucket_width))
+    known = F.when(F.col(value).isNotNull(), F.col("_rows")).otherwise(0)
+    sums = [f"_{kind}_{c}" for c in carry for kind in "sn"]
 
     per_key = Window.partitionBy(*[f"_k_{k}" for k in keys])
     earlier = per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
         counts.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"))
-        .agg(F.sum("_n").alias("_bn"), F.sum(F.col(value) * F.col("_n")).alias("_bs"))
+        .agg(F.sum(known).alias("_bn"), F.sum(F.col(value) * known).alias("_bs"),
+             *[F.sum(c).alias(f"_b{c}") for c in sums])
         .withColumn("_before", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)))
         .withColumn("_total", F.sum("_bn").over(per_key))
         .withColumn("_mean", F.try_divide(F.sum("_bs").over(per_key).cast("double"), F.col("_total")))
     )
+    for c in sums:
+        buckets = buckets.withColumn(f"_t{c}", F.sum(f"_b{c}").over(per_key))
 
     same = F.col("_bucket").eqNullSafe(F.col("_b"))
     for k in keys:
@@ -73,13 +77,20 @@ def describe_column(df: DataFrame, value: str, shares: dict[str, float], keys=()
         Window.partitionBy(*keys, "_bucket").orderBy(value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = counts.join(buckets, same).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    ranked = counts.join(buckets, same).withColumn("_n", known).withColumn(
+        "_upto", F.col("_before") + F.sum("_n").over(inside)
+    )
 
     def at(share):
         rank = _rank(share, "_total")
         crossing = (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank) & (F.col("_n") > 0)
         return F.max(F.when(crossing, F.col(value)))
 
+    def sum_of(column):
+        # Known on both sides of the join. Asking both keeps their columns alike, so Spark
+        # shuffles the value counts once and reuses them, and the input is scanned once.
+        return F.coalesce(F.max(f"_t{column}"), F.sum(column))
+
     squares = F.sum(F.col("_n") * F.pow(F.col(value) - F.col("_mean"), 2))
     return ranked.groupBy(*keys).agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
@@ -90,7 +101,7 @@ def describe_column(df: DataFrame, value: str, shares: dict[str, float], keys=()
         F.max(value).alias("max"),
         F.sum(F.col(value) * F.col("_n")).alias("total"),
         *[at(share).alias(name) for name, share in shares.items()],
-        *[F.try_divide(F.sum(f"_s_{c}").cast("double"), F.sum(f"_n_{c}")).alias(out)
+        *[F.try_divide(sum_of(f"_s_{c}").cast("double"), sum_of(f"_n_{c}")).alias(out)
           for c, out in carry.items()],
     )
 

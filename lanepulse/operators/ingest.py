@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 from lanepulse import schemas
 from lanepulse.functions import fixed_values as V
 
+# At some 200 bytes a row, a broadcast of at most 40 MB.
+BROADCAST_ROWS = 200_000
+SALTS = 16
+
 
 def explode_periods(docs: DataFrame) -> DataFrame:
     """One row per document and period."""
@@ -13,15 +17,35 @@ def explode_periods(docs: DataFrame) -> DataFrame:
     return docs.select(*kept, F.explode("periods.period").alias("period"))
 
 
-def explode_detectors(periods: DataFrame) -> DataFrame:
-    kept = [c for c in periods.columns if c != "period"]
+def reading_time(date: Column, time: Column) -> Column:
+    """Timestamp from a date text and a time text; NULL where either has no match."""
+    day = F.regexp_extract(date, V.DATE_PATTERN, 1)
+    clock = F.regexp_extract(time, V.TIME_PATTERN, 1)
+    return F.try_to_timestamp(F.concat_ws(" ", day, clock), F.lit("yyyy-MM-dd HH:mm:ss"))
+
+
+def time_periods(periods: DataFrame) -> DataFrame:
+    """Typed date and times. A period has thousands of lane rows, so this is done before
+    they are unfolded."""
+    kept = [c for c in periods.columns if c != "date"]
+    date = F.col("date")
     return periods.select(
-        *kept, "period.period_from", "period.period_to",
-        F.explode("period.detectors.detector").alias("detector"),
+        *kept,
+        F.regexp_extract(date, V.DATE_PATTERN, 1).try_cast("date").alias("date"),
+        reading_time(date, F.col("period.period_from")).alias("period_from"),
+        reading_time(date, F.col("period.period_to")).alias("period_to"),
     )
 
 
+def explode_detectors(periods: DataFrame) -> DataFrame:
+    """One row per period and detector."""
+    kept = [c for c in periods.columns if c != "period"]
+    times = [] if "period_from" in kept else ["period.period_from", "period.period_to"]
+    return periods.select(*kept, *times, F.explode("period.detectors.detector").alias("detector"))
+
+
 def explode_lanes(detectors: DataFrame) -> DataFrame:
+    """One row per period, detector and lane."""
     kept = [c for c in detectors.columns if c != "detector"]
     return detectors.select(
         *kept, "detector.detector_id", "detector.direction",
@@ -29,37 +53,28 @@ def explode_lanes(detectors: DataFrame) -> DataFrame:
     )
 
 
-def reading_time(date: Column, time: Column) -> Column:
-    """Timestamp from a date text and a time text; NULL where either has no match."""
-    day = F.regexp_extract(date, V.DATE_PATTERN, 1)
-    clock = F.regexp_extract(time, V.TIME_PATTERN, 1)
-    return F.try_to_timestamp(F.concat_ws(" ", day, clock), F.lit("yyyy-MM-dd HH:mm:ss"))
-
-
 def type_lanes(lanes: DataFrame) -> DataFrame:
     """Cast once, here: a value that is no number becomes NULL and the row stays."""
-    extra = [c for c in ("source_file",) if c in lanes.columns]
-    fields = {f.name: f.dataType for f in schemas.READINGS.fields}
-
     def number(source, name):
-        return F.col(f"lane.`{source}`").try_cast(fields[name]).alias(name)
+        return F.col(f"lane.`{source}`").try_cast(schemas.READINGS[name].dataType).alias(name)
 
-    date = F.regexp_extract("date", V.DATE_PATTERN, 1)
     return lanes.select(
-        "detector_id", "direction", F.col("lane.lane_id").alias("lane_id"),
+        "detector_id", "direction", "lane.lane_id",
         number("occupancy", "occupancy"), number("speed", "speed"), number("volume", "volume"),
         number("s.d.", "standard_deviation"),
-        F.col("lane.valid").alias("valid"),
-        reading_time(F.col("date"), F.col("period_from")).alias("period_from"),
-        reading_time(F.col("date"), F.col("period_to")).alias("period_to"),
-        date.try_cast("date").alias("date"),
-        *extra,
+        "lane.valid", "period_from", "period_to", "date",
+        *[c for c in ("source_file",) if c in lanes.columns],
     )
 
 
+def flatten_periods(periods: DataFrame) -> DataFrame:
+    """Periods to one typed row per detector and lane."""
+    return type_lanes(explode_lanes(explode_detectors(time_periods(periods))))
+
+
 def flatten_readings(docs: DataFrame) -> DataFrame:
     """Documents to one typed row per detector, lane and period. No shuffle."""
-    return type_lanes(explode_lanes(explode_detectors(explode_periods(docs))))
+    return flatten_periods(explode_periods(docs))
 
 
 def _size(array: Column) -> Column:
@@ -100,21 +115,30 @@ def canonical_locations(locations: DataFrame) -> DataFrame:
     return locations.withColumn("District", canonical_district(F.col("District")))
 
 
-def join_locations(readings: DataFrame, locations: DataFrame, hint: str | None = None) -> DataFrame:
+def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most this many rows; counts no further than one more."""
+    return table.limit(rows + 1).count() <= rows
+
+
+def join_locations(readings: DataFrame, locations: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """Left join on the detector; readings without a location keep NULLs.
 
-    Without a hint Spark broadcasts the locations only while their measured size stays
-    under its threshold. Beyond that it sort-merges, where adaptive execution splits a
-    detector that holds too many rows. ``hint="broadcast"`` is for a location table
-    whose size the caller has checked.
+    The locations are broadcast only after a count has shown them to be few (pass the
+    answer as ``broadcast`` to count once for many joins): the readings then stay where
+    they are. A larger table is joined by shuffle with the readings of each detector
+    spread over ``SALTS`` tasks, so a detector that holds a third of all rows is split.
     """
     kept = [c for c in schemas.LOCATION_COLUMNS if c in locations.columns]
     places = locations.select("AID_ID_Number", *kept)
-    if hint:
-        places = places.hint(hint)
-    return readings.join(
-        places, F.col("detector_id") == F.col("AID_ID_Number"), "left"
-    ).drop("AID_ID_Number")
+    same = F.col("detector_id") == F.col("AID_ID_Number")
+    if fits_broadcast(places) if broadcast is None else broadcast:
+        return readings.join(F.broadcast(places), same, "left").drop("AID_ID_Number")
+
+    salt = F.pmod(F.xxhash64(*readings.columns), F.lit(SALTS)).cast("int")
+    copies = places.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return readings.withColumn("_salt", salt).join(
+        copies, same & (F.col("_salt") == F.col("_copy")), "left"
+    ).drop("AID_ID_Number", "_salt", "_copy")
 
 
 def unmatched_detectors(readings: DataFrame, locations: DataFrame) -> DataFrame:

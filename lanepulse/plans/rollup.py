@@ -10,14 +10,24 @@ from pyspark.sql import DataFrame
 
 from lanepulse.functions import columns as C
 from lanepulse.functions.measures import rollup_parts
+from lanepulse.operators.ingest import join_locations
 
-KEYS = (
-    "date", "hour", "detector_id", "direction", "lane_id", "Road_EN", "District",
-    "GeometryEasting", "GeometryNorthing",
-)
+READING_KEYS = ("date", "hour", "detector_id", "direction", "lane_id")
+KEYS = READING_KEYS + ("Road_EN", "District", "GeometryEasting", "GeometryNorthing")
 
 
 def hourly_rollup(obs: DataFrame, keys=KEYS) -> DataFrame:
     """Additive parts per key. The keys are fine-grained, so even a road or district with
     a third of all rows spreads over many groups, each pre-aggregated before the shuffle."""
     return C.with_hour(obs).groupBy(*keys).agg(*rollup_parts())
+
+
+def located_rollup(readings: DataFrame, locations: DataFrame, broadcast: bool | None = None) -> DataFrame:
+    """The roll-up of the cleaned observations, straight from readings without a location.
+
+    The readings are cleaned and added up first, and only the roll-up's rows meet the
+    locations: when those are too many to broadcast, a hundredth of the rows is shuffled.
+    """
+    usable = readings.filter(C.is_valid()).filter(C.in_range())
+    located = join_locations(hourly_rollup(usable, READING_KEYS), locations, broadcast)
+    return located.filter(C.road_known())

@@ -41,9 +41,14 @@ def write_by_date(obs: DataFrame, path: str) -> None:
     _replacing(obs.hint("rebalance", "date")).partitionBy("date").parquet(path)
 
 
-def write_csv(summary: DataFrame, path: str) -> None:
-    """A small summary as one CSV file with a header."""
-    summary.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_csv(summary: DataFrame, path: str, single_file: bool = False) -> None:
+    """A summary as CSV with a header.
+
+    Adaptive execution already merges a small result into one file, and a large one stays
+    spread. ``single_file`` forces one file, for results the caller knows to be small.
+    """
+    rows = summary.coalesce(1) if single_file else summary
+    rows.write.mode("overwrite").csv(path, header=True)
 
 
 def write_csv_by_date(obs: DataFrame, path: str) -> None:

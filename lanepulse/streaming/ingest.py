@@ -11,27 +11,33 @@ from lanepulse.sources import xml
 BATCH = "ingest_batch"
 
 
-def ingest_batch(docs: DataFrame, locations: DataFrame, batch_id: int, table: str, quarantine: str) -> None:
+def ingest_batch(docs: DataFrame, locations: DataFrame, batch_id: int, table: str, quarantine: str,
+                 broadcast: bool | None = None) -> None:
     """Write one batch. Its partitions carry the batch number and replace themselves, so a
     batch that runs twice after a lost driver or executor leaves its rows once."""
-    good, corrupt = xml.good_and_corrupt(docs)
-    located = ingest.join_locations(ingest.flatten_readings(good), locations)
-    for rows, keys, path in (
-        (with_month(located), ["month", BATCH], table),
-        (corrupt, [BATCH], quarantine),
-    ):
-        rows.withColumn(BATCH, F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).option("compression", COMPRESSION).partitionBy(*keys).parquet(path)
+    docs.persist()  # parsed once for both outputs; lost blocks are parsed again
+    try:
+        good, corrupt = xml.good_and_corrupt(docs)
+        located = ingest.join_locations(ingest.flatten_readings(good), locations, broadcast)
+        for rows, keys, path in (
+            (with_month(located), ["month", BATCH], table),
+            (corrupt, [BATCH], quarantine),
+        ):
+            rows.withColumn(BATCH, F.lit(batch_id)).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic"
+            ).option("compression", COMPRESSION).partitionBy(*keys).parquet(path)
+    finally:
+        docs.unpersist()
 
 
 def start_ingest(spark: SparkSession, folder: str, locations: DataFrame, table: str, quarantine: str,
                  checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
     """Take in every file not seen before, some files per batch, then stop."""
-    docs = xml.stream_documents(spark, folder, files_per_batch)
+    few = ingest.fits_broadcast(locations)
     return (
-        docs.writeStream.foreachBatch(
-            lambda batch, number: ingest_batch(batch, locations, number, table, quarantine)
+        xml.stream_documents(spark, folder, files_per_batch)
+        .writeStream.foreachBatch(
+            lambda batch, number: ingest_batch(batch, locations, number, table, quarantine, few)
         )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

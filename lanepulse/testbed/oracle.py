@@ -575,7 +575,8 @@ def _rollup() -> dict[str, str]:
         "hourly_profile", "weekday_weekend_comparison", "road_congestion_severity", "lane_speed",
         "top10_most_congested_roads", "geospatial_data",
     )
-    return {"hourly_rollup": _group("clean", keys, ", ".join(figures))} | {
+    rollup = _group("clean", keys, ", ".join(figures))
+    return {"hourly_rollup": rollup, "located_rollup": rollup} | {
         f"{name}_from_rollup": base[name] for name in same
     }
 

@@ -10,7 +10,7 @@ from lanepulse.functions import fixed_values as V
 from lanepulse.operators import (
     descriptive, flow, ingest, quality, rush, sampling, spatial, temporal, timings,
 )
-from lanepulse.plans.rollup import hourly_rollup
+from lanepulse.plans.rollup import hourly_rollup, located_rollup
 from lanepulse.plans.suite import FROM_ROLLUP
 from lanepulse.sinks import tables as sinks
 from lanepulse.sources import shared, xml
@@ -342,7 +342,12 @@ def _rollup() -> dict[str, Query]:
     def source(spark, sf_dir):
         return hourly_rollup(tables.clean(spark, sf_dir))
 
-    return {"hourly_rollup": _on(source, lambda rollup: rollup)} | {
+    def joined_late(spark, sf_dir):
+        return plain(located_rollup(
+            tables.readings(spark, sf_dir), tables.locations(spark, sf_dir),
+            tables.few_locations(spark, sf_dir)))
+
+    return {"hourly_rollup": _on(source, lambda rollup: rollup), "located_rollup": joined_late} | {
         f"{name}_from_rollup": _on(source, FROM_ROLLUP[name]) for name in ROLLED_UP
     }
 

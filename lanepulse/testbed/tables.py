@@ -4,56 +4,67 @@ They stand in for a city's detector data: ``events`` rows become lane readings,
 ``supplier`` rows become detector locations.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanepulse.operators import ingest, quality
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_schemas = {}
 
 
-def _id_mod(n: int) -> Column:
-    return F.col("event_id") % n
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table; its schema is read from the files once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lane readings without a location, with some invalid and implausible rows."""
-    occupancy = F.get_json_object("props", "$.k").cast("int")
-    side = F.element_at(F.array(*map(F.lit, ("North", "South", "East", "West"))), (_id_mod(5) + 1).cast("int"))
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("detector_id"),
-        F.when(_id_mod(5) < 4, side).alias("direction"),
-        F.col("event_type").alias("lane_id"),
-        (occupancy + F.when(_id_mod(307) == 0, 100).otherwise(0)).alias("occupancy"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "user_id AS detector_id",
+        "CASE event_id % 5 WHEN 0 THEN 'North' WHEN 1 THEN 'South' WHEN 2 THEN 'East' WHEN 3 THEN 'West' END "
+        "AS direction",
+        "event_type AS lane_id",
+        "cast(get_json_object(props, '$.k') AS int) + if(event_id % 307 = 0, 100, 0) AS occupancy",
         # quarter km/h: sums are exact in binary, so no engine's summation order shows
-        (F.floor(F.col("value") * 4) / 4).alias("speed"),
-        (_id_mod(131) - F.when(_id_mod(211) == 0, 200).otherwise(0)).cast("int").alias("volume"),
-        F.when(_id_mod(53) != 0, _id_mod(17) * 0.5).alias("standard_deviation"),
-        F.when(_id_mod(67) == 0, "N").otherwise("Y").alias("valid"),
-        F.col("ts").alias("period_from"),
-        (F.col("ts") + F.expr("INTERVAL 30 SECOND")).alias("period_to"),
-        F.col("ts").cast("date").alias("date"),
-        F.concat(F.lit("file-"), _id_mod(20).cast("string")).alias("source_file"),
+        "floor(value * 4) / 4 AS speed",
+        "cast(event_id % 131 - if(event_id % 211 = 0, 200, 0) AS int) AS volume",
+        "if(event_id % 53 = 0, NULL, event_id % 17 * 0.5D) AS standard_deviation",
+        "if(event_id % 67 = 0, 'N', 'Y') AS valid",
+        "ts AS period_from",
+        "ts + INTERVAL 30 SECOND AS period_to",
+        "cast(ts AS date) AS date",
+        "concat('file-', event_id % 20) AS source_file",
     )
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per detector; every third detector has none."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    places = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    return places.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("s_suppkey").alias("AID_ID_Number"),
-        F.col("n_name").alias("Road_EN"),
-        F.col("r_name").alias("District"),
-        (F.col("s_suppkey") * 10.0).alias("GeometryEasting"),
-        (F.col("s_suppkey") * 7.0).alias("GeometryNorthing"),
+    places = table(spark, sf_dir, "supplier").join(nation, F.expr("s_nationkey = n_nationkey"))
+    return places.join(region, F.expr("n_regionkey = r_regionkey")).selectExpr(
+        "s_suppkey AS AID_ID_Number",
+        "n_name AS Road_EN",
+        "r_name AS District",
+        "s_suppkey * 10.0D AS GeometryEasting",
+        "s_suppkey * 7.0D AS GeometryNorthing",
     )
 
 
+@cache
+def few_locations(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether the locations may be broadcast; counted once for all queries."""
+    return ingest.fits_broadcast(table(spark, sf_dir, "supplier"))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.join_locations(readings(spark, sf_dir), locations(spark, sf_dir))
+    return ingest.join_locations(
+        readings(spark, sf_dir), locations(spark, sf_dir), few_locations(spark, sf_dir)
+    )
 
 
 def valid_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,20 +77,20 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def long_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings over several years, for the month and season reports."""
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("detector_id"),
-        F.col("l_linestatus").alias("direction"),
-        F.col("l_returnflag").alias("lane_id"),
-        (F.col("l_orderkey") % 101).cast("int").alias("occupancy"),
-        ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 121).cast("int").alias("speed"),
-        F.col("l_quantity").cast("int").alias("volume"),
-        (F.col("l_tax") * 100).alias("standard_deviation"),
-        F.lit("Y").alias("valid"),
-        F.col("l_shipdate").alias("period_from"),
-        (F.col("l_shipdate") + F.expr("INTERVAL 30 SECOND")).alias("period_to"),
-        F.col("l_shipdate").cast("date").alias("date"),
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey AS detector_id",
+        "l_linestatus AS direction",
+        "l_returnflag AS lane_id",
+        "cast(l_orderkey % 101 AS int) AS occupancy",
+        "cast((l_partkey * 7 + l_linenumber) % 121 AS int) AS speed",
+        "cast(l_quantity AS int) AS volume",
+        "l_tax * 100 AS standard_deviation",
+        "'Y' AS valid",
+        "l_shipdate AS period_from",
+        "l_shipdate + INTERVAL 30 SECOND AS period_to",
+        "cast(l_shipdate AS date) AS date",
     )
-    return ingest.join_locations(rows, locations(spark, sf_dir))
+    return ingest.join_locations(rows, locations(spark, sf_dir), few_locations(spark, sf_dir))
 
 
 def clean_long_span(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from conftest import rows
 from lanepulse.operators import ingest, quality
 from lanepulse.sources import xml
 from lanepulse.streaming.ingest import ingest_batch, ingest_new_files
+from lanepulse.testbed import tables
 
 
 def lane(name, speed, valid="Y", sd="1.5", p=""):
@@ -148,7 +149,7 @@ def test_fanout(spark, folder):
 
 def test_period_rows_take_the_date_from_the_file_name(spark, folder):
     good, _ = xml.good_and_corrupt(xml.read_periods(spark, folder(a=GOOD)))
-    readings = ingest.type_lanes(ingest.explode_lanes(ingest.explode_detectors(good)))
+    readings = ingest.flatten_periods(good)
     assert readings.count() == 5
     assert {str(r.date) for r in readings.collect()} == {"2025-08-26"}
 
@@ -159,16 +160,35 @@ def test_locations_by_name(spark, locations):
         ("AID01101", "Central and Western", 90.0, 835000.5, None), ("AID09999", "Southern", None, 1.0, None)]
 
 
-@pytest.mark.parametrize("hint", [None, "broadcast", "merge"])
-def test_location_join(spark, folder, locations, hint):
+def test_broadcast_only_when_few(spark, monkeypatch):
+    assert ingest.fits_broadcast(spark.range(5), 5) and not ingest.fits_broadcast(spark.range(6), 5)
+    readings = spark.range(100).select((F.col("id") % 3).alias("detector_id"), "id")
+    places = spark.range(3).select(F.col("id").alias("AID_ID_Number"), F.lit("r").alias("Road_EN"))
+    plan = lambda: ingest.join_locations(readings, places)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan()
+    monkeypatch.setattr(ingest, "fits_broadcast", lambda table: False)
+    assert "broadcast" not in plan() and "_salt" in plan()
+
+
+@pytest.mark.parametrize("broadcast", [None, True, False])
+def test_location_join(spark, folder, locations, broadcast):
     readings, _ = flat(spark, folder(a=GOOD))
-    located = ingest.join_locations(readings, locations, hint)
+    located = ingest.join_locations(readings, locations, broadcast)
     assert located.count() == 5 and "AID_ID_Number" not in located.columns
     assert rows(located.select("detector_id", "Road_EN").distinct()) == [
         ("AID01101", "Island Road"), ("AID01102", None)]
     assert rows(ingest.unmatched_detectors(readings, locations)) == [("AID01102",)]
 
 
+def test_salted_join_gives_the_same_rows(spark, sf_dir):
+    readings, places = tables.readings(spark, sf_dir), tables.locations(spark, sf_dir)
+    hot = readings.withColumn("detector_id", F.when(F.col("volume") % 3 == 0, 7).otherwise(F.col("detector_id")))
+    shuffled = ingest.join_locations(hot, places, broadcast=False)
+    broadcast = ingest.join_locations(hot, places, broadcast=True)
+    assert shuffled.columns == broadcast.columns
+    assert shuffled.exceptAll(broadcast).count() == 0 == broadcast.exceptAll(shuffled).count()
+
+
 def test_stream_takes_each_file_once(spark, folder, locations, tmp_path_factory):
     root = tmp_path_factory.mktemp("stream")
     out = [str(root / n) for n in ("table", "bad", "checkpoint")]
