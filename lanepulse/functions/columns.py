@@ -32,6 +32,11 @@ def in_either_rush() -> Column:
     return in_window(V.MORNING) | in_window(V.EVENING)
 
 
+def in_period(start, end) -> Column:
+    """Readings that lie wholly between two points in time."""
+    return (F.col("period_from") >= F.lit(start)) & (F.col("period_to") <= F.lit(end))
+
+
 def day_of_week() -> Column:
     """1 = Sunday ... 7 = Saturday."""
     return F.dayofweek("date")

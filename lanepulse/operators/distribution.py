@@ -10,27 +10,24 @@ data on the map side and no row group ever meets in one task:
 3. run inside each bucket only, add the bucket's offset, and keep the value whose
    running count crosses the wanted rank.
 
-A 32-bit column has at most 65,536 buckets of 65,536 values. For floating columns
-``bucket_width`` sets the resolution. ``accuracy`` switches to Spark's mergeable
-percentile sketch instead, for columns that really are continuous.
+Buckets are even steps of log(1 + |value|), so no column has more than about 1.5 million
+of them, whatever its range, and neighbouring values of a wide column share one.
+``accuracy`` switches to Spark's mergeable percentile sketch instead.
 """
 
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+STEPS = 1024
 
 
-def _bucket(df: DataFrame, value: str, width) -> Column:
-    whole = isinstance(df.schema[value].dataType, _WHOLE)
-    if width is None:
-        width = 65536 if whole else 1 / 64
-    bucket = F.floor(F.col(value) / F.lit(float(width)))
-    # NaN sorts last, as everywhere in Spark
-    return bucket if whole else F.when(F.isnan(value), F.lit(2**63 - 1)).otherwise(bucket)
+def _bucket(value: str) -> Column:
+    """Bucket number; never falls while the value grows. NaN comes last, as in Spark."""
+    number = F.col(value).cast("double")
+    bucket = F.floor(F.signum(number) * F.log1p(F.abs(number)) * STEPS)
+    return F.when(F.isnan(number), F.lit(2**63 - 1)).otherwise(bucket)
 
 
 def _rank(share: float, total: str) -> Column:
@@ -40,7 +37,7 @@ def _rank(share: float, total: str) -> Column:
 
 
 def describe_column(df: DataFrame, value: str, shares: dict[str, float], keys=(), carry=None,
-                    bucket_width=None, accuracy: int | None = None) -> DataFrame:
+                    accuracy: int | None = None) -> DataFrame:
     """One row per key: rows, n, mean, std, min, max, total and the named percentiles.
 
     A percentile is the smallest value whose running count reaches ceil(share * n).
@@ -53,7 +50,7 @@ def describe_column(df: DataFrame, value: str, shares: dict[str, float], keys=()
     counts = df.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[agg for c in carry for agg in (F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}"))],
-    ).withColumn("_bucket", _bucket(df, value, bucket_width))
+    ).withColumn("_bucket", _bucket(value))
     known = F.when(F.col(value).isNotNull(), F.col("_rows")).otherwise(0)
     sums = [f"_{kind}_{c}" for c in carry for kind in "sn"]
 

@@ -46,9 +46,10 @@ def _distinct_counts(obs: DataFrame, named: dict[str, str], nulls: bool, extra=(
 
     The columns belong together (a detector has one road and one district), so their
     combinations are few; counting on those avoids expanding every input row once per
-    column. ``nulls`` counts a missing value as one more value.
+    column. A bare distinct() would be optimised away again, hence the count and its
+    filter. ``nulls`` counts a missing value as one more value.
     """
-    combos = obs.select(*named.values()).distinct()
+    combos = obs.groupBy(*named.values()).agg(F.count(F.lit(1)).alias("seen")).filter("seen > 0")
 
     def distinct(column):
         n = F.count_distinct(column)

@@ -495,6 +495,9 @@ def _storage() -> dict[str, str]:
         "compacted_by_date": _with(f"SELECT {ROW} FROM readings"),
         "exported_summary": descriptive["district_stats"],
         "stored_lane_stats": descriptive["lane_stats"],
+        "readings_in_period": _with(
+            f"SELECT {ROW} FROM readings WHERE period_from >= TIMESTAMP '2024-01-10 06:00:00' "
+            "AND period_to <= TIMESTAMP '2024-01-12 18:00:00'"),
         "dataset_rows": "SELECT count(*) AS total_records, true AS has_bytes FROM lineitem",
         "key_sample": _with(
             f"SELECT {ROW} FROM readings WHERE CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % 10000 < 1000"),

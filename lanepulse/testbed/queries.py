@@ -1,11 +1,13 @@
 """Every registered query, run on the traffic-shaped views of the test tables."""
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lanepulse.functions import columns as C
 from lanepulse.functions import fixed_values as V
 from lanepulse.operators import (
     descriptive, flow, ingest, quality, rush, sampling, spatial, temporal, timings,
@@ -295,6 +297,8 @@ def _storage() -> dict[str, Query]:
         "exported_summary": exported_summary,
         "stored_lane_stats": stored_lane_stats,
         "dataset_rows": dataset_rows,
+        "readings_in_period": lambda spark, sf_dir: plain(tables.readings(spark, sf_dir).filter(
+            C.in_period(datetime(2024, 1, 10, 6), datetime(2024, 1, 12, 18)))),
         "key_sample": key_sample,
     }
 
