@@ -13,6 +13,9 @@ from lanepulse.functions import columns as C
 MEASURES = ("speed", "volume", "occupancy")
 ROWS = "n_rows"
 
+# Keys of a flow roll-up: bin numbers of the finest bins in use, and both regimes.
+CELLS = ("volume_cell", "occupancy_cell", "traffic_regime", "flow_regime")
+
 # Conditions a roll-up keeps counts of.
 FLAGS = {
     "severe": C.severe,
@@ -102,6 +105,12 @@ def need_observations(df: DataFrame, what: str) -> None:
         raise ValueError(f"{what} needs single observations, not a roll-up")
 
 
+def need_cells(df: DataFrame, what: str) -> None:
+    """Reports by measured value also take a roll-up whose rows never mix bins or regimes."""
+    if ROWS in df.columns and not set(CELLS) <= set(df.columns):
+        raise ValueError(f"{what} needs single observations or a flow roll-up, not this roll-up")
+
+
 # Column sets most reports share.
 
 def three_means(m) -> list[Column]:

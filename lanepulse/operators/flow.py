@@ -5,42 +5,53 @@ from pyspark.sql import functions as F
 
 from lanepulse.functions import columns as C
 from lanepulse.functions import fixed_values as V
-from lanepulse.functions.measures import need_observations, three_means, measures
+from lanepulse.functions.measures import (
+    MEASURES, ROWS, measures, need_cells, need_observations, three_means,
+)
 from lanepulse.operators.distribution import describe_column
 from lanepulse.operators.sampling import bernoulli_sample
 
 
 def _by_bins(clean, bins, *figures):
-    """Group by one or more (name, column, rules) bins, in bin order."""
-    need_observations(clean, "binned relation")
+    """Group by one or more (name, column, rules) bins, in bin order.
+
+    All values in a cell of a flow roll-up share their bin, so its smallest one names it.
+    """
+    need_cells(clean, "binned relation")
+    suffix = "_min" if ROWS in clean.columns else ""
     keys = []
     for name, column, rules in bins:
-        keys += [C.bin_order(column, rules).alias(f"{name}_order"), C.bin_label(column, rules).alias(name)]
+        value = column + suffix
+        keys += [C.bin_order(value, rules).alias(f"{name}_order"), C.bin_label(value, rules).alias(name)]
     orders = [f"{name}_order" for name, _, _ in bins]
-    return clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("record_count"), *figures).orderBy(*orders)
+    records = measures(clean).records().alias("record_count")
+    return clean.groupBy(*keys).agg(records, *figures).orderBy(*orders)
 
 
 def speed_volume_relationship(clean: DataFrame) -> DataFrame:
+    m = measures(clean)
     return _by_bins(
         clean, [("volume_bin", "volume", V.VOLUME_BINS)],
-        F.avg("speed").alias("avg_speed"), F.stddev("speed").alias("std_speed"),
-        F.avg("occupancy").alias("avg_occupancy"),
+        m.mean("speed").alias("avg_speed"), m.spread("speed").alias("std_speed"),
+        m.mean("occupancy").alias("avg_occupancy"),
     )
 
 
 def volume_occupancy_relationship(clean: DataFrame) -> DataFrame:
+    m = measures(clean)
     return _by_bins(
         clean, [("occupancy_bin", "occupancy", V.OCCUPANCY_BINS)],
-        F.avg("volume").alias("avg_volume"), F.avg("speed").alias("avg_speed"),
-        F.stddev("volume").alias("std_volume"),
+        m.mean("volume").alias("avg_volume"), m.mean("speed").alias("avg_speed"),
+        m.spread("volume").alias("std_volume"),
     )
 
 
 def speed_occupancy_relationship(clean: DataFrame) -> DataFrame:
+    m = measures(clean)
     return _by_bins(
         clean, [("occupancy_bin", "occupancy", V.FINE_OCCUPANCY_BINS)],
-        F.avg("speed").alias("avg_speed"), F.stddev("speed").alias("std_speed"),
-        F.avg("volume").alias("avg_volume"),
+        m.mean("speed").alias("avg_speed"), m.spread("speed").alias("std_speed"),
+        m.mean("volume").alias("avg_volume"),
     )
 
 
@@ -95,24 +106,23 @@ def lane_capacity_estimates(clean: DataFrame, **options) -> DataFrame:
 # --- regimes ---------------------------------------------------------------
 
 def _with_regime(clean):
-    need_observations(clean, "flow regimes")
-    return clean.withColumn("flow_regime", C.regime(strict=False))
+    need_cells(clean, "flow regimes")
+    return clean if ROWS in clean.columns else clean.withColumn("flow_regime", C.regime(strict=False))
 
 
 def flow_regime_stats(clean: DataFrame) -> DataFrame:
+    m = measures(clean)
     figures = [
-        agg
-        for name in ("speed", "volume", "occupancy")
-        for agg in (F.avg(name).alias(f"avg_{name}"), F.stddev(name).alias(f"std_{name}"))
+        figure
+        for name in MEASURES
+        for figure in (m.mean(name).alias(f"avg_{name}"), m.spread(name).alias(f"std_{name}"))
     ]
-    regimes = _with_regime(clean).groupBy("flow_regime").agg(
-        F.count(F.lit(1)).alias("record_count"), *figures
-    )
+    regimes = _with_regime(clean).groupBy("flow_regime").agg(m.records().alias("record_count"), *figures)
     return C.top(regimes, None, F.desc("record_count"), "flow_regime")
 
 
 def _regimes_by(df, key):
-    counts = df.groupBy(key, "flow_regime").agg(F.count(F.lit(1)).alias("record_count"))
+    counts = df.groupBy(key, "flow_regime").agg(measures(df).records().alias("record_count"))
     return counts.orderBy(key, F.desc("record_count"), "flow_regime")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lanepulse.functions import columns as C
 from lanepulse.functions import fixed_values as V
-from lanepulse.functions.measures import measures, need_observations, three_means
+from lanepulse.functions.measures import ROWS, measures, need_cells, three_means
 
 ROAD = ("Road_EN", "District")
 
@@ -131,10 +131,12 @@ def morning_district_flow(clean: DataFrame) -> DataFrame:
 # --- congestion ---------------------------------------------------------------
 
 def traffic_regime_distribution(clean: DataFrame) -> DataFrame:
-    need_observations(clean, "traffic_regime_distribution")
-    regimes = clean.groupBy(C.regime().alias("traffic_regime")).agg(
-        F.count(F.lit(1)).alias("record_count"), F.avg("speed").alias("avg_speed"),
-        F.avg("occupancy").alias("avg_occupancy"),
+    need_cells(clean, "traffic_regime_distribution")
+    m = measures(clean)
+    regime = F.col("traffic_regime") if ROWS in clean.columns else C.regime().alias("traffic_regime")
+    regimes = clean.groupBy(regime).agg(
+        m.records().alias("record_count"), m.mean("speed").alias("avg_speed"),
+        m.mean("occupancy").alias("avg_occupancy"),
     ).withColumn("pct", C.percent_of_total("record_count"))
     return C.top(regimes, None, F.desc("record_count"), "traffic_regime")
 

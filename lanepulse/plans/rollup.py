@@ -1,4 +1,4 @@
-"""One hourly roll-up that many reports share.
+"""Two roll-ups that most reports share: one by hour and place, one by measured value.
 
 The reports differ in what they group by, not in what they add up. One pass over the
 observations stores the additive parts per hour and place; at two readings a minute that
@@ -9,6 +9,7 @@ scanned once, not once per report.
 from pyspark.sql import DataFrame
 
 from lanepulse.functions import columns as C
+from lanepulse.functions import fixed_values as V
 from lanepulse.functions.measures import rollup_parts
 from lanepulse.operators.ingest import join_locations
 
@@ -31,3 +32,17 @@ def located_rollup(readings: DataFrame, locations: DataFrame, broadcast: bool |
     usable = readings.filter(C.is_valid()).filter(C.in_range())
     located = join_locations(hourly_rollup(usable, READING_KEYS), locations, broadcast)
     return located.filter(C.road_known())
+
+
+def flow_rollup(clean: DataFrame) -> DataFrame:
+    """Additive parts per hour, lane, bin and regime: some ten thousand rows, whatever the
+    input. The bins are the finest in use; every coarser edge is also an edge of theirs."""
+    cells = {
+        "volume_cell": C.bin_order("volume", V.VOLUME_BINS),
+        "occupancy_cell": C.bin_order("occupancy", V.FINE_OCCUPANCY_BINS),
+        "traffic_regime": C.regime(),
+        "flow_regime": C.regime(strict=False),
+    }
+    return C.with_hour(clean).groupBy(
+        "hour", "lane_id", *[cell.alias(name) for name, cell in cells.items()]
+    ).agg(*rollup_parts())

@@ -1,9 +1,9 @@
-"""The analysis suite: clean once, roll up once, answer every report."""
+"""The analysis suite: clean once, roll up twice, answer every report."""
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lanepulse.operators import descriptive, flow, quality, spatial, temporal
-from lanepulse.plans.rollup import hourly_rollup
+from lanepulse.plans.rollup import flow_rollup, hourly_rollup
 from lanepulse.sinks.tables import export_summaries
 from lanepulse.sources.tables import read_or_compute
 
@@ -44,39 +44,43 @@ FROM_ROLLUP = {
     "road_congestion_severity": spatial.road_congestion_severity,
     "speed_variability": spatial.speed_variability,
     "geospatial_data": spatial.geospatial_data,
+    "clean_coverage": quality.clean_coverage,
 }
 
-# Reports that look at single readings (bins, regimes, percentiles, correlation).
-FROM_READINGS = {
-    "overall_wide": descriptive.overall_wide,
-    "clean_coverage": quality.clean_coverage,
+# Reports by measured value (bins, regimes): answered from the flow roll-up.
+FROM_FLOW_ROLLUP = {
     "traffic_regime_distribution": spatial.traffic_regime_distribution,
     "speed_volume_relationship": flow.speed_volume_relationship,
-    "correlations": flow.correlations,
     "volume_occupancy_relationship": flow.volume_occupancy_relationship,
     "speed_occupancy_relationship": flow.speed_occupancy_relationship,
     "fundamental_diagram": flow.fundamental_diagram,
-    "scatter_sample": flow.scatter_sample,
-    "road_capacity_estimates": flow.road_capacity_estimates,
-    "lane_capacity_estimates": flow.lane_capacity_estimates,
     "flow_regime_stats": flow.flow_regime_stats,
     "lane_flow_regimes": flow.lane_flow_regimes,
     "hourly_flow_regimes": flow.hourly_flow_regimes,
 }
 
+# Reports that must see the readings (percentiles, correlation, sample).
+FROM_READINGS = {
+    "overall_wide": descriptive.overall_wide,
+    "correlations": flow.correlations,
+    "scatter_sample": flow.scatter_sample,
+    "road_capacity_estimates": flow.road_capacity_estimates,
+    "lane_capacity_estimates": flow.lane_capacity_estimates,
+}
+
 
-def prepare(spark: SparkSession, obs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
-    """Write (or find) the cleaned table and its roll-up. Both are ordinary tables, so a
-    lost executor costs a re-read and a restarted job goes on from what is finished."""
+def prepare(spark: SparkSession, obs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Write (or find) the cleaned table and its two roll-ups. They are ordinary tables, so
+    a lost executor costs a re-read and a restarted job goes on from what is finished."""
     clean = read_or_compute(spark, f"{root}/cleaned", lambda: quality.clean_observations(obs))
-    rollup = read_or_compute(spark, f"{root}/rollup", lambda: hourly_rollup(clean))
-    return clean, rollup
+    by_hour = read_or_compute(spark, f"{root}/rollup", lambda: hourly_rollup(clean))
+    by_flow = read_or_compute(spark, f"{root}/flow_rollup", lambda: flow_rollup(clean))
+    return clean, by_hour, by_flow
 
 
-def reports(clean: DataFrame, rollup: DataFrame) -> dict[str, DataFrame]:
-    return {name: report(rollup) for name, report in FROM_ROLLUP.items()} | {
-        name: report(clean) for name, report in FROM_READINGS.items()
-    }
+def reports(clean: DataFrame, by_hour: DataFrame, by_flow: DataFrame) -> dict[str, DataFrame]:
+    sources = ((FROM_ROLLUP, by_hour), (FROM_FLOW_ROLLUP, by_flow), (FROM_READINGS, clean))
+    return {name: report(table) for group, table in sources for name, report in group.items()}
 
 
 def run_suite(spark: SparkSession, obs: DataFrame, root: str) -> dict[str, DataFrame]:

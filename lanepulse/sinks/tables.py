@@ -1,5 +1,7 @@
 """Sinks. Reruns replace what they wrote before instead of adding to it."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,10 +76,13 @@ def write_cleaned(clean: DataFrame, path: str) -> None:
     clean.write.mode("overwrite").option("compression", COMPRESSION).parquet(path)
 
 
-def export_summaries(summaries: dict[str, DataFrame], root: str) -> None:
-    """Each named summary as CSV in its own folder."""
-    for name, summary in summaries.items():
-        write_csv(summary, f"{root}/{name}")
+def export_summaries(summaries: dict[str, DataFrame], root: str, at_once: int = 8) -> None:
+    """Each named summary as CSV in its own folder. Summaries are short jobs, so several
+    run at the same time."""
+    with ThreadPoolExecutor(at_once) as pool:
+        jobs = [pool.submit(write_csv, df, f"{root}/{name}") for name, df in summaries.items()]
+        for job in jobs:
+            job.result()
 
 
 def write_timings(timings: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:

@@ -573,13 +573,21 @@ def _rollup() -> dict[str, str]:
         "count(*) FILTER (regime_a = 'Synchronized Flow') AS synchronized_n",
         "count(*) FILTER (regime_a = 'Wide Moving Jam') AS jam_n",
     ]
-    base = _temporal() | _spatial()
+    base = _temporal() | _spatial() | _flow()
     same = (
         "hourly_profile", "weekday_weekend_comparison", "road_congestion_severity", "lane_speed",
-        "top10_most_congested_roads", "geospatial_data",
+        "top10_most_congested_roads", "geospatial_data", "flow_regime_stats", "fundamental_diagram",
+        "traffic_regime_distribution",
     )
+    cells = "hour, lane_id, volume_cell, occupancy_cell, regime_a AS traffic_regime, regime_b AS flow_regime"
+    source = (
+        f"(SELECT *, {_bins('volume', VOLUME_BINS, 'v')}, {_bins('occupancy', FINE_BINS, 'o')} FROM clean)"
+    )
+    by_flow = _group(
+        source, cells.replace("volume_cell", "v_order AS volume_cell").replace(
+            "occupancy_cell", "o_order AS occupancy_cell"), ", ".join(figures))
     rollup = _group("clean", keys, ", ".join(figures))
-    return {"hourly_rollup": rollup, "located_rollup": rollup} | {
+    return {"hourly_rollup": rollup, "located_rollup": rollup, "flow_rollup": by_flow} | {
         f"{name}_from_rollup": base[name] for name in same
     }
 

@@ -12,8 +12,8 @@ from lanepulse.functions import fixed_values as V
 from lanepulse.operators import (
     descriptive, flow, ingest, quality, rush, sampling, spatial, temporal, timings,
 )
-from lanepulse.plans.rollup import hourly_rollup, located_rollup
-from lanepulse.plans.suite import FROM_ROLLUP
+from lanepulse.plans.rollup import flow_rollup, hourly_rollup, located_rollup
+from lanepulse.plans.suite import FROM_FLOW_ROLLUP, FROM_ROLLUP
 from lanepulse.sinks import tables as sinks
 from lanepulse.sources import shared, xml
 from lanepulse.sources import tables as sources
@@ -342,6 +342,9 @@ ROLLED_UP = (
 )
 
 
+ROLLED_UP_BY_FLOW = ("flow_regime_stats", "fundamental_diagram", "traffic_regime_distribution")
+
+
 def _rollup() -> dict[str, Query]:
     def source(spark, sf_dir):
         return hourly_rollup(tables.clean(spark, sf_dir))
@@ -351,8 +354,17 @@ def _rollup() -> dict[str, Query]:
             tables.readings(spark, sf_dir), tables.locations(spark, sf_dir),
             tables.few_locations(spark, sf_dir)))
 
-    return {"hourly_rollup": _on(source, lambda rollup: rollup), "located_rollup": joined_late} | {
+    def by_flow(spark, sf_dir):
+        return flow_rollup(tables.clean(spark, sf_dir))
+
+    return {
+        "hourly_rollup": _on(source, lambda rollup: rollup),
+        "located_rollup": joined_late,
+        "flow_rollup": _on(by_flow, lambda rollup: rollup),
+    } | {
         f"{name}_from_rollup": _on(source, FROM_ROLLUP[name]) for name in ROLLED_UP
+    } | {
+        f"{name}_from_rollup": _on(by_flow, FROM_FLOW_ROLLUP[name]) for name in ROLLED_UP_BY_FLOW
     }
 
 

@@ -15,8 +15,8 @@ from lanepulse.functions import columns as C
 from lanepulse.functions import fixed_values as V
 from lanepulse.operators import descriptive, flow, quality, rush, sampling, spatial, temporal
 from lanepulse.operators.distribution import describe_column
-from lanepulse.plans.rollup import hourly_rollup
-from lanepulse.plans.suite import FROM_READINGS, FROM_ROLLUP, run_suite
+from lanepulse.plans.rollup import flow_rollup, hourly_rollup
+from lanepulse.plans.suite import FROM_FLOW_ROLLUP, FROM_READINGS, FROM_ROLLUP, run_suite
 from lanepulse.testbed import tables
 
 READING = (
@@ -47,6 +47,11 @@ def clean(spark, sf_dir):
     return tables.clean(spark, sf_dir).cache()
 
 
+@pytest.fixture(scope="module")
+def rollups(clean):
+    return hourly_rollup(clean).cache(), flow_rollup(clean).cache()
+
+
 # --- invariants ---------------------------------------------------------------
 
 GROUPED = [
@@ -298,9 +303,10 @@ def close(a, b):
     return a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9))
 
 
-@pytest.mark.parametrize("name", sorted(FROM_ROLLUP))
-def test_roll_up_gives_the_same_report(clean, name):
-    direct, merged = FROM_ROLLUP[name](clean), FROM_ROLLUP[name](hourly_rollup(clean))
+@pytest.mark.parametrize("name", sorted(FROM_ROLLUP | FROM_FLOW_ROLLUP))
+def test_roll_up_gives_the_same_report(clean, rollups, name):
+    report = (FROM_ROLLUP | FROM_FLOW_ROLLUP)[name]
+    direct, merged = report(clean), report(rollups[0] if name in FROM_ROLLUP else rollups[1])
     assert direct.columns == merged.columns
     pairs = zip(direct.collect(), merged.collect(), strict=True)
     left_right = [(tuple(a), tuple(b)) for a, b in pairs]
@@ -322,7 +328,7 @@ def test_reports_on_single_readings_refuse_a_roll_up(clean):
 def test_suite(spark, obs, tmp_path):
     root = str(tmp_path / "suite")
     results = run_suite(spark, obs, root)
-    assert set(results) == set(FROM_ROLLUP) | set(FROM_READINGS)
+    assert set(results) == set(FROM_ROLLUP) | set(FROM_FLOW_ROLLUP) | set(FROM_READINGS)
     exported = spark.read.csv(f"{root}/reports/hourly_profile", header=True)
     assert exported.count() == results["hourly_profile"].count() == 24
     cleaned = spark.read.parquet(f"{root}/cleaned")
