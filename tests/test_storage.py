@@ -114,8 +114,10 @@ def test_errors_are_not_taken_for_absence(spark, tmp_path):
 
 
 def test_exports_and_text(spark, tmp_path):
-    sinks.export_summaries({"a": spark.range(3), "b": spark.range(4)}, str(tmp_path))
-    assert len(files_below(str(tmp_path / "a"))) == 1
+    sinks.export_summaries({"a": spark.range(3).orderBy("id"), "b": spark.range(4)}, str(tmp_path))
+    assert len(files_below(str(tmp_path / "a"))) == 1  # merged by adaptive execution
+    sinks.write_csv(spark.range(100), str(tmp_path / "one"), single_file=True)
+    assert len(files_below(str(tmp_path / "one"))) == 1
     assert sources.peek_csv(spark, str(tmp_path / "b")).count() == 4
     assert sources.read_text(spark, str(tmp_path / "a")).count() == 4  # header and three rows
     sinks.write_subset(spark.range(1000), str(tmp_path / "s"), 0.5)
