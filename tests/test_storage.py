@@ -114,7 +114,8 @@ def test_errors_are_not_taken_for_absence(spark, tmp_path):
 
 
 def test_exports_and_text(spark, tmp_path):
-    sinks.export_summaries({"a": spark.range(3).orderBy("id"), "b": spark.range(4)}, str(tmp_path))
+    three = spark.range(30).groupBy((F.col("id") % 3).alias("k")).count().orderBy("k")
+    sinks.export_summaries({"a": three, "b": spark.range(4)}, str(tmp_path))
     assert len(files_below(str(tmp_path / "a"))) == 1  # merged by adaptive execution
     sinks.write_csv(spark.range(100), str(tmp_path / "one"), single_file=True)
     assert len(files_below(str(tmp_path / "one"))) == 1
