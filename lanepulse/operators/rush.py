@@ -71,7 +71,8 @@ def high_occupancy_roads(obs: DataFrame, k: int = 20, above: float = V.HIGH_OCCU
 # --- SQL form ---------------------------------------------------------------
 
 def register_view(obs: DataFrame, name: str = VIEW) -> None:
-    obs.createOrReplaceTempView(name)
+    """Name the observations for SQL, with their hour as a column to filter on."""
+    C.with_hour(obs).createOrReplaceTempView(name)
 
 
 def query_text(name: str) -> str:

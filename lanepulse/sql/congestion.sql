@@ -8,7 +8,7 @@ WITH roads AS (
          count_if(occupancy > 50 AND speed < 40) AS severe_congestion_count,
          count_if(occupancy > 30 AND speed < 60) AS moderate_congestion_count
   FROM traffic_data
-  WHERE hour(period_from) >= :start_hour AND hour(period_from) < :end_hour
+  WHERE hour >= :start_hour AND hour < :end_hour
     AND Road_EN IS NOT NULL
   GROUP BY ALL
 )

@@ -468,6 +468,7 @@ def _ingest() -> dict[str, str]:
             "SELECT time_from AS period_from, time_to AS period_to, detector_id, event_type AS direction, lane_id, "
             "CASE WHEN lane_id = 'Fast Lane' THEN CAST(CAST(floor(value) AS INT) AS VARCHAR) "
             "WHEN event_id % 9 = 0 THEN 'abc' ELSE k END AS speed FROM k"),
+        "locations_csv": _lanes("SELECT AID_ID_Number, Road_EN, District, NULL::DOUBLE AS Rotation FROM places"),
         "located_readings": located,
         "streamed_readings": located,
         "located_observations": _with(f"SELECT {OBS_ROW} FROM obs"),

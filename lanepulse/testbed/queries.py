@@ -183,7 +183,14 @@ def xml_period_rows(spark, sf_dir):
 def located_readings(spark, sf_dir):
     readings = ingest.flatten_readings(documents.documents(spark, sf_dir))
     places = ingest.canonical_locations(documents.detector_locations(spark, sf_dir))
-    return plain(ingest.join_locations(readings, places))
+    return plain(ingest.join_locations(readings, places, tables.few_locations(spark, sf_dir)))
+
+
+def locations_csv(spark, sf_dir):
+    path = shared.new_path(spark, "locations")
+    documents.detector_locations(spark, sf_dir).write.csv(path, header=True)
+    places = ingest.canonical_locations(xml.read_locations(spark, path))
+    return places.select("AID_ID_Number", "Road_EN", "District", "Rotation")
 
 
 def streamed_readings(spark, sf_dir):
@@ -201,6 +208,7 @@ def _ingest() -> dict[str, Query]:
         "fanout_counts": lambda spark, sf_dir: ingest.fanout_counts(documents.documents(spark, sf_dir)),
         "xml_readings": xml_readings,
         "xml_period_rows": xml_period_rows,
+        "locations_csv": locations_csv,
         "located_readings": located_readings,
         "streamed_readings": streamed_readings,
         "located_observations": _on(tables.observations, lambda obs: obs),
