@@ -74,7 +74,8 @@ def recent_totals(timings: DataFrame, days: int = 7, today=None) -> DataFrame:
     """Totals since ``days`` before today (or before a given date)."""
     until = F.current_date() if today is None else F.lit(today).cast("date")
     recent = totals(timings).filter(F.to_date("timestamp") >= F.date_sub(until, days))
-    return recent.select("timestamp", "tool", "duration_seconds").orderBy("timestamp", "tool")
+    columns = ("timestamp", "tool", "duration_seconds")
+    return recent.select(*columns).orderBy(*columns)  # all columns, so few rows tie
 
 
 def dataset_by_tool(timings: DataFrame, tools: list[str]) -> DataFrame:
