@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanepulse.llm import urls
+from lanepulse.llm import repetition, simhash, urls
 
 #: Site names whose pages make up the list of unwanted URLs.
 LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
@@ -19,5 +19,18 @@ def op8_url_filter(spark, sf_dir):
     return urls.judge_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict", "canonical")
 
 
+def op4_repetition(spark, sf_dir):
+    return repetition.repetition_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_simhash(spark, sf_dir):
+    found = simhash.simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries():
-    return {"op8_url_filter": op8_url_filter}
+    return {
+        "op4_repetition": op4_repetition,
+        "op8_url_filter": op8_url_filter,
+        "op10_simhash": op10_simhash,
+    }
