@@ -1,9 +1,12 @@
 """Registered queries of the training-data operators."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanepulse.llm import repetition, simhash, urls
+from lanepulse.llm import bpe, packing, repetition, simhash, urls
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Site names whose pages make up the list of unwanted URLs.
 LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
@@ -13,12 +16,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_bpe(spark, sf_dir):
+    return bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER).drop("text")
+
+
 def op8_url_filter(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.where(urls.url_host(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_SITES)})\."))
     return urls.judge_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict", "canonical")
 
 
+def op1_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+
+
 def op4_repetition(spark, sf_dir):
     return repetition.repetition_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -30,7 +41,9 @@ def op10_simhash(spark, sf_dir):
 
 def queries():
     return {
+        "op1_packing": op1_packing,
         "op4_repetition": op4_repetition,
+        "op5_bpe": op5_bpe,
         "op8_url_filter": op8_url_filter,
         "op10_simhash": op10_simhash,
     }
