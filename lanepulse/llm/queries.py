@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanepulse.llm import bpe, packing, repetition, simhash, urls
+from lanepulse.llm import bpe, packing, repetition, secrets, simhash, urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,6 +20,14 @@ def op5_bpe(spark, sf_dir):
     return bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER).drop("text")
 
 
+def op6_secrets(spark, sf_dir):
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(secrets.joined(F.col("base_spans")), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op8_url_filter(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.where(urls.url_host(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_SITES)})\."))
@@ -44,6 +52,7 @@ def queries():
         "op1_packing": op1_packing,
         "op4_repetition": op4_repetition,
         "op5_bpe": op5_bpe,
+        "op6_secrets": op6_secrets,
         "op8_url_filter": op8_url_filter,
         "op10_simhash": op10_simhash,
     }
