@@ -36,7 +36,7 @@ SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-MAX_ENTRIES = 400_000
+MAX_ENTRIES = 350_000
 LONGEST_ENTRY = 64
 #: A space that may not begin a token of its own: more white space, or the end, follows.
 UNSAFE = re.compile(r" (?=\s|\Z)")
@@ -107,7 +107,7 @@ class Codec:
         self.buffer = np.frombuffer(b"".join(parts), np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         self.decimal = list(map(str, range(len(parts))))
-        self.words, self.pieces_known = Recent(MAX_ENTRIES // 2), Recent(MAX_ENTRIES)
+        self.words, self.pieces_known = Recent(MAX_ENTRIES), Recent(3 * MAX_ENTRIES // 4)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging would leave the border between two tokens alone: no pair of their
@@ -141,13 +141,16 @@ class Codec:
         for end, token in self.longest.iter(piece.decode("latin-1")[::-1]):
             if longest[last - end] < 0:  # the longest comes first
                 longest[last - end] = token
-        tokens, at, dead, size, shorter = [], 0, set(), self.size, self.shorter
-        token = longest[0]
+        tokens, at, dead, size, shorter, fits = [], 0, set(), self.size, self.shorter, self.fits
+        token, last = longest[0], -1
         while at < n:
             stop = at + size[token]
-            if stop not in dead and (not tokens or self.compatible(tokens[-1], token)):
+            fit = stop not in dead and (last < 0 or fits.get(last << 32 | token))
+            if fit is None:
+                fit = self.compatible(last, token)
+            if fit:
                 tokens.append(token)
-                at = stop
+                at, last = stop, token
                 if at < n:
                     token = longest[at]
             elif shorter[token] >= 0:
@@ -156,6 +159,7 @@ class Codec:
                 dead.add(at)
                 token = tokens.pop()
                 at -= size[token]
+                last = tokens[-1] if tokens else -1
         return [self.ids[t] for t in tokens]
 
     def _piece(self, piece: str) -> bytes:

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanepulse.llm import bpe, packing, repetition, secrets, simhash, urls
+from lanepulse.llm import bpe, lines, packing, repetition, secrets, simhash, urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -38,6 +38,16 @@ def op1_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
 
 
+def op3_line_dedup(spark, sf_dir):
+    """One row per removed line: its place, the first line of the same words, and an earlier
+    matching line of other words where one settled it."""
+    gone = lines.removed_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return gone.select(
+        F.nullif("d", F.lit(lines.LAST_ID)).alias("doc_id"), "line",
+        F.nullif("first_d", F.lit(lines.LAST_ID)).alias("first_doc_id"), "first_line",
+        F.col("match_d").alias("match_doc_id"), "match_line")
+
+
 def op4_repetition(spark, sf_dir):
     return repetition.repetition_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -50,6 +60,7 @@ def op10_simhash(spark, sf_dir):
 def queries():
     return {
         "op1_packing": op1_packing,
+        "op3_line_dedup": op3_line_dedup,
         "op4_repetition": op4_repetition,
         "op5_bpe": op5_bpe,
         "op6_secrets": op6_secrets,

@@ -16,12 +16,10 @@ through; columns this operator adds replace equally named ones.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanepulse.llm.bloom import MAX_BLOCKS, with_hits
 from lanepulse.llm.stored import held
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORDS, WORD_BITS = 8, 32
-KEYS_PER_BLOCK = 16
-MAX_BLOCKS = 1 << 17
 #: Host rules as (verdict, host and path).
 RULES = (
     ("block", "net/"),
@@ -69,24 +67,6 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def _probe(key: Column) -> tuple[Column, list[Column]]:
-    """Two hashes: one picks the block, eight five-bit fields of the other the bits."""
-    bits = F.xxhash64(key, F.lit(1))
-    return F.xxhash64(key), [
-        F.call_function("shiftleft", F.lit(1), F.shiftright(bits, 5 * i).bitwiseAND(F.lit(WORD_BITS - 1)).cast("int"))
-        for i in range(WORDS)
-    ]
-
-
-def bloom_blocks(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """(block, w0..w7): the blocked Bloom filter of a column, combined before the shuffle."""
-    hashed, bits = _probe(F.col(key))
-    return (
-        keys.select(F.pmod(hashed, F.lit(blocks)).alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(bits)])
-        .groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
-    )
-
-
 def judge_urls(
     pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES, max_blocks: int = MAX_BLOCKS
 ) -> DataFrame:
@@ -95,9 +75,6 @@ def judge_urls(
     blocked."""
     added = ("host", "path", "canonical", "rule", "verdict")
     keys = held(listed.select(canonical_url(F.col(url)).alias("listed_url")).where("listed_url IS NOT NULL").distinct())
-    wanted = max(1, keys.count() // KEYS_PER_BLOCK)
-    blocks = min(max_blocks, 1 << (wanted - 1).bit_length())
-    bloom = F.broadcast(bloom_blocks(keys, "listed_url", blocks).select(F.struct("*").alias("_bloom")))
 
     source = F.col(f"_page.{url}")
     page = pages.select(F.struct("*").alias("_page"))
@@ -105,12 +82,8 @@ def judge_urls(
                        canonical_url(source).alias("_key"))
     rule, verdict = longest_rule(F.col("_host"), F.col("_path"), rules)
     page = page.select("*", rule.alias("_rule"), verdict.alias("_ruled"))
-    hashed, bits = _probe(F.col("_key"))
-    probed = page.join(bloom, F.pmod(hashed, F.lit(blocks)) == F.col("_bloom.block"), "left")
-    hit = F.lit(True)
-    for i, bit in enumerate(bits):
-        hit = hit & (F.col(f"_bloom.w{i}").bitwiseAND(bit) != 0)
-    open_hit = F.coalesce(hit & F.col("_ruled").isNull(), F.lit(False))
+    probed = with_hits(page, ["_key"], keys, ["listed_url"], max_blocks)
+    open_hit = F.col("_hit") & F.col("_ruled").isNull()
     columns = ["_page", "_host", "_path", "_key", "_rule"]
     decided = probed.where(~open_hit).select(*columns, F.coalesce("_ruled", F.lit("allow")).alias("_verdict"))
     asked = probed.where(open_hit).select(*columns).join(keys, F.col("_key") == F.col("listed_url"), "left")
