@@ -1,10 +1,22 @@
 """Registered queries of the training-data operators."""
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanepulse.llm import bpe, lines, packing, repetition, secrets, simhash, urls
+from lanepulse.llm import (
+    bpe,
+    languages,
+    lines,
+    neighbours,
+    packing,
+    repetition,
+    secrets,
+    simhash,
+    substrings,
+    urls,
+)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,6 +40,11 @@ def op6_secrets(spark, sf_dir):
         secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op7_neighbours(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op8_url_filter(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.where(urls.url_host(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_SITES)})\."))
@@ -38,6 +55,11 @@ def op1_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
 
 
+def op2_substring_dedup(spark, sf_dir):
+    """One row per span that other documents share."""
+    return substrings.repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_line_dedup(spark, sf_dir):
     """One row per removed line: its place, the first line of the same words, and an earlier
     matching line of other words where one settled it."""
@@ -52,6 +74,13 @@ def op4_repetition(spark, sf_dir):
     return repetition.repetition_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op9_languages(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    model = languages.fit(docs.where(~held_out))
+    return languages.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
 def op10_simhash(spark, sf_dir):
     found = simhash.simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,11 +88,15 @@ def op10_simhash(spark, sf_dir):
 
 def queries():
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_packing": op1_packing,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_line_dedup": op3_line_dedup,
         "op4_repetition": op4_repetition,
         "op5_bpe": op5_bpe,
         "op6_secrets": op6_secrets,
+        "op7_neighbours": op7_neighbours,
         "op8_url_filter": op8_url_filter,
+        "op9_languages": op9_languages,
         "op10_simhash": op10_simhash,
     }

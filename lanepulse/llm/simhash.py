@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanepulse.llm.links import components
@@ -235,14 +235,33 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return found.where("cut < 0").select("a", "b").unionByName(finer.mapInPandas(_compare_cut, "a long, b long"))
 
 
-def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the least doc_id reachable over links of at
-    most three bits."""
+def _grouped(docs: DataFrame, text: str, doc_id: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as (doc_id, fp), and per fingerprint its group's root and least doc_id."""
     own = held(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(docs, text, width).alias("fp")))
     prints = held(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     nodes = components(fingerprint_links(prints)).withColumnsRenamed({"node": "fp"})
     grouped = nodes.join(prints, "fp")
     heads = grouped.groupBy("component").agg(F.min("least").alias("head"))
-    linked = grouped.join(heads, "component").select("fp", "head")
-    known = prints.join(linked, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id"))
+    linked = grouped.join(heads, "component").select("fp", "component", "head")
+    return own, prints.join(linked, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("root"), F.coalesce("head", "least").alias("component_id"))
+
+
+def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, component_id) for every row: the least doc_id reachable over links of at
+    most three bits."""
+    own, known = _grouped(docs, text, doc_id, width)
     return own.join(known, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE) -> DataFrame:
+    """Documents with one row left of each group: the least doc_id, then the least fingerprint
+    and text hash; rows without an id come last."""
+    own, known = _grouped(docs, text, doc_id, width)
+    stays = own.join(known, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("s"))
+    stays = stays.select(F.col("s.doc_id").alias("_id"), F.col("s.fp").alias("_fp"))
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("_own"), fingerprints(docs, text, width).alias("_print"))
+    kept = rows.join(stays, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_fp")), "left_semi")
+    first = Window.partitionBy("_own", "_print").orderBy(F.xxhash64(f"_doc.`{text}`"))
+    kept = kept.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return kept.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

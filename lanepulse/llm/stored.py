@@ -1,6 +1,7 @@
 """Intermediate results that survive a lost executor."""
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,3 +18,13 @@ def held(df: DataFrame) -> DataFrame:
     """`df` computed once and written to the shared checkpoint folder; its lineage ends there."""
     _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as a Parquet table of its own in the shared folder and read again."""
+    spark = df.sparkSession
+    _folder(spark)
+    base = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
