@@ -6,10 +6,6 @@ from pyspark.sql import functions as F
 from lanepulse import schemas
 from lanepulse.functions import fixed_values as V
 
-# At some 200 bytes a row, a broadcast of at most 40 MB.
-BROADCAST_ROWS = 200_000
-SALTS = 16
-
 
 def explode_periods(docs: DataFrame) -> DataFrame:
     """One row per document and period."""
@@ -115,32 +111,32 @@ def canonical_locations(locations: DataFrame) -> DataFrame:
     return locations.withColumn("District", canonical_district(F.col("District")))
 
 
-def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most this many rows; counts no further than one more."""
-    return table.limit(rows + 1).count() <= rows
-
-
-def join_locations(readings: DataFrame, locations: DataFrame, broadcast: bool | None = None) -> DataFrame:
+def join_locations(readings: DataFrame, locations: DataFrame, salts: int = 1) -> DataFrame:
     """Left join on the detector; readings without a location keep NULLs.
 
-    The locations are broadcast only after a count has shown them to be few (pass the
-    answer as ``broadcast`` to count once for many joins): the readings then stay where
-    they are. A larger table is joined by shuffle with the readings of each detector
-    spread over ``SALTS`` tasks, so a detector that holds a third of all rows is split.
+    Spark broadcasts the locations if their size in bytes allows it, else it shuffles and
+    adaptive execution splits a hot detector's readings. ``salts`` spreads every detector over
+    so many join keys, for clusters without adaptive execution. A detector that is listed
+    twice doubles its readings: see ``repeated_locations``.
     """
     kept = [c for c in schemas.LOCATION_COLUMNS if c in locations.columns]
     places = locations.select("AID_ID_Number", *kept)
     same = F.col("detector_id") == F.col("AID_ID_Number")
-    if fits_broadcast(places) if broadcast is None else broadcast:
-        return readings.join(F.broadcast(places), same, "left").drop("AID_ID_Number")
+    if salts == 1:
+        return readings.join(places, same, "left").drop("AID_ID_Number")
 
-    salt = F.pmod(F.xxhash64(*readings.columns), F.lit(SALTS)).cast("int")
-    copies = places.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*readings.columns), F.lit(salts)).cast("int")
+    copies = places.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return readings.withColumn("_salt", salt).join(
         copies, same & (F.col("_salt") == F.col("_copy")), "left"
     ).drop("AID_ID_Number", "_salt", "_copy")
 
 
+def repeated_locations(locations: DataFrame) -> DataFrame:
+    """Detectors that the location table lists more than once, with how often."""
+    return locations.groupBy("AID_ID_Number").agg(F.count(F.lit(1)).alias("entries")).filter(F.col("entries") > 1)
+
+
 def unmatched_detectors(readings: DataFrame, locations: DataFrame) -> DataFrame:
     """Detectors that no location names. Distinct first, so the join sees one row each."""
     detectors = readings.select("detector_id").distinct()

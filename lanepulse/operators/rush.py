@@ -84,20 +84,23 @@ def run_sql(spark: SparkSession, text: str, **parameters) -> DataFrame:
     return spark.sql(text, args=parameters or None)
 
 
-def _window_sql(spark, obs, name, window):
-    register_view(obs)
-    return run_sql(spark, query_text(name), start_hour=window[0], end_hour=window[1])
+def over(spark: SparkSession, obs: DataFrame, name: str, **parameters) -> DataFrame:
+    """A packaged query over these observations: ``{obs}`` in its text is the frame itself, so
+    queries of several threads never share a name."""
+    return spark.sql(query_text(name), args=parameters, obs=C.with_hour(obs))
 
 
 def busy_roads_sql(spark: SparkSession, obs: DataFrame, window) -> DataFrame:
-    return _window_sql(spark, obs, "busy_roads", window)
+    return over(spark, obs, "busy_roads", start_hour=window[0], end_hour=window[1], k=10)
 
 
 def congestion_sql(spark: SparkSession, obs: DataFrame, window) -> DataFrame:
-    return _window_sql(spark, obs, "congestion", window)
+    return over(
+        spark, obs, "congestion", start_hour=window[0], end_hour=window[1], k=10,
+        severe_occupancy=V.SEVERE["occupancy_above"], severe_speed=V.SEVERE["speed_below"],
+        moderate_occupancy=V.MODERATE["occupancy_above"], moderate_speed=V.MODERATE["speed_below"])
 
 
 def high_occupancy_sql(spark: SparkSession, obs: DataFrame,
                        above: float = V.HIGH_OCCUPANCY_PCT) -> DataFrame:
-    register_view(obs)
-    return run_sql(spark, query_text("high_occupancy"), above=above)
+    return over(spark, obs, "high_occupancy", above=above, k=20)

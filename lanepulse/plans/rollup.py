@@ -23,14 +23,14 @@ def hourly_rollup(obs: DataFrame, keys=KEYS) -> DataFrame:
     return C.with_hour(obs).groupBy(*keys).agg(*rollup_parts())
 
 
-def located_rollup(readings: DataFrame, locations: DataFrame, broadcast: bool | None = None) -> DataFrame:
+def located_rollup(readings: DataFrame, locations: DataFrame, salts: int = 1) -> DataFrame:
     """The roll-up of the cleaned observations, straight from readings without a location.
 
     The readings are cleaned and added up first, and only the roll-up's rows meet the
-    locations: when those are too many to broadcast, a hundredth of the rows is shuffled.
+    locations: where those are not broadcast, a hundredth of the rows is shuffled.
     """
     usable = readings.filter(C.is_valid()).filter(C.in_range())
-    located = join_locations(hourly_rollup(usable, READING_KEYS), locations, broadcast)
+    located = join_locations(hourly_rollup(usable, READING_KEYS), locations, salts)
     return located.filter(C.road_known())
 
 

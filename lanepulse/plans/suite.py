@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lanepulse.operators import descriptive, flow, quality, spatial, temporal
 from lanepulse.plans.rollup import flow_rollup, hourly_rollup
 from lanepulse.sinks.tables import export_summaries
-from lanepulse.sources.tables import read_or_compute
+from lanepulse.sources.tables import read_or_compute, version_of
 
 # Reports that need only sums, counts and squares: answered from the roll-up.
 FROM_ROLLUP = {
@@ -71,10 +71,12 @@ FROM_READINGS = {
 
 def prepare(spark: SparkSession, obs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Write (or find) the cleaned table and its two roll-ups. They are ordinary tables, so
-    a lost executor costs a re-read and a restarted job goes on from what is finished."""
-    clean = read_or_compute(spark, f"{root}/cleaned", lambda: quality.clean_observations(obs))
-    by_hour = read_or_compute(spark, f"{root}/rollup", lambda: hourly_rollup(clean))
-    by_flow = read_or_compute(spark, f"{root}/flow_rollup", lambda: flow_rollup(clean))
+    a lost executor costs a re-read and a restarted job goes on from what is finished. Other
+    input files, or changed ones, are another version and are computed anew."""
+    version = version_of(obs)
+    clean = read_or_compute(spark, f"{root}/cleaned", lambda: quality.clean_observations(obs), version)
+    by_hour = read_or_compute(spark, f"{root}/rollup", lambda: hourly_rollup(clean), version)
+    by_flow = read_or_compute(spark, f"{root}/flow_rollup", lambda: flow_rollup(clean), version)
     return clean, by_hour, by_flow
 
 

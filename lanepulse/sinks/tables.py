@@ -1,4 +1,4 @@
-"""Sinks. Reruns replace what they wrote before instead of adding to it."""
+"""Sinks. A rerun of an ingest unit replaces what that unit wrote before, and nothing else."""
 
 from concurrent.futures import ThreadPoolExecutor
 
@@ -10,6 +10,7 @@ from lanepulse.operators.sampling import bernoulli_sample
 from lanepulse.sources.tables import TARGET_PARTITION_BYTES, partitions_for
 
 COMPRESSION = "snappy"
+UNIT = "ingest_unit"
 
 
 def with_month(obs: DataFrame) -> DataFrame:
@@ -17,30 +18,29 @@ def with_month(obs: DataFrame) -> DataFrame:
     return C.with_hour(obs).withColumn("month", F.date_format("date", "yyyyMM"))
 
 
-def _replacing(df: DataFrame):
-    """Overwrite only the partitions present in the data: safe to run again."""
-    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
-        "compression", COMPRESSION
-    )
-
+def write_unit(df: DataFrame, path: str, by: list[str], unit: str) -> None:
+    """Parquet below `by` and the unit of ingest (a folder's or batch's lasting name).
 
-def write_by_month(obs: DataFrame, path: str) -> None:
-    """Parquet, one folder per month.
-
-    The rebalance hint sizes the files at run time: small months merge, and a month that
-    holds a third of all rows is split over several tasks.
+    The unit is part of every partition, so a second run of a unit leaves its rows once while
+    rows that other units stored for the same month or day stay: files of one unit may hold
+    rows of neighbouring months, or rows without a date. The rebalance hint sizes the files at
+    run time: small partitions merge, and one that holds a third of all rows is split. A unit
+    whose rows for a partition are gone after a correction must be cleared by the caller.
     """
-    _replacing(with_month(obs).hint("rebalance", "month")).partitionBy("month").parquet(path)
+    rows = df.hint("rebalance", *by).withColumn(UNIT, F.lit(unit))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+        "compression", COMPRESSION
+    ).partitionBy(*by, UNIT).parquet(path)
 
 
-def append_by_month(obs: DataFrame, path: str) -> None:
-    """Plain append, for months that are known to be new."""
-    rows = with_month(obs).hint("rebalance", "month")
-    rows.write.mode("append").option("compression", COMPRESSION).partitionBy("month").parquet(path)
+def write_by_month(obs: DataFrame, path: str, unit: str) -> None:
+    """Parquet, one folder per month and ingest unit."""
+    write_unit(with_month(obs), path, ["month"], unit)
 
 
-def write_by_date(obs: DataFrame, path: str) -> None:
-    _replacing(obs.hint("rebalance", "date")).partitionBy("date").parquet(path)
+def write_by_date(obs: DataFrame, path: str, unit: str) -> None:
+    """Parquet, one folder per date and ingest unit."""
+    write_unit(obs, path, ["date"], unit)
 
 
 def write_csv(summary: DataFrame, path: str, single_file: bool = False) -> None:
@@ -59,9 +59,9 @@ def write_csv_by_date(obs: DataFrame, path: str) -> None:
 
 
 def compact(table: DataFrame, path: str, by: str = "date") -> None:
-    """Rewrite many small files as few per partition value, to a new path; the old files
-    stay until the caller switches over."""
-    table.hint("rebalance", by).write.mode("overwrite").option(
+    """Rewrite many small files as few per partition value, to a new path, with the ingest
+    units of a value merged; the old files stay until the caller switches over."""
+    table.drop(UNIT).hint("rebalance", by).write.mode("overwrite").option(
         "compression", COMPRESSION
     ).partitionBy(by).parquet(path)
 

@@ -1,6 +1,5 @@
 """A folder every executor can reach, for tables a job writes and reads back."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -9,14 +8,10 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir. Only a local session may
-    do without it: its driver and executors share one disk."""
+    """The folder the session names in spark.checkpoint.dir, else one in its warehouse: both
+    are shared by the driver and all executors."""
     named = spark.conf.get(SETTING, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {SETTING} to a folder shared by all executors")
-    return tempfile.gettempdir()
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -85,26 +85,39 @@ def partitions_for(size_bytes: int, target_bytes: int = TARGET_PARTITION_BYTES)
     return max(1, ceil(size_bytes / target_bytes))
 
 
-def read_or_compute(spark: SparkSession, path: str, compute) -> DataFrame:
-    """The table at ``path``; computed and written there first if it is not finished.
-
-    A small mark is written beside the table after its last row. Without the mark (nothing
-    there, or a run that died half-way) the table is computed again. Any other error is the
-    caller's to see.
+def version_of(df: DataFrame) -> str:
+    """What a table was read from: its files with their sizes and times of change, as one
+    digest. Empty for data that no file holds."""
+    own = df.sparkSession
+    paths = df.inputFiles()
+    if not paths:
+        return ""
+    files = own.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
+    seen = files.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"),
+        F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("digest")).first()
+    return f"{seen.n}-{seen.bytes}-{seen.digest}"
+
+
+def read_or_compute(spark: SparkSession, path: str, compute, version: str = "") -> DataFrame:
+    """The table at ``path``; computed and written first if it is not finished for ``version``.
+
+    ``version`` names what the table is made from (see ``version_of``). The table lies in a
+    folder of that version below ``path`` with a small mark beside its rows, which is written
+    last: without it (nothing there, a run that died half-way, or another input) the table is
+    computed. Any other error is the caller's to see.
     """
-    if not is_finished(spark, path):
-        compute().write.mode("overwrite").parquet(path)
-        spark.range(1).write.mode("overwrite").parquet(_mark(path))
-    return spark.read.parquet(path)
-
-
-def _mark(path: str) -> str:
-    return f"{path.rstrip('/')}.finished"
+    root = f"{path.rstrip('/')}/{version or 'any'}"
+    if not is_finished(spark, path, version):
+        compute().write.mode("overwrite").parquet(f"{root}/rows")
+        spark.range(1).write.mode("overwrite").parquet(f"{root}/finished")
+    return spark.read.parquet(f"{root}/rows")
 
 
-def is_finished(spark: SparkSession, path: str) -> bool:
+def is_finished(spark: SparkSession, path: str, version: str = "") -> bool:
     try:
-        return not spark.read.schema("id long").parquet(_mark(path)).isEmpty()
+        mark = f"{path.rstrip('/')}/{version or 'any'}/finished"
+        return not spark.read.schema("id long").parquet(mark).isEmpty()
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return False

@@ -1,13 +1,13 @@
--- Ten most congested roads inside [:start_hour, :end_hour)
+-- The :k most congested roads inside [:start_hour, :end_hour)
 WITH roads AS (
   SELECT Road_EN, District,
          sum(volume) AS total_volume,
          avg(occupancy) AS avg_occupancy,
          avg(speed) AS avg_speed,
          count(*) AS observation_count,
-         count_if(occupancy > 50 AND speed < 40) AS severe_congestion_count,
-         count_if(occupancy > 30 AND speed < 60) AS moderate_congestion_count
-  FROM traffic_data
+         count_if(occupancy > :severe_occupancy AND speed < :severe_speed) AS severe_congestion_count,
+         count_if(occupancy > :moderate_occupancy AND speed < :moderate_speed) AS moderate_congestion_count
+  FROM {obs}
   WHERE hour >= :start_hour AND hour < :end_hour
     AND Road_EN IS NOT NULL
   GROUP BY ALL
@@ -17,4 +17,4 @@ SELECT *,
          + try_divide(severe_congestion_count, observation_count) * 100 * 0.3D AS congestion_score
 FROM roads
 ORDER BY congestion_score DESC, Road_EN NULLS FIRST, District NULLS FIRST
-LIMIT 10
+LIMIT :k

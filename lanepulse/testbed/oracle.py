@@ -356,7 +356,7 @@ def _spatial() -> dict[str, str]:
         "evening_direction": _group("clean", "direction", usage, where="hour >= 17 AND hour < 21"),
         "road_direction_comparison": _group(
             "clean", "Road_EN, direction", f"{_avg('speed')}, {_avg('occupancy')}, {N} AS observation_count",
-            "HAVING count(*) > 20"),
+            "HAVING count(*) > 100"),
         "morning_district_flow": _group(
             "clean", "District, direction", f"{VOLUME}, {_avg('speed')}", where="hour >= 6 AND hour < 10"),
         "traffic_regime_distribution": _with(
@@ -373,7 +373,7 @@ def _spatial() -> dict[str, str]:
             "clean", "Road_EN, District",
             f"{_avg('speed')}, {_std('speed')}, {N} AS observation_count, "
             + _r(cv, "coefficient_of_variation"),
-            f"HAVING count(*) > 20 ORDER BY {cv} DESC, {TIES} LIMIT 20"),
+            f"HAVING count(*) > 100 ORDER BY {cv} DESC, {TIES} LIMIT 20"),
         "geospatial_data": _group(
             "clean", "detector_id, Road_EN, District, GeometryEasting, GeometryNorthing",
             f"{_avg('speed')}, {_avg('occupancy')}, {VOLUME}, {N} AS observation_count, "
@@ -401,7 +401,7 @@ def _flow() -> dict[str, str]:
             f"{N} AS record_count, {THREE}"),
         "road_capacity_estimates": _group(
             "clean", "Road_EN, District, lane_id", f"{capacity}{N} AS observation_count, {_avg('speed')}",
-            f"HAVING count(*) > 20 ORDER BY max_volume DESC, {TIES}, lane_id LIMIT 20"),
+            f"HAVING count(*) > 100 ORDER BY max_volume DESC, {TIES}, lane_id LIMIT 20"),
         "lane_capacity_estimates": _group(
             "clean", "lane_id",
             f"{capacity}quantile_disc(volume, 0.90) AS volume_90th, {N} AS observation_count"),
@@ -471,6 +471,7 @@ def _ingest() -> dict[str, str]:
         "locations_csv": _lanes("SELECT AID_ID_Number, Road_EN, District, NULL::DOUBLE AS Rotation FROM places"),
         "located_readings": located,
         "streamed_readings": located,
+        "two_stream_ingest": f"{located} CROSS JOIN (VALUES (1), (2)) twice(n)",
         "located_observations": _with(f"SELECT {OBS_ROW} FROM obs"),
     }
 
@@ -493,6 +494,14 @@ def _storage() -> dict[str, str]:
             "strftime(l_shipdate, '%Y%m') AS month FROM lineitem WHERE year(l_shipdate) = 1996"),
         "csv_by_date": _with(
             f"SELECT detector_id, lane_id, occupancy, speed, volume, {_day('date', 'date')} FROM readings"),
+        "month_boundary_ingest": (
+            "SELECT l_suppkey AS detector_id, l_returnflag AS lane_id, "
+            "CAST((l_partkey * 7 + l_linenumber) % 121 AS INT) AS speed, CAST(l_quantity AS INT) AS volume, "
+            "CASE WHEN l_suppkey % 7 <> 0 THEN strftime(l_shipdate, '%Y-%m-%d') END AS date, "
+            "CAST(hour(l_shipdate) AS INT) AS hour FROM lineitem"),
+        "date_boundary_ingest": _with(
+            f"SELECT detector_id, lane_id, speed, volume, {_day('date', 'date')}, source_file FROM readings "
+            "WHERE source_file IN ('file-1', 'file-2')"),
         "compacted_by_date": _with(f"SELECT {ROW} FROM readings"),
         "exported_summary": descriptive["district_stats"],
         "stored_lane_stats": descriptive["lane_stats"],

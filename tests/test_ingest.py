@@ -160,20 +160,10 @@ def test_locations_by_name(spark, locations):
         ("AID01101", "Central and Western", 90.0, 835000.5, None), ("AID09999", "Southern", None, 1.0, None)]
 
 
-def test_broadcast_only_when_few(spark, monkeypatch):
-    assert ingest.fits_broadcast(spark.range(5), 5) and not ingest.fits_broadcast(spark.range(6), 5)
-    readings = spark.range(100).select((F.col("id") % 3).alias("detector_id"), "id")
-    places = spark.range(3).select(F.col("id").alias("AID_ID_Number"), F.lit("r").alias("Road_EN"))
-    plan = lambda: ingest.join_locations(readings, places)._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan()
-    monkeypatch.setattr(ingest, "fits_broadcast", lambda table: False)
-    assert "broadcast" not in plan() and "_salt" in plan()
-
-
-@pytest.mark.parametrize("broadcast", [None, True, False])
-def test_location_join(spark, folder, locations, broadcast):
+@pytest.mark.parametrize("salts", [1, 4])
+def test_location_join(spark, folder, locations, salts):
     readings, _ = flat(spark, folder(a=GOOD))
-    located = ingest.join_locations(readings, locations, broadcast)
+    located = ingest.join_locations(readings, locations, salts)
     assert located.count() == 5 and "AID_ID_Number" not in located.columns
     assert rows(located.select("detector_id", "Road_EN").distinct()) == [
         ("AID01101", "Island Road"), ("AID01102", None)]
@@ -183,10 +173,15 @@ def test_location_join(spark, folder, locations, broadcast):
 def test_salted_join_gives_the_same_rows(spark, sf_dir):
     readings, places = tables.readings(spark, sf_dir), tables.locations(spark, sf_dir)
     hot = readings.withColumn("detector_id", F.when(F.col("volume") % 3 == 0, 7).otherwise(F.col("detector_id")))
-    shuffled = ingest.join_locations(hot, places, broadcast=False)
-    broadcast = ingest.join_locations(hot, places, broadcast=True)
-    assert shuffled.columns == broadcast.columns
-    assert shuffled.exceptAll(broadcast).count() == 0 == broadcast.exceptAll(shuffled).count()
+    salted, one = ingest.join_locations(hot, places, salts=16), ingest.join_locations(hot, places)
+    assert salted.columns == one.columns
+    assert salted.exceptAll(one).count() == 0 == one.exceptAll(salted).count()
+
+
+def test_repeated_locations(locations):
+    assert ingest.repeated_locations(locations).count() == 0
+    twice = ingest.repeated_locations(locations.unionByName(locations.filter("AID_ID_Number = 'AID01101'")))
+    assert rows(twice) == [("AID01101", 2)]
 
 
 def test_stream_takes_each_file_once(spark, folder, locations, tmp_path_factory):

@@ -5,16 +5,15 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from lanepulse.functions import columns as C
 from lanepulse.functions.measures import MEASURES
 from lanepulse.operators import descriptive, flow, quality, rush, spatial, temporal
 from lanepulse.plans.rollup import hourly_rollup, located_rollup
 from lanepulse.sinks import tables as sinks
-from lanepulse.testbed import tables
+from lanepulse.testbed import queries, tables
 
 # Queries that write files when they are built.
-WRITING = re.compile("xml|csv|text|parquet|compacted|exported|stored|streamed")
+WRITING = re.compile("xml|csv|text|parquet|compacted|exported|stored|stream|boundary")
 
 
 def physical(df):
@@ -25,13 +24,13 @@ def physical(df):
 def stored(spark, sf_dir, tmp_path_factory):
     """Cleaned observations in the stored layout: month partitions and an hour column."""
     path = str(tmp_path_factory.mktemp("plans") / "cleaned")
-    sinks.write_by_month(tables.clean(spark, sf_dir), path)
+    sinks.write_by_month(tables.clean(spark, sf_dir), path, "all")
     return spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("name", [q for q in sorted(contract.queries()) if not WRITING.search(q)])
+@pytest.mark.parametrize("name", [q for q in sorted(queries.queries()) if not WRITING.search(q)])
 def test_no_python_and_no_cross_join(spark, sf_dir, name):
-    plan = physical(contract.queries()[name](spark, sf_dir))
+    plan = physical(queries.queries()[name](spark, sf_dir))
     assert not re.search("Python|Pandas|CartesianProduct|BroadcastNestedLoopJoin|ObjectHashAggregate", plan)
 
 
@@ -83,7 +82,7 @@ def test_several_distinct_counts_do_not_expand_the_input(stored):
 
 def test_unlocated_readings_are_rolled_up_before_the_join(spark, sf_dir):
     plan = physical(located_rollup(
-        tables.readings(spark, sf_dir), tables.locations(spark, sf_dir), broadcast=False))
+        tables.readings(spark, sf_dir), tables.locations(spark, sf_dir)))
     assert plan.index("Join") < plan.index("HashAggregate")  # printed top down
 
 

@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import compare, connect
+from lanepulse.testbed import oracle, queries
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = queries.queries(), oracle.oracle_sql()
 # Random by nature: checked for its rate in test_operators.
 NO_SQL = {"scatter_sample"}
 

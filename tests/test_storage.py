@@ -26,20 +26,20 @@ def files_below(path):
     return [os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.startswith("part-")]
 
 
-def test_rerun_replaces_its_months_only(spark, span, tmp_path):
+def test_a_unit_replaces_only_its_own_rows(spark, span, tmp_path):
     path = str(tmp_path / "t")
-    months = sinks.with_month(span)
-    sinks.write_by_month(span, path)
-    before = spark.read.parquet(path).count()
-    sinks.write_by_month(months.filter("month = '199606'").drop("month", "hour"), path)
-    assert spark.read.parquet(path).count() == before == span.count()
-    sinks.append_by_month(months.filter("month = '199606'").drop("month", "hour"), path)
-    assert spark.read.parquet(path).count() > before
+    late = F.col("date") >= "1996-06-30"
+    sinks.write_by_month(span.filter(~late), path, "a")
+    for _ in range(2):  # the second folder starts on the last day of a month
+        sinks.write_by_month(span.filter(late), path, "b")
+    assert spark.read.parquet(path).count() == span.count()
+    june = sources.read_months(spark, path, ["199606"])
+    assert june.count() == span.filter("date between '1996-06-01' and '1996-06-30'").count()
 
 
 def test_months_are_pruned(spark, span, tmp_path):
     path = str(tmp_path / "t")
-    sinks.write_by_month(span, path)
+    sinks.write_by_month(span, path, "all")
     june = sources.read_months(spark, path, ["199606"])
     assert june.count() == span.filter("date between '1996-06-01' and '1996-06-30'").count() > 0
     plan = june._jdf.queryExecution().executedPlan().toString()
@@ -100,11 +100,23 @@ def test_read_or_compute(spark, tmp_path):
 
     assert sources.read_or_compute(spark, path, compute).count() == 5
     assert sources.read_or_compute(spark, path, compute).count() == 5 and len(runs) == 1
-    for part in files_below(f"{path}.finished"):  # as after a run that died half-way
+    for part in files_below(f"{path}/any/finished"):  # as after a run that died half-way
         os.remove(part)
     assert sources.read_or_compute(spark, path, compute).count() == 5 and len(runs) == 2
 
 
+def test_other_input_is_computed_anew(spark, tmp_path):
+    data, path = str(tmp_path / "in"), str(tmp_path / "stored")
+    answers = []
+    for n in (3, 3, 5):
+        if not answers or n != 3:
+            spark.range(n).write.mode("overwrite").parquet(data)
+        table = spark.read.parquet(data)
+        answers.append(sources.read_or_compute(
+            spark, path, lambda: table.agg(F.count("*").alias("n")), sources.version_of(table)).first()[0])  # noqa: B023
+    assert answers == [3, 3, 5] and sources.version_of(spark.range(3)) == ""
+
+
 def test_errors_are_not_taken_for_absence(spark, tmp_path):
     def fail():
         raise RuntimeError("no input")
@@ -127,7 +139,7 @@ def test_exports_and_text(spark, tmp_path):
 
 def test_cleaned_and_by_date(spark, span, tmp_path):
     sinks.write_cleaned(span, str(tmp_path / "c"))
-    sinks.write_by_date(span.filter("date < '1995-02-01'"), str(tmp_path / "d"))
+    sinks.write_by_date(span.filter("date < '1995-02-01'"), str(tmp_path / "d"), "all")
     sinks.write_csv_by_date(span.filter("date < '1995-02-01'"), str(tmp_path / "e"))
     n = span.filter("date < '1995-02-01'").count()
     assert spark.read.parquet(str(tmp_path / "d")).count() == n == spark.read.csv(str(tmp_path / "e"), header=True).count()
