@@ -602,8 +602,93 @@ def _rollup() -> dict[str, str]:
     }
 
 
+HOURS = (
+    "hours AS (SELECT detector_id, date, hour, avg(speed) AS s, avg(occupancy) AS o, date_diff('day', DATE '1970-01-01', date) * 24 "
+    "+ hour AS clock FROM clean GROUP BY ALL)"
+)
+
+
+def _outlook() -> dict[str, str]:
+    day = _day("date", "date")
+    road = "Road_EN, District"
+    heat = ", ".join(f"round(avg(speed) FILTER (dow = {d}), 6) AS dow_{d}" for d in range(1, 8))
+    profile = ", ".join(
+        f"round(coalesce(max(s) FILTER (hour = {h}), avg(s)), 6) AS h{h}" for h in range(24))
+    clock = "OVER (PARTITION BY detector_id ORDER BY clock RANGE BETWEEN {} PRECEDING AND {} PRECEDING)"
+    back = lambda a, b, name: f"round(avg(s) {clock.format(a, b)}, 6) AS {name}"
+    return {
+        "hour_dow_heatmap": _with(
+            f"SELECT hour, {heat} FROM (SELECT *, CAST(dayofweek(date) + 1 AS INT) AS d2 FROM clean) GROUP BY hour"),
+        "volume_rollups": _with(
+            f"SELECT month, {day}, CAST(sum(v) AS BIGINT) AS total_volume, round(avg(v), 6) AS avg_hourly_volume "
+            "FROM (SELECT strftime(date, '%Y-%m') AS month, date, hour, sum(volume) AS v FROM clean GROUP BY ALL) "
+            "GROUP BY ROLLUP (month, date)"),
+        "regime_share": _with(
+            f"SELECT {road}, regime_a AS traffic_regime, count(*) AS record_count, "
+            f"round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY {road}), 6) AS share_pct FROM clean GROUP BY {road}, regime_a"),
+        "sd_speed_relation": _with(
+            "SELECT round(corr(standard_deviation, speed), 6) AS sd_speed_corr, "
+            "round(avg(standard_deviation / nullif(speed, 0)), 6) AS avg_cv FROM clean"),
+        "congestion_index_banded": _with(
+            f"SELECT {road}, round(i, 6) AS congestion_index, CASE WHEN i < 25 THEN 'Low' WHEN i < 50 THEN 'Moderate' "
+            "WHEN i < 75 THEN 'High' WHEN i IS NOT NULL THEN 'Severe' END AS band FROM ("
+            "SELECT *, (100 - percent_rank() OVER (ORDER BY s) * 100) * 0.4 + percent_rank() OVER (ORDER BY o) * 100 * 0.4 "
+            f"+ sd / nullif(s, 0) * 100 * 0.2 AS i FROM (SELECT {road}, avg(speed) AS s, avg(occupancy) AS o, "
+            "stddev_samp(speed) AS sd FROM clean GROUP BY ALL))"),
+        "congestion_episodes": _with(
+            f"SELECT detector_id, lane_id, {day}, episode, strftime(min(period_from), '%Y-%m-%d %H:%M:%S') AS start, "
+            "strftime(max(period_to), '%Y-%m-%d %H:%M:%S') AS stop, count(*) AS readings FROM ("
+            "SELECT *, CAST(sum(CAST(first AS INT)) OVER lane AS BIGINT) AS episode FROM ("
+            "SELECT *, on_ AND (NOT coalesce(lag(on_) OVER lane, false) "
+            "OR epoch(period_from)::BIGINT - lag(epoch(period_from)::BIGINT) OVER lane > 3600) AS first "
+            "FROM (SELECT *, occupancy > 30 AND speed < 60 AS on_ FROM clean) "
+            "WINDOW lane AS (PARTITION BY detector_id, lane_id, date ORDER BY period_from, period_to)) "
+            "WINDOW lane AS (PARTITION BY detector_id, lane_id, date ORDER BY period_from, period_to)) "
+            "WHERE on_ GROUP BY detector_id, lane_id, date, episode"),
+        "delay_cost": _with(
+            f"SELECT {road}, round(h, 3) AS delay_hours, round(h * 100, 3) AS delay_cost FROM (SELECT {road}, "
+            "sum(greatest((60 - speed) / 60::DOUBLE, 0) * (30 / 3600::DOUBLE) * volume) AS h FROM clean GROUP BY ALL)"),
+        "threshold_incidents": _with(
+            f"SELECT detector_id, {day}, hour, slow, full_ AS \"full\" FROM (SELECT *, "
+            "s < 0.5 * avg(s) OVER (PARTITION BY detector_id, hour) AS slow, "
+            "o > 1.5 * avg(o) OVER (PARTITION BY detector_id, hour) AS full_ FROM hours) WHERE slow OR full_", HOURS),
+        "calendar_lag_features": _with(
+            f"SELECT detector_id, {day}, hour, round(s, 6) AS avg_speed, {back(1, 1, 'speed_1h')}, {back(2, 2, 'speed_2h')}, "
+            f"{back(24, 24, 'speed_24h')}, {back(168, 1, 'speed_7d')}, "
+            "round(avg(s) OVER (PARTITION BY detector_id, hour, dayofweek(date)), 6) AS speed_alike, "
+            "CAST(dayofweek(date) + 1 AS INT) AS dow, dayofweek(date) IN (0, 6) AS is_weekend FROM hours", HOURS),
+        "next_period_label": _with(
+            f"SELECT detector_id, {day}, hour, round(s, 6) AS avg_speed, avg(s) OVER (PARTITION BY detector_id ORDER BY clock "
+            "RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) < 40 AS next_congested FROM hours", HOURS),
+        "road_profiles": _with(
+            f"SELECT {road}, {profile} FROM (SELECT {road}, hour, avg(speed) AS s FROM clean GROUP BY ALL) GROUP BY ALL"),
+        "month_growth": _with(
+            "SELECT month, CAST(v AS BIGINT) AS total_volume, round(s, 6) AS avg_speed, "
+            "round((v - lag(v) OVER m) * 100.0::DOUBLE / lag(v) OVER m, 6) AS volume_growth_pct, "
+            "round((s - lag(s) OVER m) * 100.0::DOUBLE / lag(s) OVER m, 6) AS speed_growth_pct FROM ("
+            "SELECT strftime(date, '%Y-%m') AS month, sum(volume) AS v, avg(speed) AS s FROM long_obs GROUP BY ALL) "
+            "WINDOW m AS (ORDER BY month)"),
+        "missing_days": _with(
+            "SELECT strftime(d, '%Y-%m-%d') AS date FROM (SELECT CAST(unnest(generate_series(min(date), max(date), "
+            "INTERVAL 1 DAY)) AS DATE) AS d FROM long_obs) WHERE d NOT IN (SELECT date FROM long_obs)"),
+        "coverage_gaps": _with(
+            "SELECT * FROM (SELECT detector_id, count(DISTINCT date) AS days_seen, "
+            "(SELECT count(DISTINCT date) FROM obs) - count(DISTINCT date) AS days_missing FROM obs GROUP BY ALL) "
+            "WHERE days_missing > 0"),
+        "holiday_effect": _with(
+            "SELECT CASE WHEN date IN (SELECT date FROM off) THEN 'holiday' WHEN date + 1 IN (SELECT date FROM off) "
+            "OR date - 1 IN (SELECT date FROM off) THEN 'next to one' ELSE 'normal' END AS day_kind, "
+            f"{_avg('speed')}, {VOLUME}, {N} AS record_count FROM clean GROUP BY ALL",
+            "off AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE dayofyear(CAST(ts AS DATE)) % 10 = 0)"),
+        "road_clusters": _with(f"SELECT count(*) AS roads, true AS few FROM (SELECT DISTINCT {road} FROM clean)"),
+        "streamed_congestion": _with(
+            "SELECT strftime(time_bucket(INTERVAL 5 MINUTE, period_from), '%Y-%m-%d %H:%M:%S') AS window_start, detector_id, "
+            f"{N} AS record_count, {_avg('speed')}, {SEVERE} AS severe_count FROM readings GROUP BY ALL"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     return (
         _descriptive() | _quality() | _temporal() | _spatial() | _flow() | _rush() | _ingest() | _storage()
-        | _timings() | _rollup()
+        | _timings() | _rollup() | _outlook()
     )

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from lanepulse.functions import columns as C
 from lanepulse.functions import fixed_values as V
 from lanepulse.operators import (
-    descriptive, flow, ingest, quality, rush, sampling, spatial, temporal, timings,
+    descriptive, flow, ingest, outlook, quality, rush, sampling, spatial, temporal, timings,
 )
 from lanepulse.plans.rollup import flow_rollup, hourly_rollup, located_rollup
 from lanepulse.plans.suite import FROM_FLOW_ROLLUP, FROM_ROLLUP
@@ -406,8 +406,47 @@ def _rollup() -> dict[str, Query]:
     }
 
 
+# --- outlook ---------------------------------------------------------------
+
+def _holidays(spark, sf_dir):
+    """Every tenth day of the year stands for a holiday."""
+    days = tables.table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("date")).distinct()
+    return days.filter(F.dayofyear("date") % 10 == 0)
+
+
+def streamed_congestion(spark, sf_dir):
+    """The live view of a stored table read as a stream, as it stands when all is read."""
+    source, out = shared.new_path(spark, "readings"), shared.new_path(spark, "live")
+    rows = tables.readings(spark, sf_dir)
+    rows.write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    outlook.live_congestion(stream).writeStream.outputMode("complete").foreachBatch(
+        lambda batch, number: batch.write.mode("overwrite").parquet(out)
+    ).option("checkpointLocation", shared.new_path(spark, "live")).trigger(availableNow=True).start().awaitTermination()
+    return plain(spark.read.parquet(out))
+
+
+def _outlook() -> dict[str, Query]:
+    return _all_on(
+        tables.clean, outlook,
+        "hour_dow_heatmap volume_rollups regime_share sd_speed_relation congestion_index_banded congestion_episodes "
+        "threshold_incidents calendar_lag_features next_period_label road_profiles",
+    ) | {
+        "delay_cost": _on(tables.clean, lambda obs: outlook.delay_cost(obs).withColumns(
+            {c: F.round(c, 3) for c in ("delay_hours", "delay_cost")})),
+        "month_growth": _on(tables.clean_long_span, outlook.month_growth),
+        "missing_days": _on(tables.clean_long_span, outlook.missing_days),
+        "coverage_gaps": _on(tables.observations, outlook.coverage_gaps),
+        "holiday_effect": lambda spark, sf_dir: plain(
+            outlook.holiday_effect(tables.clean(spark, sf_dir), _holidays(spark, sf_dir))),
+        "road_clusters": lambda spark, sf_dir: outlook.road_clusters(tables.clean(spark, sf_dir)).agg(
+            F.count(F.lit(1)).alias("roads"), (F.countDistinct("cluster") <= 5).alias("few")),
+        "streamed_congestion": streamed_congestion,
+    }
+
+
 def queries() -> dict[str, Query]:
     return (
         _descriptive() | _quality() | _temporal() | _spatial() | _flow() | _rush() | _ingest() | _storage()
-        | _timings() | _rollup()
+        | _timings() | _rollup() | _outlook()
     )
