@@ -9,7 +9,7 @@ from lanepulse.functions.measures import (
     MEASURES, ROWS, measures, need_cells, need_observations, three_means,
 )
 from lanepulse.operators.distribution import describe_column
-from lanepulse.operators.sampling import bernoulli_sample
+from lanepulse.operators.sampling import bernoulli_sample, key_sample
 
 
 def _by_bins(clean, bins, *figures):
@@ -70,8 +70,13 @@ def correlations(clean: DataFrame) -> DataFrame:
     return clean.agg(*[F.corr(a, b).alias(f"{a}_{b}_corr") for a, b in pairs])
 
 
-def scatter_sample(clean: DataFrame, fraction: float = 0.01, seed: int = 42) -> DataFrame:
-    return bernoulli_sample(clean.select("volume", "occupancy", "speed"), fraction, seed)
+def scatter_sample(clean: DataFrame, fraction: float = 0.01, seed: int = 42, keys=()) -> DataFrame:
+    """Points for a scatter plot: a random sample of rows, or with `keys` the rows whose keys
+    hash below the fraction, the same on every run."""
+    columns = ("volume", "occupancy", "speed")
+    if keys:
+        return key_sample(clean, fraction, *keys).select(*columns)
+    return bernoulli_sample(clean.select(*columns), fraction, seed)
 
 
 # --- capacity ---------------------------------------------------------------

@@ -405,6 +405,9 @@ def _flow() -> dict[str, str]:
         "lane_capacity_estimates": _group(
             "clean", "lane_id",
             f"{capacity}quantile_disc(volume, 0.90) AS volume_90th, {N} AS observation_count"),
+        "scatter_sample": _with(
+            "SELECT volume, occupancy, speed FROM clean WHERE CAST('0x' || substr(md5(concat_ws('|', detector_id::VARCHAR, "
+            "lane_id, occupancy::VARCHAR, volume::VARCHAR)), 1, 8) AS BIGINT) % 10000 < 1000"),
         "flow_regime_stats": _group(
             "clean", "regime_b AS flow_regime", f"{N} AS record_count, "
             + ", ".join(f"{_avg(c)}, {_std(c)}" for c in ("speed", "volume", "occupancy"))),
@@ -471,6 +474,7 @@ def _ingest() -> dict[str, str]:
         "locations_csv": _lanes("SELECT AID_ID_Number, Road_EN, District, NULL::DOUBLE AS Rotation FROM places"),
         "located_readings": located,
         "streamed_readings": located,
+        "ingested_folder": _lanes("SELECT count(*) AS good_rows, true AS has_files, 0::BIGINT AS quarantined FROM flat"),
         "two_stream_ingest": f"{located} CROSS JOIN (VALUES (1), (2)) twice(n)",
         "located_observations": _with(f"SELECT {OBS_ROW} FROM obs"),
     }

@@ -12,6 +12,7 @@ from lanepulse.functions import fixed_values as V
 from lanepulse.operators import (
     descriptive, flow, ingest, outlook, quality, rush, sampling, spatial, temporal, timings,
 )
+from lanepulse.plans.ingest_folder import ingest_folder
 from lanepulse.plans.rollup import flow_rollup, hourly_rollup, located_rollup
 from lanepulse.plans.suite import FROM_FLOW_ROLLUP, FROM_ROLLUP
 from lanepulse.sinks import tables as sinks
@@ -113,9 +114,13 @@ def _flow() -> dict[str, Query]:
     return _all_on(
         tables.clean, flow,
         "speed_volume_relationship correlations volume_occupancy_relationship speed_occupancy_relationship "
-        "fundamental_diagram scatter_sample lane_capacity_estimates flow_regime_stats lane_flow_regimes "
+        "fundamental_diagram lane_capacity_estimates flow_regime_stats lane_flow_regimes "
         "hourly_flow_regimes",
-    ) | {"road_capacity_estimates": _on(tables.clean, flow.road_capacity_estimates)}
+    ) | {
+        "road_capacity_estimates": _on(tables.clean, flow.road_capacity_estimates),
+        "scatter_sample": _on(tables.clean, flow.scatter_sample, fraction=0.1,
+                              keys=("detector_id", "lane_id", "occupancy", "volume")),
+    }
 
 
 def _rush() -> dict[str, Query]:
@@ -177,6 +182,19 @@ def xml_period_rows(spark, sf_dir):
     return lanes.select("period_from", "period_to", "detector_id", "direction", "lane.lane_id", "lane.speed")
 
 
+def ingested_folder(spark, sf_dir):
+    """Rows and files of one folder's ingest, good and quarantined."""
+    table, quarantine = shared.new_path(spark, "table"), shared.new_path(spark, "quarantine")
+    folder = _xml_files(spark, sf_dir)
+    places = ingest.canonical_locations(documents.detector_locations(spark, sf_dir))
+    for _ in range(2):  # a rerun of the unit leaves its rows once
+        ingest_folder(spark, folder, places, table, quarantine, "folder-1")
+    bad = spark.read.schema(f"{xml.CORRUPT} string, source_file string").parquet(quarantine)
+    return spark.read.parquet(table).agg(
+        F.count(F.lit(1)).alias("good_rows"), (F.countDistinct("source_file") > 0).alias("has_files"),
+        F.lit(bad.count()).alias("quarantined"))
+
+
 def located_readings(spark, sf_dir):
     readings = ingest.flatten_readings(documents.documents(spark, sf_dir))
     places = ingest.canonical_locations(documents.detector_locations(spark, sf_dir))
@@ -217,6 +235,7 @@ def _ingest() -> dict[str, Query]:
         "xml_period_rows": xml_period_rows,
         "locations_csv": locations_csv,
         "located_readings": located_readings,
+        "ingested_folder": ingested_folder,
         "streamed_readings": streamed_readings,
         "two_stream_ingest": two_stream_ingest,
         "located_observations": _on(tables.observations, lambda obs: obs),

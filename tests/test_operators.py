@@ -331,6 +331,6 @@ def test_suite(spark, obs, tmp_path):
     assert set(results) == set(FROM_ROLLUP) | set(FROM_FLOW_ROLLUP) | set(FROM_READINGS)
     exported = spark.read.csv(f"{root}/reports/hourly_profile", header=True)
     assert exported.count() == results["hourly_profile"].count() == 24
-    cleaned = spark.read.parquet(f"{root}/cleaned")
+    cleaned = spark.read.parquet(f"{root}/cleaned/*/rows")
     assert cleaned.count() == quality.clean_observations(obs).count()
     assert isinstance(cleaned.schema["speed"].dataType, T.DoubleType)

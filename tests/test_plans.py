@@ -13,7 +13,7 @@ from lanepulse.sinks import tables as sinks
 from lanepulse.testbed import queries, tables
 
 # Queries that write files when they are built.
-WRITING = re.compile("xml|csv|text|parquet|compacted|exported|stored|stream|boundary")
+WRITING = re.compile("xml|csv|text|parquet|compacted|exported|stored|stream|boundary|ingested")
 
 
 def physical(df):

@@ -7,8 +7,7 @@ from compare import compare, connect
 from lanepulse.testbed import oracle, queries
 
 QUERIES, ORACLES = queries.queries(), oracle.oracle_sql()
-# Random by nature: checked for its rate in test_operators.
-NO_SQL = {"scatter_sample"}
+NO_SQL = set()
 
 
 @pytest.fixture(scope="module")
