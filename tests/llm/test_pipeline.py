@@ -47,3 +47,17 @@ def test_stages_against_plain_python(spark, sf_dir):
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert len({(r.doc_id, r.piece) for r in rows}) == len(rows) > 0
+
+
+def test_odd_tables_pass_every_stage(spark, sf_dir):
+    long_text = "\n".join(f"word{i} and others of line {i} password=abcdef0123456789" for i in range(400))
+    rows = [(None, None, 1, "a"), (1, None, 2, None), (2, "", 3, "x"), (2, "", 3, "x"), (3, " \n\t ", 4, "y"), (None, long_text, 5, None),
+            (4, long_text + " end", 6, "z"), (5, " ".join(f"t{i}" for i in range(3000)), 7, "k"), (5, " ".join(f"t{i}" for i in range(3000)), 7, "k")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, d int, kept string").withColumnsRenamed({"kept": "_doc"})
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            if name != "packing":
+                assert out.columns == odd.columns
+                docs = out.checkpoint()
+        assert (out.count() > 0) == (docs.count() > 0)
