@@ -1,8 +1,8 @@
-"""The analysis suite: clean once, roll up twice, answer every report."""
+"""The analysis suite: clean once, roll up three times, answer every report."""
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanepulse.operators import descriptive, flow, quality, spatial, temporal
+from lanepulse.operators import descriptive, flow, quality, rush, spatial, temporal
 from lanepulse.plans.rollup import flow_rollup, hourly_rollup
 from lanepulse.sinks.tables import export_summaries
 from lanepulse.sources.tables import read_or_compute, version_of
@@ -47,6 +47,24 @@ FROM_ROLLUP = {
     "clean_coverage": quality.clean_coverage,
 }
 
+# Reports over all valid readings, cleaned or not: answered from their own roll-up.
+FROM_VALID_ROLLUP = {
+    "district_stats": descriptive.district_stats,
+    "road_stats": descriptive.road_stats,
+    "road_slowest20": descriptive.road_slowest,
+    "road_busiest20": descriptive.road_busiest,
+    "road_fastest20": descriptive.road_fastest,
+    "lane_stats": descriptive.lane_stats,
+    "hourly_stats": descriptive.hourly_stats,
+    "dow_stats": descriptive.dow_stats,
+    "weekday_weekend": descriptive.weekday_weekend,
+    "direction_stats": descriptive.direction_stats,
+    "busy_roads_morning": rush.busy_roads_morning,
+    "busy_roads_evening": rush.busy_roads_evening,
+    "congestion_morning": rush.congestion_morning,
+    "congestion_evening": rush.congestion_evening,
+}
+
 # Reports by measured value (bins, regimes): answered from the flow roll-up.
 FROM_FLOW_ROLLUP = {
     "traffic_regime_distribution": spatial.traffic_regime_distribution,
@@ -69,19 +87,22 @@ FROM_READINGS = {
 }
 
 
-def prepare(spark: SparkSession, obs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Write (or find) the cleaned table and its two roll-ups. They are ordinary tables, so
+def prepare(spark: SparkSession, obs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Write (or find) the cleaned table, its two roll-ups and that of all valid readings. They are ordinary tables, so
     a lost executor costs a re-read and a restarted job goes on from what is finished. Other
     input files, or changed ones, are another version and are computed anew."""
     version = version_of(obs)
     clean = read_or_compute(spark, f"{root}/cleaned", lambda: quality.clean_observations(obs), version)
     by_hour = read_or_compute(spark, f"{root}/rollup", lambda: hourly_rollup(clean), version)
     by_flow = read_or_compute(spark, f"{root}/flow_rollup", lambda: flow_rollup(clean), version)
-    return clean, by_hour, by_flow
+    by_valid = read_or_compute(
+        spark, f"{root}/valid_rollup", lambda: hourly_rollup(quality.valid_only(obs)), version)
+    return clean, by_hour, by_flow, by_valid
 
 
-def reports(clean: DataFrame, by_hour: DataFrame, by_flow: DataFrame) -> dict[str, DataFrame]:
-    sources = ((FROM_ROLLUP, by_hour), (FROM_FLOW_ROLLUP, by_flow), (FROM_READINGS, clean))
+def reports(clean: DataFrame, by_hour: DataFrame, by_flow: DataFrame, by_valid: DataFrame) -> dict[str, DataFrame]:
+    sources = (
+        (FROM_ROLLUP, by_hour), (FROM_FLOW_ROLLUP, by_flow), (FROM_VALID_ROLLUP, by_valid), (FROM_READINGS, clean))
     return {name: report(table) for group, table in sources for name, report in group.items()}
 
 

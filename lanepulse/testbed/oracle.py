@@ -587,8 +587,11 @@ def _rollup() -> dict[str, str]:
         "count(*) FILTER (regime_a = 'Synchronized Flow') AS synchronized_n",
         "count(*) FILTER (regime_a = 'Wide Moving Jam') AS jam_n",
     ]
-    base = _temporal() | _spatial() | _flow()
+    base = _temporal() | _spatial() | _flow() | _descriptive() | _rush()
     same = (
+        "district_stats", "road_stats", "road_slowest20", "road_busiest20", "road_fastest20", "lane_stats", "hourly_stats",
+        "dow_stats", "weekday_weekend", "direction_stats", "busy_roads_morning", "busy_roads_evening",
+        "congestion_morning", "congestion_evening",
         "hourly_profile", "weekday_weekend_comparison", "road_congestion_severity", "lane_speed",
         "top10_most_congested_roads", "geospatial_data", "flow_regime_stats", "fundamental_diagram",
         "traffic_regime_distribution",

@@ -14,7 +14,7 @@ from lanepulse.operators import (
 )
 from lanepulse.plans.ingest_folder import ingest_folder
 from lanepulse.plans.rollup import flow_rollup, hourly_rollup, located_rollup
-from lanepulse.plans.suite import FROM_FLOW_ROLLUP, FROM_ROLLUP
+from lanepulse.plans.suite import FROM_FLOW_ROLLUP, FROM_ROLLUP, FROM_VALID_ROLLUP
 from lanepulse.sinks import tables as sinks
 from lanepulse.sources import shared, xml
 from lanepulse.sources import tables as sources
@@ -411,6 +411,9 @@ def _rollup() -> dict[str, Query]:
         return plain(located_rollup(
             tables.readings(spark, sf_dir), tables.locations(spark, sf_dir)))
 
+    def by_valid(spark, sf_dir):
+        return hourly_rollup(tables.valid_observations(spark, sf_dir))
+
     def by_flow(spark, sf_dir):
         return flow_rollup(tables.clean(spark, sf_dir))
 
@@ -420,6 +423,8 @@ def _rollup() -> dict[str, Query]:
         "flow_rollup": _on(by_flow, lambda rollup: rollup),
     } | {
         f"{name}_from_rollup": _on(source, FROM_ROLLUP[name]) for name in ROLLED_UP
+    } | {
+        f"{name}_from_rollup": _on(by_valid, report) for name, report in FROM_VALID_ROLLUP.items()
     } | {
         f"{name}_from_rollup": _on(by_flow, FROM_FLOW_ROLLUP[name]) for name in ROLLED_UP_BY_FLOW
     }
