@@ -1,7 +1,7 @@
 """Exact percentiles and moments of a column, from its value counts.
 
 Detector measures take few distinct values, so counting values first shrinks the
-data on the map side and no row group ever meets in one task:
+data on the map side, and what meets in one task is at most the distinct values of a bucket:
 
 1. count rows per (keys, value): ordinary partial + final aggregation, so a value
    or key that holds a third of all rows arrives pre-counted;
