@@ -3,6 +3,7 @@
 import datetime
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -233,6 +234,13 @@ def test_sql_form_equals_dataframe_form(spark, obs):
         assert frame_form.exceptAll(sql_form).count() == 0 == sql_form.exceptAll(frame_form).count()
 
 
+def test_sql_form_reads_its_own_table_in_every_thread(spark, obs):
+    halves = [obs.filter(F.col("detector_id") % 2 == k) for k in (0, 1)] * 3
+    with ThreadPoolExecutor(6) as pool:
+        answers = list(pool.map(lambda o: rows(rush.congestion_sql(spark, o, V.MORNING)), halves))
+    assert answers == [rows(rush.congestion(o, V.MORNING)) for o in halves] and answers[0] != answers[1]
+
+
 # --- percentiles against brute force ---------------------------------------------
 
 def brute(values, share):
