@@ -9,9 +9,9 @@ removed if an earlier line of the table matches it. Earlier means a smaller (doc
    words can only match equal ones, so they end here.
 3. Two matching sets share a word among their first n - ceil(0.8 n) + 1 in that order. A pair
    that shares one must also pass the length filter, the positional filter (what can still be
-   common after that word) and a bound by the parity bits of the words.
+   common after that word) and a bound by 128 parity bits of the words.
 4. Large groups of near copies would meet pairwise. So each set first meets only the earliest
-   set of three of its prefix words; those matched there are settled. Then every set still
+   set of two of its prefix words; those matched there are settled. Then every set still
    open meets all earlier ones that share a prefix word. The result is that of all pairs.
 5. Candidates are verified on the words themselves, read again for the lines concerned only.
 
@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanepulse.llm.bloom import with_hits
-from lanepulse.llm.stored import held
+from lanepulse.llm.stored import held, stored
 
 BUCKETS = 1 << 14
-LEAD_WORDS = 3
+LEAD_WORDS = 2
 LAST_ID = (1 << 63) - 1
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -63,8 +63,16 @@ def word_frequencies(docs: DataFrame, text: str = "text") -> Column:
     return F.from_json(F.lit(json.dumps(scale, separators=(",", ":"))), "array<int>")
 
 
+def _parity(half: int) -> Column:
+    """64 of 128 bits: each word of `w` flips the bit that its last seven bits name."""
+    one = F.lit(1).cast("long")
+    return F.aggregate("w", F.lit(0).cast("long"), lambda bits, w: F.when(
+        w.bitwiseAND(F.lit(64)) == half,
+        bits.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int")))).otherwise(bits))
+
+
 def line_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(d, place, k, k2, n, bits, prefix) of every line with a word; k, k2 name its set."""
+    """(d, place, k, k2, n, low, high, prefix) of every line with a word; k, k2 name its set."""
     often = word_frequencies(docs, text)
     lines = _placed_lines(docs, text, doc_id)
     hashed = lines.select("d", "place", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("w"))
@@ -74,17 +82,18 @@ def line_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     n = F.size("w")
     return ranked.select(
         "d", "place", F.xxhash64("w").alias("k"), F.hash("w").alias("k2"), n.alias("n"),
-        F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function(
-            "shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
+        _parity(0).alias("low"), _parity(64).alias("high"),
         F.transform(F.slice("w", 1, n - F.floor((4 * n + 4) / 5).cast("int") + 1), lambda w: F.hash(w)).alias("prefix"))
 
 
 def _can_match(x: str, y: str) -> Column:
     """Length, positional and parity filters for two exploded prefix rows."""
     return F.expr(
-        f"5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n)"
-        f" AND 9 * least({x}.n - {x}.i, {y}.n - {y}.i) >= 4 * ({x}.n + {y}.n)"
-        f" AND 9 * bit_count({x}.bits ^ {y}.bits) <= {x}.n + {y}.n")
+        "5 * least({nx}, {ny}) >= 4 * greatest({nx}, {ny})"
+        " AND 9 * (bit_count({x}.low ^ {y}.low) + bit_count({x}.high ^ {y}.high)) <= {nx} + {ny}"
+        " AND 9 * least({nx} - {ix}, {ny} - {iy}) >= 4 * ({nx} + {ny})".format(
+            x=x, y=y, nx=f"shiftright({x}.ni, 32)", ny=f"shiftright({y}.ni, 32)",
+            ix=f"({x}.ni & 2147483647)", iy=f"({y}.ni & 2147483647)"))
 
 
 def _earlier(x: str, y: str) -> Column:
@@ -99,7 +108,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str) -> Data
     pairs = held(pairs)
     wanted = held(pairs.select("d", "place").union(pairs.select("xd", "xplace")).distinct())
     lines = with_hits(_placed_lines(docs, text, doc_id), ["d", "place"], wanted, ["d", "place"]).where("_hit")
-    words = lines.join(wanted, ["d", "place"]).dropDuplicates(["d", "place"]).select("d", "place", _words(F.col("line")).alias("w"))
+    words = lines.join(wanted, ["d", "place"]).dropDuplicates(["d", "place"])
+    words = words.select("d", "place", _words(F.col("line")).alias("w"))
     both = pairs.join(words, ["d", "place"]).join(
         words.select(F.col("d").alias("xd"), F.col("place").alias("xplace"), F.col("w").alias("xw")), ["xd", "xplace"])
     shared = F.size(F.array_intersect("w", "xw"))
@@ -110,16 +120,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str) -> Data
 def matched_sets(sets: DataFrame, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(d, place, match): sets, by their first line, with an earlier line that matches it."""
     large = sets.where("n >= 4")
-    fields = [F.col("d"), F.col("place"), F.col("n"), F.col("bits")]
+    fields = [F.col("d"), F.col("place"), F.col("low"), F.col("high")]
+    packed = lambda i: (F.shiftleft(F.col("n").cast("long"), 32) + i).alias("ni")
 
-    lead = large.select(*fields, "prefix", F.explode(F.slice(F.array_sort("prefix"), 1, LEAD_WORDS)).alias("t")).select(
-        *fields, "t", (F.array_position("prefix", F.col("t")) - 1).cast("int").alias("i"))
-    first = lead.groupBy("t").agg(F.min(F.struct("d", "place", "n", "bits", "i")).alias("f")).select("t", "f.*")
+    lead = large.select(*fields, "n", "prefix", F.explode(F.slice(F.array_sort("prefix"), 1, LEAD_WORDS)).alias("t")).select(
+        *fields, "t", packed(F.array_position("prefix", F.col("t")) - 1))
+    first = lead.groupBy("t").agg(F.min(F.struct("d", "place", "low", "high", "ni")).alias("f")).select("t", "f.*")
     near = lead.alias("y").join(first.alias("x"), "t").where(_earlier("x", "y") & _can_match("x", "y")).selectExpr(*PAIR)
     settled = held(_verified(near.distinct(), docs, text, doc_id))
 
-    rows = large.join(settled.select("d", "place", F.lit(True).alias("done")), ["d", "place"], "left").select(
-        *fields, F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("i", "t"))
+    # Only sets that the Bloom filter of settled ones lets through are asked exactly.
+    flagged = with_hits(large, ["d", "place"], settled, ["d", "place"])
+    asked = flagged.where("_hit").join(settled.select("d", "place", F.lit(True).alias("done")), ["d", "place"], "left")
+    columns = ["d", "place", "n", "low", "high", "prefix"]
+    flagged = flagged.where("NOT _hit").select(*columns, F.lit(False).alias("done")).unionByName(
+        asked.select(*columns, F.coalesce("done", F.lit(False)).alias("done")))
+    rows = flagged.select(*fields, "done", "n", F.posexplode("prefix").alias("i", "t")).select(
+        *fields, "done", packed(F.col("i")), "t")
     # The order of a pair decides which of the two must be open, so both sides are one exchange.
     met = rows.alias("x").join(rows.alias("y"), "t").where(
         _earlier("x", "y") & _can_match("x", "y") & F.expr("NOT if(x.d <= y.d, y.done, x.done)"))
@@ -129,9 +146,9 @@ def matched_sets(sets: DataFrame, docs: DataFrame, text: str = "text", doc_id: s
 def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(d, place, line, first_d, first_line, match_d, match_line): every line to remove, the
     first line with the same words, and an earlier matching line of other words, if any."""
-    lines = held(line_sets(docs, text, doc_id))
-    best = lines.groupBy("k", "k2").agg(F.min(F.struct("d", "place", "n", "bits", "prefix")).alias("s"))
-    sets = held(best.select("k", "k2", "s.*"))
+    lines = stored(line_sets(docs, text, doc_id), "lines")
+    best = lines.groupBy("k", "k2").agg(F.min(F.struct("d", "place", "n", "low", "high", "prefix")).alias("s"))
+    sets = stored(best.select("k", "k2", "s.*"), "line-sets")
     matched = held(matched_sets(sets, docs, text, doc_id))
     classes = sets.join(matched, ["d", "place"], "left").select(
         "k", "k2", F.col("d").alias("fd"), F.col("place").alias("fplace"), "match")
@@ -147,11 +164,14 @@ def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Documents without the removed lines. A text may become empty; the row stays."""
     gone = removed_lines(docs, text, doc_id).select("d", F.pmod("place", F.lit(1 << 31)).alias("h"), "line").distinct()
-    gone = gone.groupBy("d", "h").agg(F.collect_set("line").alias("gone"))
+    gone = held(gone.groupBy("d", "h").agg(F.collect_set("line").alias("gone")))
     own = docs.select(F.struct("*").alias("_doc"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("d"),
                       F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).alias("h"))
-    both = own.join(gone, ["d", "h"], "left")
+    # Texts that surely lose no line stay where they are.
+    probed = with_hits(own, ["d", "h"], gone, ["d", "h"])
+    both = probed.where("_hit").join(gone, ["d", "h"], "left")
     parts = F.split(F.col(f"_doc.`{text}`"), "\n")
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("gone", i)), "\n")
     value = F.when(F.col("gone").isNull(), F.col(f"_doc.`{text}`")).otherwise(kept)
-    return both.select(*[(value if c == text else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
+    return probed.where("NOT _hit").select("_doc.*").unionByName(
+        both.select(*[(value if c == text else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns]))
