@@ -36,7 +36,8 @@ SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-MAX_ENTRIES = 350_000
+#: Entries in the young half of a worker's tables; an entry takes some 400 bytes.
+MAX_WORDS, MAX_PIECES, MAX_PAIRS = 550_000, 250_000, 300_000
 LONGEST_ENTRY = 64
 #: A space that may not begin a token of its own: more white space, or the end, follows.
 UNSAFE = re.compile(r" (?=\s|\Z)")
@@ -107,7 +108,7 @@ class Codec:
         self.buffer = np.frombuffer(b"".join(parts), np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         self.decimal = list(map(str, range(len(parts))))
-        self.words, self.pieces_known = Recent(MAX_ENTRIES), Recent(3 * MAX_ENTRIES // 4)
+        self.words, self.pieces_known = Recent(MAX_WORDS), Recent(MAX_PIECES)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging would leave the border between two tokens alone: no pair of their
@@ -130,7 +131,7 @@ class Codec:
                 if right + 1 == limit:
                     limit, left = left, halves[left][1]
                     answer = True if left == limit else None
-        if len(self.fits) >= MAX_ENTRIES:
+        if len(self.fits) >= MAX_PAIRS:
             self.fits.clear()
         self.fits[pair] = answer
         return answer

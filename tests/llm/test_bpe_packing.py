@@ -37,7 +37,8 @@ def test_one_very_long_word(library):
 
 
 def test_tables_that_overflow_change_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_ENTRIES", 4)
+    for name in ("MAX_WORDS", "MAX_PIECES", "MAX_PAIRS"):
+        monkeypatch.setattr(bpe, name, 4)
     small, texts = bpe.Codec(PATH), ["one two three, four five six.", "six five four"] * 3
     assert [small.encode(t).tolist() for t in texts] == [bpe.codec(PATH).encode(t).tolist() for t in texts]
 
