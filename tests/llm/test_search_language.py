@@ -99,3 +99,32 @@ def test_insertions_move_few_cuts():
     assert len(before - after) <= 4
     start, stop, words, _ = substrings.chunks("é " * 500)
     assert start[0] == 0 and stop[-1] == 1000 and (start[1:] == stop[:-1]).all() and words.sum() == 500
+
+
+def share_found(spark, rows, queries, k=20):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.search(df, df.where(df.vec_id.isin(queries)), k=k).collect():
+        got[r.query_id].add(r.vec_id)
+    v = np.array([x for _, x in rows])
+    hits, total, least = 0, 0, 1.0
+    for q in queries:
+        score = v @ v[q]
+        score[q] = -np.inf
+        want = set(np.argsort(-score)[: min(k, len(rows) - 1)].tolist())
+        hits, total, least = hits + len(want & got[q]), total + len(want), min(least, len(want & got[q]) / len(want))
+        assert len(got[q]) == len(want)
+    return hits / total, least
+
+
+def test_few_rows_and_norms_of_any_kind_at_the_default_probes(spark):
+    rng = np.random.default_rng(4)
+    few = [(i, rng.normal(size=64).tolist()) for i in range(18)]
+    assert share_found(spark, few, list(range(18))) == (1.0, 1.0)
+    unit = rng.normal(size=(2000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    queries = list(range(0, 2000, 20))
+    outlier, spread = np.ones(2000), np.exp(rng.normal(size=2000))
+    outlier[7] = 1000.0
+    shares = [share_found(spark, list(enumerate((unit * n[:, None]).tolist())), queries) for n in (outlier, spread)]
+    assert min(mean for mean, _ in shares) >= 0.95 and min(least for _, least in shares) >= 0.6, shares
