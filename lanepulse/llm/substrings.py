@@ -1,20 +1,24 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over the bytes of a text: each byte adds a fixed random number to the
-doubled hash, so the low 16 bits depend on the last 16 bytes alone. A chunk ends where that
-hash is greater than all others within 16 bytes to both sides. Cuts therefore depend on nearby
-bytes only: an insertion moves the cuts next to it and no others, chunks are never shorter
-than 17 bytes and 33 long on average. Chunks are compared by their 64-bit digest. Consecutive
-chunks of a document that all occur in other documents, too, are joined to a span, and a span
-of `min_words` words or more is a repeat. As a passage loses up to two partial chunks at each
-end, 24 words in whole chunks stand for passages of over 50.
-
-Digests are counted with map-side combining, then flag the chunks by a join whose hot keys are
-split; only flagged chunks are grouped by document.
-
-Defined results: null, empty and short texts have no spans. Repeats inside one document do
-not count. Rows with the same doc_id are one document; a document without an id is known by
-its text. Empty tables give empty results.
+A text is cut where the hash of GRAM words is the least of some REACH hashes in a row (of equal
+ones the last), so cuts depend on nearby words only: an insertion moves the cuts next to it and
+no others. Any REACH words in a row hold a cut, also where a text repeats itself, and chunks
+are six or seven words long on average. Chunks are compared by their 64-bit digest.
+
+Chunks only find the candidates. In a passage of WORDS = 51 words the cuts from word 11 to 36
+depend on the passage alone and are two at least, so whoever shares it shares all chunks
+between them, of which there is always one: no passage is lost by chance of where cuts
+fall. A window of 51 words whose chunks in that range all occur in other documents is
+compared as it stands, by the digest of its bytes, with the windows of all other documents.
+Consecutive windows that others share are joined to a span, which is thus exact: each span is
+over 50 words long, and each of its stretches of 51 words occurs in another document.
+
+Digests are counted with map-side combining, then flag chunks and windows by joins whose hot
+keys are split; only flagged ones are grouped by document. No two documents are paired.
+
+Words are what white space (ASCII) parts. Defined results: null, empty and short texts have no
+spans. Repeats inside one document do not count. Rows with the same doc_id are one document; a
+document without an id is known by its text. Empty tables give empty results.
 """
 
 from collections.abc import Iterator
@@ -25,115 +29,164 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW, HORIZON, MIN_WORDS = 16, 16, 24
-CHUNK_FIELDS = "who long, no int, start long, stop long, words int, digest long"
+WORDS, GRAM, REACH = 51, 4, 12
+BASE = 0x9E3779B97F4A7C15
+WINDOW_FIELDS = "who long, row long, no int, start int, stop int, low int, high int, digest long"
 
 
-def gear_table() -> np.ndarray:
-    """256 fixed numbers from a mixing rule."""
-    x = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) & np.uint64(0xFFFF)).astype(np.uint32)
+    return x ^ (x >> np.uint64(31))
 
 
-GEAR = gear_table()
+#: 256 fixed numbers from a mixing rule.
+GEAR = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """The hash after each byte: the sum over the last 16 bytes of GEAR[byte] << age, low 16
-    bits, built by doubling the span that is summed."""
-    h, span = GEAR[data], 1
-    while span < WINDOW:
-        h[span:] = h[span:] + (h[:-span] << np.uint32(span))
-        span *= 2
-    return h & np.uint32(0xFFFF)
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end, in bytes."""
+    word = np.zeros(len(data) + 2, bool)
+    word[1:-1] = (data != 0x20) & ~((data >= 0x09) & (data <= 0x0D))
+    return np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Ends of chunks: behind bytes whose hash beats all within HORIZON to both sides. Ties
-    have no winner. The text's end is the last cut."""
-    n = len(data)
-    if n <= 2 * HORIZON:
-        return np.array([n])
-    h = gear_hashes(data).astype(np.int32)
-    most, span = h.copy(), 1  # most[i]: maximum of h[i : i + span]
-    while span < HORIZON:
-        most = np.maximum(most[: len(most) - span], most[span:])
-        span *= 2
-    at = np.arange(HORIZON, n - HORIZON)
-    win = (h[at] > most[at - HORIZON]) & (h[at] > most[at + 1])
-    ends = at[win] + 1
-    ends = ends[(data[ends] & 0xC0) != 0x80]  # never inside a character
-    return np.append(ends, n)
+def cuts(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Numbers of the words that begin a chunk."""
+    if len(begins) < GRAM + reach - 1:
+        return np.zeros(0, np.int64)
+    powers = np.cumprod(np.full(len(data), BASE, np.uint64))
+    sums = np.append(np.uint64(0), np.cumsum(GEAR[data] * powers))
+    first, last = begins[: len(begins) - GRAM + 1], ends[GRAM - 1 :]
+    back = np.cumprod(np.full(len(data), INVERSE, np.uint64))
+    h = mixed((sums[last] - sums[first]) * back[first])
+    rows = np.lib.stride_tricks.sliding_window_view(h, reach)
+    return np.unique(np.arange(len(rows)) + reach - 1 - rows[:, ::-1].argmin(axis=1))
+
+
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64)
 
 
 def chunks(text: str) -> tuple[np.ndarray, ...]:
     """start, stop (code points), words that begin inside, digest of each chunk."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
-    ends = cuts(data)
-    starts = np.append(0, ends[:-1])
-    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-    begins = ~space
-    begins[1:] &= space[:-1]
-    words, points = np.append(0, np.cumsum(begins)), np.append(0, np.cumsum((data & 0xC0) != 0x80))
-    digest = xxhash.xxh3_64_intdigest
-    digests = np.array([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
-    return points[starts], points[ends], words[ends] - words[starts], digests.view(np.int64)
+    begins, word_ends = word_bounds(data)
+    at = cuts(data, begins, word_ends)
+    at = at[begins[at] > 0]
+    starts, ends = np.append(0, begins[at]), np.append(begins[at], len(data))
+    points, words = np.append(0, np.cumsum((data & 0xC0) != 0x80)), np.append(0, at)
+    return points[starts], points[ends], np.diff(np.append(words, len(begins))), digests(raw, starts, ends)
 
 
-def chunk_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per chunk (CHUNK_FIELDS)."""
+def _inner_chunks(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The text's bytes, words, cuts, and the digests of the chunks between cuts."""
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    begins, ends = word_bounds(data)
+    at = cuts(data, begins, ends) if len(begins) >= WORDS else np.zeros(0, np.int64)
+    return raw, data, begins, ends, at, digests(raw, begins[at[:-1]], begins[at[1:]])
+
+
+def windows(text: str, shared: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, ...]:
+    """Number of the first word, start, stop (code points), cuts before and up to the end, digest of each
+    window of `words` words whose inner chunks are all `shared`."""
+    raw, data, begins, ends, at, own = _inner_chunks(text)
+    no = np.arange(len(begins) - words + 1)
+    if not len(own) or not len(no):
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    low = np.searchsorted(at, no + REACH - 1)
+    high = np.searchsorted(at, no + words - GRAM - REACH + 1, "right") - 1
+    missing = np.append(0, np.cumsum(~np.isin(own, shared)))
+    no = no[missing[np.maximum(low, high)] == missing[low]]
+    points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    start, stop = begins[no], ends[no + words - 1]
+    return (no, points[start], points[stop], np.searchsorted(at, no), np.searchsorted(at, no + words, "right"),
+            digests(raw, start, stop))
+
+
+def _known(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Documents as who; row tells rows of one document apart."""
+    row = F.xxhash64(text)
+    return docs.where(F.col(text).isNotNull()).select(
+        F.coalesce(F.col(doc_id).cast("long"), row).alias("who"), row.alias("row"), F.col(text).alias("text"))
+
+
+def chunk_table(known: DataFrame) -> DataFrame:
+    """(who, digest) of the chunks between cuts, once a text."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             whos, parts, rows = [], [], 0
             for who, value in zip(batch["who"].tolist(), batch["text"].tolist(), strict=True):
-                if value:
-                    parts.append(chunks(value))
-                    whos.append(who)
-                    rows += len(parts[-1][0])
+                parts.append(np.unique(_inner_chunks(value)[-1]))
+                whos.append(who)
+                rows += len(parts[-1])
                 if rows > 100_000:
                     yield _frame(whos, parts)
                     whos, parts, rows = [], [], 0
             if parts:
                 yield _frame(whos, parts)
 
-    who = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))
-    return docs.where(F.col(text).isNotNull()).select(who.alias("who"), F.col(text).alias("text")).mapInPandas(of, CHUNK_FIELDS)
+    return known.select("who", "text").mapInPandas(of, "who long, digest long")
 
 
-def _frame(whos: list[int], parts: list[tuple]) -> pd.DataFrame:
-    sizes = [len(p[0]) for p in parts]
-    start, stop, words, digest = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    return pd.DataFrame({
-        "who": np.repeat(np.array(whos, np.int64), sizes), "no": np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]),
-        "start": start, "stop": stop, "words": words.astype(np.int32), "digest": digest})
+def _frame(whos: list[int], parts: list[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"who": np.repeat(np.array(whos, np.int64), [len(p) for p in parts]), "digest": np.concatenate(parts)})
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, stop, n_words, n_chunks, first_doc_id, is_first) for every span of
-    chunks that other documents share; is_first: no chunk of it occurs in an earlier one."""
-    table = chunk_table(docs, text, doc_id)
+def _shared(table: DataFrame) -> DataFrame:
+    """Rows whose digest occurs in other documents, and the least of all these."""
     seen = table.groupBy("digest").agg(F.min("who").alias("least"), F.max("who").alias("most"))
-    shared = table.join(seen.where("least < most").select("digest", "least"), "digest")
-    # Chunks in a row have numbers that rise as their rank does; a span may list a chunk of a
-    # repeated row twice, so ranks are dense.
-    rank = F.dense_rank().over(Window.partitionBy("who").orderBy("no"))
-    spans = shared.withColumn("run", F.col("no") - rank).groupBy("who", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").cast("long").alias("n_words"),
-        F.count("*").alias("n_chunks"), F.min("least").alias("first_doc_id"),
+    return table.join(seen.where("least < most").select("digest", "least"), "digest")
+
+
+def window_table(known: DataFrame, min_words: int) -> DataFrame:
+    """One row per candidate window (WINDOW_FIELDS)."""
+    flagged = _shared(chunk_table(known)).groupBy("who").agg(F.collect_set("digest").alias("shared"))
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for who, row, value, shared in zip(batch["who"], batch["row"], batch["text"], batch["shared"], strict=True):
+                no, *rest = windows(value, np.asarray(shared, np.int64), min_words)
+                for i in range(0, len(no), 100_000):
+                    part = [x[i : i + 100_000] for x in (no, *rest)]
+                    names = [x.split()[0] for x in WINDOW_FIELDS.split(", ")]
+                    yield pd.DataFrame({"who": who, "row": row, **dict(zip(names[2:], part, strict=True))})
+
+    return known.join(flagged, "who").mapInPandas(of, WINDOW_FIELDS)
+
+
+def _spans(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFrame:
+    if min_words < WORDS:
+        raise ValueError(f"spans of fewer than {WORDS} words are not searched")
+    shared = _shared(window_table(_known(docs, text, doc_id), min_words))
+    # Windows in a row have numbers that rise as their rank does; a row that is repeated lists
+    # its windows again, so ranks are dense.
+    rank = F.dense_rank().over(Window.partitionBy("who", "row").orderBy("no"))
+    return shared.withColumn("run", F.col("no") - rank).groupBy("who", "row", "run").agg(
+        F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"),
+        (F.max("no") - F.min("no") + min_words).cast("long").alias("n_words"),
+        (F.max("high") - F.min("low") - 1).cast("long").alias("n_chunks"), F.min("least").alias("first_doc_id"),
         (F.min("least") >= F.col("who")).alias("is_first"))
-    spans = spans.where(F.col("n_words") >= min_words).drop("run")
-    return spans.select(F.col("who").alias("doc_id"), "start", "stop", "n_words", "n_chunks", "first_doc_id", "is_first")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = WORDS) -> DataFrame:
+    """(doc_id, start, stop, n_words, n_chunks, first_doc_id, is_first) for every span of
+    windows that other documents share; is_first: no window of it occurs in an earlier one."""
+    return _spans(docs, text, doc_id, min_words).select(
+        F.col("who").alias("doc_id"), "start", "stop", "n_words", "n_chunks", "first_doc_id", "is_first")
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = WORDS) -> DataFrame:
     """Documents whose later copies of shared spans are cut out; the first document keeps its."""
-    spans = repeated_spans(docs, text, doc_id, min_words).where("NOT is_first").groupBy(F.col("doc_id").alias("who")).agg(
+    spans = _spans(docs, text, doc_id, min_words).where("NOT is_first").groupBy("who", "row").agg(
         F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cut"))
-    own = docs.select(F.struct("*").alias("_doc"), F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("who"))
+    row = F.xxhash64(text)
+    own = docs.select(F.struct("*").alias("_doc"), F.coalesce(F.col(doc_id).cast("long"), row).alias("who"), row.alias("row"))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, cut: pd.Series) -> pd.Series:
@@ -146,7 +199,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             out.append("".join([*kept, value[at:]]))
         return pd.Series(out, dtype=object)
 
-    both = own.join(spans, "who", "left")
+    both = own.join(spans, ["who", "row"], "left")
     value = F.col(f"_doc.`{text}`")
     columns = lambda changed: [(changed if c == text else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns]
     same = both.where(F.col("cut").isNull()).select(*columns(value))

@@ -128,3 +128,23 @@ def test_few_rows_and_norms_of_any_kind_at_the_default_probes(spark):
     outlier[7] = 1000.0
     shares = [share_found(spark, list(enumerate((unit * n[:, None]).tolist())), queries) for n in (outlier, spread)]
     assert min(mean for mean, _ in shares) >= 0.95 and min(least for _, least in shares) >= 0.6, shares
+
+
+def test_passages_of_51_short_words_and_periodic_ones_are_all_found_and_50_are_not(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    filler = lambda: " ".join(word(rng.randrange(3, 9)) for _ in range(rng.randrange(5, 90)))
+    short = lambda n: " ".join(word(rng.randrange(1, 5)) for _ in range(n))
+    passages = [short(51) for _ in range(400)] + [("0 " * 51).strip(), ("1 2 " * 30).strip(), ("| - " * 26).strip()]
+    near = [short(50) for _ in range(100)]
+    rows, want = [], {}
+    for i, passage in enumerate(passages + near):
+        for j in (2 * i, 2 * i + 1):
+            before = filler() + " "
+            rows.append((j, f"{before}{passage} {filler()}"))
+            if i < len(passages):
+                want[j] = (len(before), len(before) + len(passage))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substrings.repeated_spans(docs).collect()
+    assert {r.doc_id: (r.start, r.stop) for r in found} == want and len(found) == len(want)
+    assert all(r.n_words > 50 and r.n_chunks > 0 for r in found)
