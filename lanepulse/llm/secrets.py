@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under a false-discovery bound.
 
 Patterns find assigned values, access keys and hexadecimal runs. Beside them every run of 20
-or more key characters is a candidate. Its encoding is inferred (hexadecimal, base32, base64)
+or more key characters is a candidate. Its encoding is inferred (hexadecimal, letters of one case, base32 or base36 of
+either case, base64)
 and three tests ask whether it could be random in that alphabet: chi-squared uniformity of the
 symbols, Wald-Wolfowitz runs about the middle of the alphabet, and serial correlation. A
 candidate that all three leave standing must also be unlike ordinary words: under ordinary
@@ -82,7 +83,12 @@ def _encoding(token: Column) -> Column:
     return (
         F.when(token.rlike("^[0-9a-f]+$"), "0123456789abcdef")
         .when(token.rlike("^[0-9A-F]+$"), "0123456789ABCDEF")
+        .when(token.rlike("^[a-z]+$"), "abcdefghijklmnopqrstuvwxyz")
+        .when(token.rlike("^[A-Z]+$"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         .when(token.rlike("^[A-Z2-7]+$"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+        .when(token.rlike("^[a-z2-7]+$"), "abcdefghijklmnopqrstuvwxyz234567")
+        .when(token.rlike("^[a-z0-9]+$"), "0123456789abcdefghijklmnopqrstuvwxyz")
+        .when(token.rlike("^[A-Z0-9]+$"), "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         .when(token.rlike("^[A-Za-z0-9_-]+$"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
         .otherwise("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
     )

@@ -64,3 +64,14 @@ def test_masks(spark):
     assert out.columns == ["text", "doc_id"]
     assert {r.doc_id: r.text for r in out.collect()} == {
         0: "é [REDACTED] [REDACTED] end", 1: None, 2: "clean", 3: "[REDACTED]"}
+
+
+def test_long_lower_case_base32_and_base36_tokens_are_found(spark):
+    rng = random.Random(9)
+    letters, tokens = "abcdefghijklmnopqrstuvwxyz", []
+    for alphabet in (letters + "234567", letters + "0123456789", (letters + "0123456789").upper()):
+        tokens += ["".join(rng.choice(alphabet) for _ in range(80)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, f"é {t} x") for i, t in enumerate(tokens)], "doc_id int, text string")
+    found = {r.doc_id for r in secrets.find_secrets(docs).collect() if any(s.kind == "random" for s in r.spans)}
+    counts = [sum(i in found for i in range(a, a + 40)) for a in (0, 40, 80)]
+    assert min(counts) >= 36, counts
