@@ -9,9 +9,12 @@ from lanepulse.llm import (
     bpe,
     languages,
     lines,
+    merkle,
+    minhash,
     neighbours,
     packing,
     repetition,
+    resample,
     secrets,
     simhash,
     substrings,
@@ -86,6 +89,27 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_minhash(spark, sf_dir):
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_resample(spark, sf_dir):
+    return resample.resample(
+        _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text"),
+        keep=["doc_id"])
+
+
+def op13_manifest(spark, sf_dir):
+    """Where 3 divides the id's checksum, the text is found with its A-Z in lower case."""
+    suspect = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = merkle.manifest(_table(spark, sf_dir, "documents"), tampered={"text": lowered}, suspect=suspect)
+    found = merkle.folded(F.col("seen"), F.col("path"))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        found.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries():
     return {
         "pipeline": corpus_pipeline.run,
@@ -99,4 +123,7 @@ def queries():
         "op8_url_filter": op8_url_filter,
         "op9_languages": op9_languages,
         "op10_simhash": op10_simhash,
+        "op11_minhash": op11_minhash,
+        "op12_resample": op12_resample,
+        "op13_manifest": op13_manifest,
     }
