@@ -7,9 +7,11 @@ from its id is its score, and the highest scores are drawn: sampling without rep
 proportion to the weights.
 
 Texts are worked on in blocks of at most `BLOCK_BYTES` (or one text): their bytes are joined
-with sentinels that no word holds, one regular expression finds all words, `searchsorted` on
-the texts' offsets tells each word's document, and n-grams whose ends lie in two documents are
-masked before `bincount`. A block is the bound of memory beside the longest text.
+with sentinels that no word holds, one regular expression finds all words and sentinels,
+`searchsorted` on the sentinels' places tells each word's document, and n-grams whose ends lie
+in two documents are masked before `bincount`. A block is the bound of memory beside the
+longest text. The checksum of a run of words is combined from those of its words: appending n
+bytes is a linear map of the bits, kept as a table per n.
 
 The corpus is read twice: for the counts (one row per bucket and task is shuffled, and
 `BUCKETS` rows reach the driver), and for the weights. Ranks come from a range sort of the ids
@@ -38,8 +40,9 @@ from lanepulse.llm.stored import stored
 BUCKETS, LONGEST = 10_000, 3
 MIN_WORDS, PERCENT, SEED = 20, 5, 42
 BLOCK_BYTES = 4 << 20
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # bytes after lower-casing; letters beyond ASCII whole
 SENTINEL = b"\x00"
+WORD = re.compile(rb"[0-9a-z\x80-\xff]+|\x00")  # bytes after lower-casing; letters beyond ASCII whole
+MOST_BYTES = 64  # words of fewer bytes take the tables
 ADDED = ("n_features", "weight", "score", "rank")
 
 
@@ -47,7 +50,7 @@ def _blocks(texts: pd.Series) -> Iterator[list[bytes]]:
     """The texts as lower-cased bytes, in lists of at most BLOCK_BYTES or one text."""
     block, size = [], 0
     for text in texts:
-        data = (text or "").encode().lower()
+        data = (text or "").encode().lower().replace(SENTINEL, b" ")
         if block and size + len(data) > BLOCK_BYTES:
             yield block
             block, size = [], 0
@@ -57,28 +60,53 @@ def _blocks(texts: pd.Series) -> Iterator[list[bytes]]:
         yield block
 
 
+def _appended() -> np.ndarray:
+    """[n, byte of the checksum, its value]: the checksum's share after n more zero bytes."""
+    step = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        step = np.where(step & 1, step >> 1 ^ np.uint32(0xEDB88320), step >> 1)
+    tables = [np.arange(256, dtype=np.uint32) << (8 * np.arange(4, dtype=np.uint32))[:, None]]
+    for _ in range(MOST_BYTES):
+        tables.append(tables[-1] >> 8 ^ step[tables[-1] & 255])
+    return np.stack(tables)
+
+
+APPENDED = _appended()
+SPACE_CRC = np.uint32(zlib.crc32(b" "))
+
+
+def _moved(crc: np.ndarray | np.uint32, n: np.ndarray) -> np.ndarray:
+    """Checksums after n more zero bytes, without the checksum of what follows."""
+    return (APPENDED[n, 0, crc & 255] ^ APPENDED[n, 1, crc >> 8 & 255]
+            ^ APPENDED[n, 2, crc >> 16 & 255] ^ APPENDED[n, 3, crc >> 24])
+
+
 def features(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words per text, and text number and bucket of every feature of a block."""
-    offsets = np.cumsum([0] + [len(t) + 1 for t in block[:-1]])
-    found = list(WORD.finditer(SENTINEL.join(block)))
-    starts = np.fromiter((m.start() for m in found), np.int64, len(found))
-    of = np.searchsorted(offsets, starts, side="right") - 1
-    words = [m[0] for m in found]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    begins, line = (ends - sizes).tolist(), b" ".join(words)
-    owners, buckets = [], []
-    for n in range(1, LONGEST + 1):
-        count = len(words) - n + 1
+    found = WORD.findall(SENTINEL.join(block))
+    breaks = np.flatnonzero(np.fromiter(map(SENTINEL.__eq__, found), bool, len(found)))
+    of = np.searchsorted(breaks, np.arange(len(found)))
+    is_word = np.ones(len(found), bool)
+    is_word[breaks] = False
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    crcs = np.fromiter(map(zlib.crc32, found), np.uint32, len(found))
+    reach = np.minimum(sizes, MOST_BYTES - 1)
+    spaced = _moved(SPACE_CRC, reach) ^ crcs  # of a space and the word
+    owners, buckets, run, plain = [of[is_word]], [crcs[is_word] % BUCKETS], crcs, is_word
+    for n in range(2, LONGEST + 1):
+        count = len(found) - n + 1
         if count <= 0:
             break
-        runs = map(line.__getitem__, map(slice, begins[:count], ends[n - 1:].tolist()))
-        hashed = np.fromiter(map(zlib.crc32, runs), np.int64, count) % BUCKETS
-        whole = of[:count] == of[n - 1:]
+        run = _moved(run[:count], reach[n - 1:] + 1) ^ spaced[n - 1:]
+        for at in np.flatnonzero(sizes >= MOST_BYTES).tolist():  # words too long for the tables
+            for i in range(max(0, at - n + 1), min(at, count - 1) + 1):
+                run[i] = zlib.crc32(b" ".join(found[i: i + n]))
+        plain = plain[:count] & is_word[n - 1:]
+        whole = plain & (of[:count] == of[n - 1:])
         owners.append(of[:count][whole])
-        buckets.append(hashed[whole])
-    empty = np.zeros(0, np.int64)
-    return np.bincount(of, minlength=len(block)), np.concatenate([empty, *owners]), np.concatenate([empty, *buckets])
+        buckets.append(run[whole] % BUCKETS)
+    return (np.bincount(of[is_word], minlength=len(block)), np.concatenate(owners),
+            np.concatenate(buckets).astype(np.int64))
 
 
 def bucket_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -112,8 +140,7 @@ def weighed(texts: pd.Series, gain: np.ndarray) -> pd.DataFrame:
     parts = []
     for block in _blocks(texts):
         words, owners, buckets = features(block)
-        weight = np.zeros(len(block), np.int64)
-        np.add.at(weight, owners, gain[buckets])
+        weight = np.bincount(owners, weights=gain[buckets], minlength=len(block)).astype(np.int64)  # exact below 2^53
         parts.append(pd.DataFrame({
             "n_words": words, "n_features": np.bincount(owners, minlength=len(block)), "weight": weight}))
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(

@@ -49,7 +49,8 @@ def test_documents(spark, sf_dir):
 
 
 def test_blocks_do_not_mix_documents(monkeypatch):
-    texts = pd.Series([None, "", "a b", "C d\x00e", "é À ß.x", "1 2 3 " * 500, "x" * 100, "\x00", " one"])
+    texts = pd.Series([None, "", "a b", "C d\x00e", "é À ß.x", "1 2 3 " * 500, "x" * 100, "\x00", " one",
+                       f"a {'y' * 63} b {'z' * 64} {'u' * 65} c d {'é' * 40}"])
     for limit in (1, 40, 1 << 20):
         monkeypatch.setattr(resample, "BLOCK_BYTES", limit)
         at, found = 0, {}
