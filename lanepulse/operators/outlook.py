@@ -3,7 +3,7 @@ model features and a live view.
 
 Reports that look back or ahead in time run on hourly means per detector, which are at most
 8,784 rows a detector and year however many readings there are. Episodes need single readings
-and are cut by day, so no window holds more than one detector's lane for one day.
+and are found by day, then merged, so no window holds more than a lane's readings of one day.
 """
 
 from pyspark.ml.clustering import KMeans
@@ -102,16 +102,43 @@ def congestion_index_banded(clean: DataFrame) -> DataFrame:
 
 
 def congestion_episodes(clean: DataFrame, longest_gap: int = 3600) -> DataFrame:
-    """Runs of congested readings of one detector's lane within a day. A run ends with a
-    reading that is not congested or a gap of more than `longest_gap` seconds."""
-    lane = Window.partitionBy("detector_id", "lane_id", "date").orderBy("period_from", "period_to")
+    """Runs of congested readings of one detector's lane, over midnight and over days. A run
+    ends with a reading that is not congested or a gap of more than `longest_gap` seconds (a day
+    at most). `date` is the day it starts on, `episode` its number among that day's.
+
+    Two steps, so that no window holds more than a day of a lane's readings: runs are found
+    within days; then those that touch the first or last reading of their day, two a day at
+    most, are merged with their neighbour's. Readings without a time take no part; of readings
+    of equal times the uncongested come first.
+    """
+    if not 0 <= longest_gap <= 24 * HOUR:
+        raise ValueError("longest_gap is up to a day: only neighbouring days are merged")
+    lane = ["detector_id", "lane_id"]
+    day = Window.partitionBy(*lane, "date").orderBy("period_from", "period_to", "on")
     at = F.col("period_from").cast("timestamp").cast("long")
-    marked = clean.select("detector_id", "lane_id", "date", "period_from", "period_to", C.moderate().alias("on"))
-    opened = marked.withColumn("first", F.col("on") & (
-        ~F.coalesce(F.lag("on").over(lane), F.lit(False)) | (at - F.lag(at).over(lane) > longest_gap)))
-    runs = opened.withColumn("episode", F.sum(F.col("first").cast("int")).over(lane)).where("on")
-    return runs.groupBy("detector_id", "lane_id", "date", "episode").agg(
-        F.min("period_from").alias("start"), F.max("period_to").alias("stop"), F.count(F.lit(1)).alias("readings"))
+    marked = clean.where("period_from IS NOT NULL").select(
+        *lane, F.to_date("period_from").alias("date"), "period_from", "period_to", C.moderate().alias("on"), at.alias("at"))
+    placed = marked.select(
+        "*", F.lag("on").over(day).alias("before"), F.lag("at").over(day).alias("at_before"),
+        F.lead("at").over(day).isNull().alias("is_last"))
+    opened = placed.withColumn("first", F.col("on") & (
+        ~F.coalesce("before", F.lit(False)) | (F.col("at") - F.col("at_before") > longest_gap)))
+    runs = opened.withColumn("run", F.sum(F.col("first").cast("int")).over(day)).where("on").groupBy(*lane, "date", "run").agg(
+        F.min("period_from").alias("start"), F.max("period_to").alias("stop"), F.count(F.lit(1)).alias("readings"),
+        F.min("at").alias("opens"), F.max("at").alias("closes"),
+        F.bool_or(F.col("at_before").isNull()).alias("from_edge"), F.bool_or("is_last").alias("to_edge"))
+
+    edges = Window.partitionBy(*lane).orderBy("date", "run")
+    goes_on = (F.col("from_edge") & F.lag("to_edge").over(edges) & (F.lag("date").over(edges) == F.date_sub("date", 1))
+               & (F.col("opens") - F.lag("closes").over(edges) <= longest_gap))
+    edge = runs.where("from_edge OR to_edge").withColumn("new", ~F.coalesce(goes_on, F.lit(False)))
+    merged = edge.withColumn("whole", F.sum(F.col("new").cast("int")).over(edges)).groupBy(*lane, "whole").agg(
+        F.min("date").alias("date"), F.min("start").alias("start"), F.max("stop").alias("stop"),
+        F.sum("readings").alias("readings"))
+    columns = [*lane, "date", "start", "stop", "readings"]
+    every = runs.where("NOT (from_edge OR to_edge)").select(*columns).unionByName(merged.select(*columns))
+    number = F.row_number().over(Window.partitionBy(*lane, "date").orderBy("start"))
+    return every.select(*lane, "date", number.cast("long").alias("episode"), "start", "stop", "readings")
 
 
 def delay_cost(clean: DataFrame, free_speed: str | float = 60.0, value_of_time: float = 100.0, seconds: int = 30) -> DataFrame:

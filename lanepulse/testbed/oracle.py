@@ -643,15 +643,17 @@ def _outlook() -> dict[str, str]:
             f"+ sd / nullif(s, 0) * 100 * 0.2 AS i FROM (SELECT {road}, avg(speed) AS s, avg(occupancy) AS o, "
             "stddev_samp(speed) AS sd FROM clean GROUP BY ALL))"),
         "congestion_episodes": _with(
-            f"SELECT detector_id, lane_id, {day}, episode, strftime(min(period_from), '%Y-%m-%d %H:%M:%S') AS start, "
-            "strftime(max(period_to), '%Y-%m-%d %H:%M:%S') AS stop, count(*) AS readings FROM ("
-            "SELECT *, CAST(sum(CAST(first AS INT)) OVER lane AS BIGINT) AS episode FROM ("
+            f"SELECT detector_id, lane_id, strftime(start, '%Y-%m-%d') AS date, "
+            "row_number() OVER (PARTITION BY detector_id, lane_id, CAST(start AS DATE) ORDER BY start) AS episode, "
+            "strftime(start, '%Y-%m-%d %H:%M:%S') AS start, strftime(stop, '%Y-%m-%d %H:%M:%S') AS stop, readings FROM ("
+            "SELECT detector_id, lane_id, run, min(period_from) AS start, max(period_to) AS stop, count(*) AS readings FROM ("
+            "SELECT *, sum(CAST(first AS INT)) OVER lane AS run FROM ("
             "SELECT *, on_ AND (NOT coalesce(lag(on_) OVER lane, false) "
             "OR epoch(period_from)::BIGINT - lag(epoch(period_from)::BIGINT) OVER lane > 3600) AS first "
             "FROM (SELECT *, occupancy > 30 AND speed < 60 AS on_ FROM clean) "
-            "WINDOW lane AS (PARTITION BY detector_id, lane_id, date ORDER BY period_from, period_to)) "
-            "WINDOW lane AS (PARTITION BY detector_id, lane_id, date ORDER BY period_from, period_to)) "
-            "WHERE on_ GROUP BY detector_id, lane_id, date, episode"),
+            "WINDOW lane AS (PARTITION BY detector_id, lane_id ORDER BY period_from, period_to, on_)) "
+            "WINDOW lane AS (PARTITION BY detector_id, lane_id ORDER BY period_from, period_to, on_)) "
+            "WHERE on_ GROUP BY detector_id, lane_id, run)"),
         "delay_cost": _with(
             f"SELECT {road}, round(h, 3) AS delay_hours, round(h * 100, 3) AS delay_cost FROM (SELECT {road}, "
             "sum(greatest((60 - speed) / 60::DOUBLE, 0) * (30 / 3600::DOUBLE) * volume) AS h FROM clean GROUP BY ALL)"),
@@ -688,6 +690,16 @@ def _outlook() -> dict[str, str]:
             f"{_avg('speed')}, {VOLUME}, {N} AS record_count FROM clean GROUP BY ALL",
             "off AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE dayofyear(CAST(ts AS DATE)) % 10 = 0)"),
         "road_clusters": _with(f"SELECT count(*) AS roads, true AS few FROM (SELECT DISTINCT {road} FROM clean)"),
+        "streamed_windows": _with(
+            "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, detector_id, "
+            f"{N} AS record_count, {_avg('speed')}, {SEVERE} AS severe_count FROM ("
+            "SELECT a.*, time_bucket(INTERVAL 5 MINUTE, period_from) AS w, seen FROM arrivals a LEFT JOIN marks m ON a.part = m.part) "
+            "WHERE (seen IS NULL OR w + INTERVAL 5 MINUTE > seen - INTERVAL 10 MINUTE) "
+            "AND w + INTERVAL 5 MINUTE <= (SELECT max(period_from) - INTERVAL 10 MINUTE FROM arrivals) GROUP BY w, detector_id",
+            "arrivals AS (SELECT *, least((day(period_from) - 1) // 10, 2) + CASE CAST(floor(epoch(period_from)) AS BIGINT) % 20 WHEN 0 THEN 2 "
+            "WHEN 10 THEN 1 ELSE 0 END AS part FROM readings), "
+            "marks AS (SELECT p.part, (SELECT max(period_from) FROM arrivals b WHERE b.part < p.part) AS seen "
+            "FROM (SELECT DISTINCT part FROM arrivals) p)"),
         "streamed_congestion": _with(
             "SELECT strftime(time_bucket(INTERVAL 5 MINUTE, period_from), '%Y-%m-%d %H:%M:%S') AS window_start, detector_id, "
             f"{N} AS record_count, {_avg('speed')}, {SEVERE} AS severe_count FROM readings GROUP BY ALL"),

@@ -18,6 +18,7 @@ from lanepulse.plans.suite import FROM_FLOW_ROLLUP, FROM_ROLLUP, FROM_VALID_ROLL
 from lanepulse.sinks import tables as sinks
 from lanepulse.sources import shared, xml
 from lanepulse.sources import tables as sources
+from lanepulse.streaming import live
 from lanepulse.streaming.ingest import ingest_new_files
 from lanepulse.testbed import documents, tables
 
@@ -450,6 +451,28 @@ def streamed_congestion(spark, sf_dir):
     return plain(spark.read.parquet(out))
 
 
+def _arrivals(spark, sf_dir):
+    """Readings with the drop they arrive in: by thirds of the month, every tenth row one drop
+    late and every twentieth two drops."""
+    third = F.least(F.floor((F.dayofmonth("period_from") - 1) / 10), F.lit(2))
+    n = F.unix_seconds(F.col("period_from").cast("timestamp")) % 20
+    return tables.readings(spark, sf_dir).drop("source_file").withColumn(
+        "drop", (third + F.when(n == 0, 2).when(n == 10, 1).otherwise(0)).cast("int"))
+
+
+def streamed_windows(spark, sf_dir):
+    """The windows that the live view has written after five drops, the stream started anew for
+    each, and once more with nothing new."""
+    source, out, checkpoint = (shared.new_path(spark, n) for n in ("drops", "windows", "stream"))
+    rows = _arrivals(spark, sf_dir)
+    for drop in range(5):
+        arrived = rows.where(F.col("drop") == drop).drop("drop")
+        arrived.write.mode("append").parquet(source)
+        live.drain(spark.readStream.schema(arrived.schema).parquet(source), out, checkpoint)
+    live.drain(spark.readStream.schema(arrived.schema).parquet(source), out, checkpoint)
+    return plain(spark.read.parquet(out))
+
+
 def _outlook() -> dict[str, Query]:
     return _all_on(
         tables.clean, outlook,
@@ -466,6 +489,7 @@ def _outlook() -> dict[str, Query]:
         "road_clusters": lambda spark, sf_dir: outlook.road_clusters(tables.clean(spark, sf_dir)).agg(
             F.count(F.lit(1)).alias("roads"), (F.countDistinct("cluster") <= 5).alias("few")),
         "streamed_congestion": streamed_congestion,
+        "streamed_windows": streamed_windows,
     }
 
 
