@@ -12,6 +12,8 @@ from lanepulse.functions import columns as C
 
 MEASURES = ("speed", "volume", "occupancy")
 ROWS = "n_rows"
+# Endings of the sketch columns of a roll-up, after the column they sketch.
+QUANTILES, DISTINCT = "_kll", "_hll"
 
 # Keys of a flow roll-up: bin numbers of the finest bins in use, and both regimes.
 CELLS = ("volume_cell", "occupancy_cell", "traffic_regime", "flow_regime")
@@ -50,6 +52,9 @@ class Observed:
     def flagged(self, flag: str) -> Column:
         return F.count_if(FLAGS[flag]())
 
+    def distinct(self, name: str) -> Column:
+        return F.count_distinct(name)
+
 
 class RolledUp:
     """The same aggregates, merged from the parts a roll-up stores."""
@@ -80,19 +85,25 @@ class RolledUp:
     def flagged(self, flag: str) -> Column:
         return F.sum(f"{flag}_n")
 
+    def distinct(self, name: str) -> Column:
+        """Estimated from the merged sketches."""
+        return F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(name + DISTINCT)), F.lit(0))
+
+
+def additive_parts(name: str) -> list[Column]:
+    n = F.count(name)
+    return [
+        n.alias(f"{name}_n"),
+        F.sum(name).alias(f"{name}_sum"),
+        (F.var_pop(name) * n).alias(f"{name}_m2"),
+        F.min(name).alias(f"{name}_min"),
+        F.max(name).alias(f"{name}_max"),
+    ]
+
 
 def rollup_parts() -> list[Column]:
     """What a roll-up must store for ``RolledUp`` to work."""
-    parts = [F.count(F.lit(1)).alias(ROWS)]
-    for name in MEASURES:
-        n = F.count(name)
-        parts += [
-            n.alias(f"{name}_n"),
-            F.sum(name).alias(f"{name}_sum"),
-            (F.var_pop(name) * n).alias(f"{name}_m2"),
-            F.min(name).alias(f"{name}_min"),
-            F.max(name).alias(f"{name}_max"),
-        ]
+    parts = [F.count(F.lit(1)).alias(ROWS), *[part for name in MEASURES for part in additive_parts(name)]]
     return parts + [F.count_if(flag()).alias(f"{key}_n") for key, flag in FLAGS.items()]
 
 
@@ -105,6 +116,12 @@ def need_observations(df: DataFrame, what: str) -> None:
         raise ValueError(f"{what} needs single observations, not a roll-up")
 
 
+def need_quantiles(df: DataFrame, column: str, what: str) -> None:
+    """Percentiles also come from a roll-up that keeps quantile sketches."""
+    if column + QUANTILES not in df.columns:
+        need_observations(df, what)
+
+
 def need_cells(df: DataFrame, what: str) -> None:
     """Reports by measured value also take a roll-up whose rows never mix bins or regimes."""
     if ROWS in df.columns and not set(CELLS) <= set(df.columns):

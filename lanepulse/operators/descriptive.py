@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanepulse.functions import columns as C
-from lanepulse.functions.measures import five_metrics, measures, need_observations, three_means
+from lanepulse.functions.measures import five_metrics, measures, need_observations, need_quantiles, three_means
 from lanepulse.operators.distribution import describe_column
 
 _QUARTILES = {"25th_Percentile": 0.25, "75th_Percentile": 0.75, "95th_Percentile": 0.95}
 
 
 def _overall(obs, column, shares, **options):
-    need_observations(obs, "overall distribution")
+    need_quantiles(obs, column, "overall distribution")
     stats = describe_column(obs, column, {"Median": 0.5, **shares}, **options)
     return stats.select(
         F.col("mean").alias("Mean"), "Median", F.col("std").alias("Std_Dev"),
@@ -44,7 +44,8 @@ def overall_wide(clean: DataFrame, accuracy: int | None = None) -> DataFrame:
     The speed percentiles come from value counts, the other figures from one plain
     aggregate; only distinct speed values and one row per task are shuffled.
     """
-    need_observations(clean, "overall_wide")
+    need_quantiles(clean, "speed", "overall_wide")
+    m = measures(clean)
     speed = describe_column(
         clean, "speed",
         {"speed_p25": 0.25, "speed_p50": 0.5, "speed_p75": 0.75, "speed_p95": 0.95},
@@ -55,12 +56,12 @@ def overall_wide(clean: DataFrame, accuracy: int | None = None) -> DataFrame:
         "speed_p25", "speed_p50", "speed_p75", "speed_p95",
     )
     rest = clean.agg(
-        F.avg("volume").alias("avg_volume"), F.stddev("volume").alias("std_volume"),
-        F.sum("volume").alias("total_volume"),
-        F.min("volume").alias("min_volume"), F.max("volume").alias("max_volume"),
-        F.avg("occupancy").alias("avg_occupancy"), F.stddev("occupancy").alias("std_occupancy"),
-        F.min("occupancy").alias("min_occupancy"), F.max("occupancy").alias("max_occupancy"),
-        F.avg("standard_deviation").alias("avg_speed_std"),
+        m.mean("volume").alias("avg_volume"), m.spread("volume").alias("std_volume"),
+        m.total("volume").alias("total_volume"),
+        m.low("volume").alias("min_volume"), m.high("volume").alias("max_volume"),
+        m.mean("occupancy").alias("avg_occupancy"), m.spread("occupancy").alias("std_occupancy"),
+        m.low("occupancy").alias("min_occupancy"), m.high("occupancy").alias("max_occupancy"),
+        m.mean("standard_deviation").alias("avg_speed_std"),
     )
     # two one-row results side by side: stack them and keep each column's only value
     both = speed.unionByName(rest, allowMissingColumns=True)
@@ -83,9 +84,12 @@ def road_stats(obs: DataFrame, approximate: bool = False) -> DataFrame:
     Rows are aggregated per (road, district, detector) first; a road that holds a third
     of the data is thus split by detector and pre-aggregated before any shuffle.
     """
-    detectors = F.approx_count_distinct if approximate else F.count_distinct
+    if "detector_id" in obs.columns:
+        detectors = (F.approx_count_distinct if approximate else F.count_distinct)("detector_id")
+    else:  # a roll-up with sketches
+        detectors = measures(obs).distinct("detector_id")
     return obs.groupBy("Road_EN", "District").agg(
-        *five_metrics(measures(obs)), detectors("detector_id").alias("Num_Detectors")
+        *five_metrics(measures(obs)), detectors.alias("Num_Detectors")
     )
 
 

@@ -12,7 +12,8 @@ data on the map side, and what meets in one task is at most the distinct values
 
 Buckets are even steps of log(1 + |value|), so no column has more than about 1.5 million
 of them, whatever its range, and neighbouring values of a wide column share one.
-``accuracy`` switches to Spark's mergeable percentile sketch instead.
+``accuracy`` switches to Spark's mergeable percentile sketch instead, and a roll-up with
+quantile sketches (plans/sketches.py) is answered from those.
 """
 
 from fractions import Fraction
@@ -20,6 +21,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanepulse.functions.measures import QUANTILES, ROWS, RolledUp
+
 STEPS = 1024
 
 
@@ -44,6 +47,8 @@ def describe_column(df: DataFrame, value: str, shares: dict[str, float], keys=()
     ``carry`` maps a column to keep the mean of, from the same scan, to its output name.
     """
     keys, carry = list(keys), dict(carry or {})
+    if ROWS in df.columns:
+        return _describe_merged(df, value, shares, keys, carry)
     if accuracy is not None:
         return _describe_sketched(df, value, shares, keys, carry, accuracy)
 
@@ -103,6 +108,26 @@ def describe_column(df: DataFrame, value: str, shares: dict[str, float], keys=()
     )
 
 
+def _describe_merged(rollup, value, shares, keys, carry):
+    """The same row per key from stored parts and sketches. A percentile is a value that was
+    seen, of the column's own type."""
+    m, own_type = RolledUp(), rollup.schema[f"{value}_min"].dataType
+    merged = rollup.groupBy(*keys).agg(
+        m.records().alias("rows"), F.sum(f"{value}_n").alias("n"), m.mean(value).alias("mean"),
+        m.spread(value).alias("std"), m.low(value).alias("min"), m.high(value).alias("max"),
+        m.total(value).alias("total"), F.kll_merge_agg_double(value + QUANTILES).alias("_sketch"),
+        *[m.mean(c).alias(out) for c, out in carry.items()],
+    )
+
+    def at(share):
+        quantile = F.kll_sketch_get_quantile_double("_sketch", F.lit(float(share)))
+        return F.when(F.col("n") > 0, quantile).cast(own_type)
+
+    figures = ["rows", "n", "mean", "std", "min", "max", "total"]
+    return merged.select(
+        *keys, *figures, *[at(share).alias(name) for name, share in shares.items()], *carry.values())
+
+
 def _describe_sketched(df, value, shares, keys, carry, accuracy):
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lanepulse.functions import columns as C
 from lanepulse.functions import fixed_values as V
 from lanepulse.functions.measures import (
-    MEASURES, ROWS, measures, need_cells, need_observations, three_means,
+    MEASURES, ROWS, measures, need_cells, need_observations, need_quantiles, three_means,
 )
 from lanepulse.operators.distribution import describe_column
 from lanepulse.operators.sampling import bernoulli_sample, key_sample
@@ -84,7 +84,7 @@ def scatter_sample(clean: DataFrame, fraction: float = 0.01, seed: int = 42, key
 def road_capacity_estimates(clean: DataFrame, k: int = 20, more_than: int = V.MIN_OBSERVATIONS,
                             **options) -> DataFrame:
     """Largest and 95th-percentile volume per road and lane."""
-    need_observations(clean, "road_capacity_estimates")
+    need_quantiles(clean, "volume", "road_capacity_estimates")
     keys = ("Road_EN", "District", "lane_id")
     lanes = describe_column(
         clean, "volume", {"volume_95th": 0.95}, keys, carry={"speed": "avg_speed"}, **options
@@ -97,7 +97,7 @@ def road_capacity_estimates(clean: DataFrame, k: int = 20, more_than: int = V.MI
 
 
 def lane_capacity_estimates(clean: DataFrame, **options) -> DataFrame:
-    need_observations(clean, "lane_capacity_estimates")
+    need_quantiles(clean, "volume", "lane_capacity_estimates")
     lanes = describe_column(
         clean, "volume", {"volume_95th": 0.95, "volume_90th": 0.90}, ("lane_id",), **options
     )

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lanepulse.functions import columns as C
 from lanepulse.functions import fixed_values as V
+from lanepulse.functions.measures import DISTINCT, measures
 
 
 def valid_only(obs: DataFrame) -> DataFrame:
@@ -47,8 +48,14 @@ def _distinct_counts(obs: DataFrame, named: dict[str, str], nulls: bool, extra=(
     The columns belong together (a detector has one road and one district), so their
     combinations are few; counting on those avoids expanding every input row once per
     column. A bare distinct() would be optimised away again, hence the count and its
-    filter. ``nulls`` counts a missing value as one more value.
+    filter. ``nulls`` counts a missing value as one more value. A roll-up with distinct-count
+    sketches is answered from those.
     """
+    if all(c + DISTINCT in obs.columns for c in named.values()):
+        m = measures(obs)
+        missing = lambda c: (F.coalesce(F.sum(f"{c}_nulls"), F.lit(0)) > 0).cast("long")
+        return obs.agg(*extra, *[
+            (m.distinct(c) + missing(c) if nulls else m.distinct(c)).alias(out) for out, c in named.items()])
     combos = obs.groupBy(*named.values()).agg(F.count(F.lit(1)).alias("seen")).filter("seen > 0")
 
     def distinct(column):
@@ -65,12 +72,13 @@ def spatial_coverage(obs: DataFrame) -> DataFrame:
 
 
 def clean_coverage(clean: DataFrame) -> DataFrame:
+    first, last = ("date_min", "date_max") if "date_min" in clean.columns else ("date", "date")
     return _distinct_counts(
         clean,
         {"distinct_dates": "date", "distinct_detectors": "detector_id",
          "distinct_roads": "Road_EN", "distinct_districts": "District"},
         nulls=True,
-        extra=[F.min("date").alias("min_date"), F.max("date").alias("max_date")],
+        extra=[F.min(first).alias("min_date"), F.max(last).alias("max_date")],
     )
 
 

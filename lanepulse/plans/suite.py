@@ -1,9 +1,10 @@
-"""The analysis suite: clean once, roll up three times, answer every report."""
+"""The analysis suite: clean once, roll up four times, answer every report."""
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lanepulse.operators import descriptive, flow, quality, rush, spatial, temporal
 from lanepulse.plans.rollup import flow_rollup, hourly_rollup
+from lanepulse.plans.sketches import sketch_rollup
 from lanepulse.sinks.tables import export_summaries
 from lanepulse.sources.tables import read_or_compute, version_of
 
@@ -77,18 +78,23 @@ FROM_FLOW_ROLLUP = {
     "hourly_flow_regimes": flow.hourly_flow_regimes,
 }
 
-# Reports that must see the readings (percentiles, correlation, sample).
-FROM_READINGS = {
+# Reports with percentiles: from the sketches within their rank error, or, where exact ones are
+# asked for, from the readings.
+FROM_SKETCHES = {
     "overall_wide": descriptive.overall_wide,
-    "correlations": flow.correlations,
-    "scatter_sample": flow.scatter_sample,
     "road_capacity_estimates": flow.road_capacity_estimates,
     "lane_capacity_estimates": flow.lane_capacity_estimates,
 }
 
+# Reports that must see the readings (correlation, sample).
+FROM_READINGS = {
+    "correlations": flow.correlations,
+    "scatter_sample": flow.scatter_sample,
+}
+
 
-def prepare(spark: SparkSession, obs: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Write (or find) the cleaned table, its two roll-ups and that of all valid readings. They are ordinary tables, so
+def prepare(spark: SparkSession, obs: DataFrame, root: str) -> tuple[DataFrame, ...]:
+    """Write (or find) the cleaned table, its three roll-ups and that of all valid readings. They are ordinary tables, so
     a lost executor costs a re-read and a restarted job goes on from what is finished. Other
     input files, or changed ones, are another version and are computed anew."""
     version = version_of(obs)
@@ -97,17 +103,21 @@ def prepare(spark: SparkSession, obs: DataFrame, root: str) -> tuple[DataFrame,
     by_flow = read_or_compute(spark, f"{root}/flow_rollup", lambda: flow_rollup(clean), version)
     by_valid = read_or_compute(
         spark, f"{root}/valid_rollup", lambda: hourly_rollup(quality.valid_only(obs)), version)
-    return clean, by_hour, by_flow, by_valid
+    by_sketch = read_or_compute(spark, f"{root}/sketches", lambda: sketch_rollup(clean), version)
+    return clean, by_hour, by_flow, by_valid, by_sketch
 
 
-def reports(clean: DataFrame, by_hour: DataFrame, by_flow: DataFrame, by_valid: DataFrame) -> dict[str, DataFrame]:
+def reports(clean: DataFrame, by_hour: DataFrame, by_flow: DataFrame, by_valid: DataFrame, by_sketch: DataFrame,
+            exact: bool = False) -> dict[str, DataFrame]:
     sources = (
-        (FROM_ROLLUP, by_hour), (FROM_FLOW_ROLLUP, by_flow), (FROM_VALID_ROLLUP, by_valid), (FROM_READINGS, clean))
+        (FROM_ROLLUP, by_hour), (FROM_FLOW_ROLLUP, by_flow), (FROM_VALID_ROLLUP, by_valid),
+        (FROM_SKETCHES, clean if exact else by_sketch), (FROM_READINGS, clean))
     return {name: report(table) for group, table in sources for name, report in group.items()}
 
 
-def run_suite(spark: SparkSession, obs: DataFrame, root: str) -> dict[str, DataFrame]:
-    """All reports over one data set, exported as CSV below ``root``."""
-    results = reports(*prepare(spark, obs, root))
+def run_suite(spark: SparkSession, obs: DataFrame, root: str, exact: bool = False) -> dict[str, DataFrame]:
+    """All reports over one data set, exported as CSV below ``root``. ``exact`` percentiles
+    scan the cleaned readings again."""
+    results = reports(*prepare(spark, obs, root), exact=exact)
     export_summaries(results, f"{root}/reports")
     return results

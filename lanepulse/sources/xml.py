@@ -1,6 +1,6 @@
 """Reading files in XML, and the detector locations that belong to them."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +62,50 @@ def read_periods(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
+# A text read by this separator falls into the parts between tags of a period.
+PERIOD_TAG = "period>"
+DATE_TAG = r"<(?:[\w.-]+:)?date>\s*([^<]*?)\s*</"
+PERIOD_END = r"</([\w.-]+:)?$"
+PERIOD_START = r"(?s)^.*<([\w.-]+:)?period\s[^>]*>"
+HOLDS_READINGS = r"<([\w.-]+:)?detector_id>"
+
+
+def read_split_periods(spark: SparkSession, *paths: str) -> DataFrame:
+    """The rows of `read_periods` with the date of their document, from files of any size.
+
+    A file is read as text records that end at a period's tag, so it is split over tasks like
+    any text file, and each period is parsed on its own. A period takes the last date before
+    it: found within its split, else carried over from the splits before, of which only the last
+    date counts. A record with readings that is no whole period, or does not parse, has its text
+    in the corrupt column. One file may hold several documents, each with its date first. A tag
+    of a period inside a comment or CDATA section is taken for one.
+    """
+    raw = spark.read.option("lineSep", PERIOD_TAG).option("pathGlobFilter", OPTIONS["pathGlobFilter"]).text(list(paths))
+    pieces = raw.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value",
+        F.nullif(F.regexp_extract("value", DATE_TAG, 1), F.lit("")).alias("named"))
+    split = Window.partitionBy("path", "block")
+    dated = pieces.withColumn("own", F.last("named", ignorenulls=True).over(
+        split.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    ends = pieces.groupBy("path", "block").agg(F.max_by("named", F.when(F.col("named").isNotNull(), F.col("place"))).alias("last"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("path", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+
+    whole = F.col("value").rlike(PERIOD_END)
+    body = F.regexp_replace(F.regexp_replace("value", PERIOD_END, ""), PERIOD_START, "")
+    options = {k: v for k, v in OPTIONS.items() if k not in ("pathGlobFilter", "charset")}
+    found = dated.where(whole | F.col("value").rlike(HOLDS_READINGS)).join(carried, ["path", "block"], "left").select(
+        F.coalesce("own", "carried").alias("date"), "source_file", "value", whole.alias("whole"),
+        F.when(whole, F.from_xml(
+            F.concat(F.lit("<period>"), body, F.lit("</period>")), _with_corrupt(schemas.PERIOD), options)).alias("p"))
+    good = F.col("whole") & F.col(f"p.{CORRUPT}").isNull()
+    return found.select(
+        "date", F.when(good, F.struct("p.period_from", "p.period_to", "p.detectors")).alias("period"),
+        F.when(~good, F.col("value")).alias(CORRUPT), "source_file")
+
+
 def good_and_corrupt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parsed rows, and the quarantine: name and text of what did not parse."""
     good = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)

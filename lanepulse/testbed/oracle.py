@@ -467,6 +467,7 @@ def _ingest() -> dict[str, str]:
             "SELECT (SELECT count(*) FROM events) AS documents, (SELECT count(*) FROM doc_periods) AS periods, "
             "(SELECT count(*) FROM doc_detectors) AS detectors, (SELECT count(*) FROM doc_lanes) AS lanes"),
         "xml_readings": _lanes("SELECT * FROM flat"),
+        "xml_split_readings": _lanes("SELECT * FROM flat"),
         "xml_period_rows": _lanes(
             "SELECT time_from AS period_from, time_to AS period_to, detector_id, event_type AS direction, lane_id, "
             "CASE WHEN lane_id = 'Fast Lane' THEN CAST(CAST(floor(value) AS INT) AS VARCHAR) "
@@ -587,7 +588,7 @@ def _rollup() -> dict[str, str]:
         "count(*) FILTER (regime_a = 'Synchronized Flow') AS synchronized_n",
         "count(*) FILTER (regime_a = 'Wide Moving Jam') AS jam_n",
     ]
-    base = _temporal() | _spatial() | _flow() | _descriptive() | _rush()
+    base = _temporal() | _spatial() | _flow() | _descriptive() | _rush() | _quality()
     same = (
         "district_stats", "road_stats", "road_slowest20", "road_busiest20", "road_fastest20", "lane_stats", "hourly_stats",
         "dow_stats", "weekday_weekend", "direction_stats", "busy_roads_morning", "busy_roads_evening",
@@ -606,6 +607,8 @@ def _rollup() -> dict[str, str]:
     rollup = _group("clean", keys, ", ".join(figures))
     return {"hourly_rollup": rollup, "located_rollup": rollup, "flow_rollup": by_flow} | {
         f"{name}_from_rollup": base[name] for name in same
+    } | {  # distinct counts; percentiles from sketches have a rank error and no SQL twin
+        f"{name}_from_sketches": base[name] for name in ("road_stats", "spatial_coverage", "clean_coverage")
     }
 
 

@@ -14,6 +14,7 @@ from lanepulse.operators import (
 )
 from lanepulse.plans.ingest_folder import ingest_folder
 from lanepulse.plans.rollup import flow_rollup, hourly_rollup, located_rollup
+from lanepulse.plans.sketches import sketch_rollup
 from lanepulse.plans.suite import FROM_FLOW_ROLLUP, FROM_ROLLUP, FROM_VALID_ROLLUP
 from lanepulse.sinks import tables as sinks
 from lanepulse.sources import shared, xml
@@ -183,6 +184,12 @@ def xml_period_rows(spark, sf_dir):
     return lanes.select("period_from", "period_to", "detector_id", "direction", "lane.lane_id", "lane.speed")
 
 
+def xml_split_readings(spark, sf_dir):
+    """The same from text splits: one file may be read by many tasks."""
+    good, _ = xml.good_and_corrupt(xml.read_split_periods(spark, _xml_files(spark, sf_dir)))
+    return plain(ingest.flatten_periods(good).select(*TYPED))
+
+
 def ingested_folder(spark, sf_dir):
     """Rows and files of one folder's ingest, good and quarantined."""
     table, quarantine = shared.new_path(spark, "table"), shared.new_path(spark, "quarantine")
@@ -234,6 +241,7 @@ def _ingest() -> dict[str, Query]:
         "fanout_counts": lambda spark, sf_dir: ingest.fanout_counts(documents.documents(spark, sf_dir)),
         "xml_readings": xml_readings,
         "xml_period_rows": xml_period_rows,
+        "xml_split_readings": xml_split_readings,
         "locations_csv": locations_csv,
         "located_readings": located_readings,
         "ingested_folder": ingested_folder,
@@ -418,6 +426,9 @@ def _rollup() -> dict[str, Query]:
     def by_flow(spark, sf_dir):
         return flow_rollup(tables.clean(spark, sf_dir))
 
+    def sketched(source):
+        return lambda spark, sf_dir: sketch_rollup(source(spark, sf_dir))
+
     return {
         "hourly_rollup": _on(source, lambda rollup: rollup),
         "located_rollup": joined_late,
@@ -428,6 +439,17 @@ def _rollup() -> dict[str, Query]:
         f"{name}_from_rollup": _on(by_valid, report) for name, report in FROM_VALID_ROLLUP.items()
     } | {
         f"{name}_from_rollup": _on(by_flow, FROM_FLOW_ROLLUP[name]) for name in ROLLED_UP_BY_FLOW
+    } | {
+        f"{report.__name__}_from_sketches": _on(sketched(table), report) for table, report in (
+            (tables.valid_observations, descriptive.overall_speed),
+            (tables.valid_observations, descriptive.overall_volume),
+            (tables.valid_observations, descriptive.overall_occupancy),
+            (tables.valid_observations, descriptive.road_stats),
+            (tables.observations, quality.spatial_coverage),
+            (tables.clean, quality.clean_coverage),
+            (tables.clean, descriptive.overall_wide),
+            (tables.clean, flow.road_capacity_estimates),
+            (tables.clean, flow.lane_capacity_estimates))
     }
 
 

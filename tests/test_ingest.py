@@ -147,6 +147,45 @@ def test_fanout(spark, folder):
     assert ingest.explode_periods(docs).count() == 4
 
 
+def split_flat(spark, path):
+    good, corrupt = xml.good_and_corrupt(xml.read_split_periods(spark, path))
+    return ingest.flatten_periods(good), corrupt
+
+
+@pytest.mark.parametrize("size", [None, 64, 700])
+def test_split_files_give_the_rows_of_whole_ones(spark, folder, size):
+    """Splits of a few bytes too, several documents in a file, prefixes and attributes."""
+    many = "<all>" + "".join(
+        document([(f"{h:02}:{m:02}:00", f"{h:02}:{m:02}:30", [detector(f"AID{h}", [lane("Fast Lane", m), lane("é", 1)])])
+                  for m in range(6)], date=f"2025-08-{10 + h}").split("?>")[1] for h in range(8)) + "</all>"
+    path = folder(a=GOOD, b=many, c=document([("01:00:00", "01:00:30", [])]))
+    want = rows(flat(spark, path)[0])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        if size:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+            assert spark.read.text(path).rdd.getNumPartitions() > 3
+        readings, corrupt = split_flat(spark, path)
+        assert rows(readings) == want and corrupt.count() == 0
+        assert readings.where("date IS NULL").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_split_files_with_prefixes_attributes_and_damage(spark, folder):
+    prefixed = document([("01:00:00", "01:00:30", [detector("AID1", [lane("Fast Lane", 40, p="t:")], p="t:")])], p="t:")
+    attributed = GOOD.replace("<period>", "<period id='1'>")
+    readings, corrupt = split_flat(spark, folder(a=prefixed, b=attributed))
+    assert readings.count() == 6 and corrupt.count() == 0
+    assert {str(d) for d, in readings.select("date").collect()} == {"2025-08-26"}
+    readings, corrupt = split_flat(spark, folder(
+        a=GOOD, b=GOOD[: len(GOOD) // 2], c=GOOD.replace("<direction>South</direction>", "<direction>South")))
+    bad = [r.source_file[9] for r in corrupt.collect()]
+    assert sorted(bad) == ["b", "c"] and readings.count() == 5 + 1  # the other period of c is whole
+
+
 def test_period_rows_take_the_date_from_the_file_name(spark, folder):
     good, _ = xml.good_and_corrupt(xml.read_periods(spark, folder(a=GOOD)))
     readings = ingest.flatten_periods(good)

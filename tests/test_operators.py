@@ -17,7 +17,7 @@ from lanepulse.functions import fixed_values as V
 from lanepulse.operators import descriptive, flow, quality, rush, sampling, spatial, temporal
 from lanepulse.operators.distribution import describe_column
 from lanepulse.plans.rollup import flow_rollup, hourly_rollup
-from lanepulse.plans.suite import FROM_FLOW_ROLLUP, FROM_READINGS, FROM_ROLLUP, FROM_VALID_ROLLUP, run_suite
+from lanepulse.plans.suite import FROM_FLOW_ROLLUP, FROM_READINGS, FROM_ROLLUP, FROM_SKETCHES, FROM_VALID_ROLLUP, run_suite
 from lanepulse.testbed import tables
 
 READING = (
@@ -336,7 +336,7 @@ def test_reports_on_single_readings_refuse_a_roll_up(clean):
 def test_suite(spark, obs, tmp_path):
     root = str(tmp_path / "suite")
     results = run_suite(spark, obs, root)
-    assert set(results) == set(FROM_ROLLUP) | set(FROM_FLOW_ROLLUP) | set(FROM_READINGS) | set(FROM_VALID_ROLLUP)
+    assert set(results) == set(FROM_ROLLUP | FROM_FLOW_ROLLUP | FROM_READINGS | FROM_SKETCHES | FROM_VALID_ROLLUP)
     exported = spark.read.csv(f"{root}/reports/hourly_profile", header=True)
     assert exported.count() == results["hourly_profile"].count() == 24
     cleaned = spark.read.parquet(f"{root}/cleaned/*/rows")

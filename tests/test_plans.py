@@ -31,7 +31,10 @@ def stored(spark, sf_dir, tmp_path_factory):
 @pytest.mark.parametrize("name", [q for q in sorted(queries.queries()) if not WRITING.search(q)])
 def test_no_python_and_no_cross_join(spark, sf_dir, name):
     plan = physical(queries.queries()[name](spark, sf_dir))
-    assert not re.search("Python|Pandas|CartesianProduct|BroadcastNestedLoopJoin|ObjectHashAggregate", plan)
+    forbidden = "Python|Pandas|CartesianProduct|BroadcastNestedLoopJoin"
+    if not name.endswith("_from_sketches"):  # sketches are objects, of a bounded size
+        forbidden += "|ObjectHashAggregate"
+    assert not re.search(forbidden, plan)
 
 
 def test_hour_filter_reaches_the_scan(stored):
