@@ -5,12 +5,21 @@ or more key characters is a candidate. Its encoding is inferred (hexadecimal, le
 either case, base64)
 and three tests ask whether it could be random in that alphabet: chi-squared uniformity of the
 symbols, Wald-Wolfowitz runs about the middle of the alphabet, and serial correlation. A
-candidate that all three leave standing must also be unlike ordinary words: under ordinary
-writing the kind of character (lower, upper, digit, other) changes between neighbours with
-probability `CHANGE` at most, and the Chernoff bound on as many changes as were seen is its
-p-value, so short candidates need relatively more. P-values of all candidates of the whole
-table are then judged together per length class by the Benjamini-Hochberg rule, so the share
-of false finds stays below `FALSE_SHARE` in each class however large the table is.
+candidate that one of them refuses is not random. The same three kinds of statistic then
+give p-values under the other hypothesis, ordinary writing, for those left standing:
+
+* uniformity: the sum of squared counts (chi-squared, up to scale) of the letters without
+  their case is at least that of ordinary writing, `COINCIDENCE` of all pairs;
+* runs: the kind of character (lower, upper, digit, other) changes between neighbours with
+  probability `CHANGE` at most;
+* serial dependence: in letters alone, vowels and consonants take turns with probability
+  `TURNS` at least.
+
+Each is a Chernoff or normal bound, so short candidates need relatively more; Fisher's method
+makes one p-value of the three. P-values of all candidates of the whole table are judged
+together per length class by the Benjamini-Hochberg rule, so the share of false finds stays
+below `FALSE_SHARE` in each class however large the table is. Random letters of one case are
+unlike writing by the first and third alone, and need some 60 characters.
 
 Everything is built-in expressions. The first pass leaves counts per length class and p-value
 step (a few thousand rows at most); the second is a scan with the found thresholds as a map
@@ -33,6 +42,11 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 12
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 CHANGE, FALSE_SHARE, MOST_Z = 0.1, 0.01, 3.7
+#: Share of equal pairs of letters in ordinary writing, the variance of that share
+#: times the length, and how often vowels and consonants take turns.
+COINCIDENCE, SPREAD, TURNS = 0.062, 0.0044, 0.55
+SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789+/-_="
+VOWELS = "aeiou"
 STEPS, STEP = 400, 0.25
 BLOCK = 256
 MASK = "[REDACTED]"
@@ -94,16 +108,41 @@ def _encoding(token: Column) -> Column:
     )
 
 
+def _let(value: Column, then) -> Column:
+    """`then` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _changes(kinds: Column) -> Column:
+    """Share of neighbours of different kinds."""
+    pairs = F.zip_with(F.slice(kinds, 1, F.size(kinds) - 1), F.slice(kinds, 2, F.size(kinds) - 1), lambda a, b: a != b)
+    return F.size(F.filter(pairs, lambda x: x)).cast("double") / (F.size(kinds) - 1).cast("double")
+
+
+def _bound(share: Column, null: float, pairs: Column) -> Column:
+    """Minus the log of the Chernoff bound on a share of `pairs` that lies off its null."""
+    part = lambda p, q: F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
+    return pairs * (part(share, null) + part(1 - share, 1 - null))
+
+
 def _word_unlikeness(token: Column) -> Column:
-    """Minus the log of the bound on so many changes of character kind in ordinary writing."""
-    kinds = F.transform(F.split(token, ""), _kind_of)
-    pairs = (F.length(token) - 1).cast("double")
-    changes = F.size(F.filter(
-        F.zip_with(F.slice(kinds, 1, F.size(kinds) - 1), F.slice(kinds, 2, F.size(kinds) - 1), lambda a, b: a != b),
-        lambda x: x)).cast("double")
-    share = changes / pairs
-    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - CHANGE))).otherwise(0.0)
-    return F.when(share > CHANGE, pairs * (share * F.log(share / CHANGE) + rest)).otherwise(0.0)
+    """Minus the log of the p-value under ordinary writing: Fisher's combination of the bounds
+    on runs, uniformity and serial dependence."""
+    n = F.length(token).cast("double")
+    runs = _let(F.transform(F.split(token, ""), _kind_of), lambda kinds: _let(_changes(kinds), lambda share: F.when(
+        share > CHANGE, _bound(share, CHANGE, n - 1)).otherwise(0.0)))
+
+    low = F.lower(token)
+    squares = F.aggregate(F.split(F.lit(SYMBOLS), ""), F.lit(0.0), lambda s, c: s + F.pow(
+        (F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("double"), F.lit(2.0)))
+    spread = F.sqrt(SPREAD / n + 2 * COINCIDENCE * (1 - COINCIDENCE) / (n * n))
+    z = F.greatest((COINCIDENCE - (squares - n) / (n * (n - 1))) / spread, F.lit(0.0))
+    uniform = _let(z, lambda z: z * z / 2)
+
+    vowels = F.transform(F.split(low, ""), lambda c: F.call_function("instr", F.lit(VOWELS), c) > 0)
+    serial = F.when(low.rlike("^[a-z]+$"), _let(vowels, lambda kinds: _let(_changes(kinds), lambda share: F.when(
+        share < TURNS, _bound(share, TURNS, n - 1)).otherwise(0.0)))).otherwise(0.0)
+    return _let(runs + uniform + serial, lambda total: total - F.log(1 + total + total * total / 2))
 
 
 def _looks_random(token: Column) -> Column:
@@ -137,10 +176,9 @@ def _scored(tokens: Column) -> Column:
     those that are no different from words or not random."""
 
     def score(token):
-        unlike = _word_unlikeness(token)
-        step = F.least(F.floor(unlike / STEP).cast("int"), F.lit(STEPS))
-        return F.struct(F.floor(F.log2(F.length(token).cast("double"))).cast("int").alias("size"),
-                        F.when(step == 0, 0).when(_looks_random(token), step).otherwise(0).alias("step"))
+        steps = F.least(F.floor(_word_unlikeness(token) / STEP).cast("int"), F.lit(STEPS))
+        step = _let(steps, lambda step: F.when(step == 0, 0).when(_looks_random(token), step).otherwise(0))
+        return F.struct(F.floor(F.log2(F.length(token).cast("double"))).cast("int").alias("size"), step.alias("step"))
 
     return F.transform(tokens, score)
 

@@ -148,3 +148,10 @@ def test_passages_of_51_short_words_and_periodic_ones_are_all_found_and_50_are_n
     found = substrings.repeated_spans(docs).collect()
     assert {r.doc_id: (r.start, r.stop) for r in found} == want and len(found) == len(want)
     assert all(r.n_words > 50 and r.n_chunks > 0 for r in found)
+
+
+def test_texts_without_letters_are_und():
+    for text in (None, "", "½", "²", "①", "123 _ ٣", "😀 !"):
+        assert languages.features(text) is None
+    for text in ("a", "é", "ß 1", "字", "ª"):
+        assert languages.features(text) is not None

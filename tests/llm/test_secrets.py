@@ -75,3 +75,14 @@ def test_long_lower_case_base32_and_base36_tokens_are_found(spark):
     found = {r.doc_id for r in secrets.find_secrets(docs).collect() if any(s.kind == "random" for s in r.spans)}
     counts = [sum(i in found for i in range(a, a + 40)) for a in (0, 40, 80)]
     assert min(counts) >= 36, counts
+
+
+def test_random_letters_of_one_case_are_found_and_writing_is_not(spark):
+    rng = random.Random(3)
+    tokens = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80)) for _ in range(40)]
+    texts = ["thequickbrownfoxjumpsoverthelazydogandrunsaway", "rechtsschutzversicherungsgesellschaftenabteilung",
+             "anticonstitutionnellementetautresmotstreslongs", "precipitevolissimevolmenteeancheunaltraparola",
+             "pneumonoultramicroscopicsilicovolcanoconiosis", "floccinaucinihilipilificationandsomemorewords"]
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(tokens + texts)], "doc_id int, text string")
+    found = {r.doc_id for r in secrets.find_secrets(docs).collect() if any(s.kind == "random" for s in r.spans)}
+    assert len([i for i in found if i < 40]) >= 28 and not [i for i in found if i >= 40], sorted(found)
