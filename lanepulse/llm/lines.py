@@ -11,8 +11,9 @@ removed if an earlier line of the table matches it. Earlier means a smaller (doc
    that shares one must also pass the length filter, the positional filter (what can still be
    common after that word) and a bound by 128 parity bits of the words.
 4. Large groups of near copies would meet pairwise. So each set first meets only the earliest
-   set of two of its prefix words; those matched there are settled. Then every set still
-   open meets all earlier ones that share a prefix word. The result is that of all pairs.
+   set of two of its prefix words, and of four pairs of minima of its hashed words, which near
+   copies mostly share; those matched there are settled. Then every set still open meets all
+   earlier ones that share a prefix word. The result is that of all pairs.
 5. Candidates are verified on the words themselves, read again for the lines concerned only.
 
 No text is shuffled but that of candidates; hot words are split by the skew handling of joins.
@@ -24,6 +25,7 @@ give empty results.
 """
 
 import json
+import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,9 @@ from lanepulse.llm.stored import held, stored
 
 BUCKETS = 1 << 14
 LEAD_WORDS = 2
+#: Each pair of masks reorders the hashed words twice; the two least words name a lead.
+_draw = random.Random(3)
+LEAD_MASKS = [(_draw.getrandbits(63), _draw.getrandbits(63)) for _ in range(4)]
 LAST_ID = (1 << 63) - 1
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -72,17 +77,19 @@ def _parity(half: int) -> Column:
 
 
 def line_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(d, place, k, k2, n, low, high, prefix) of every line with a word; k, k2 name its set."""
+    """(d, place, k, k2, n, low, high, bands, prefix) of every line with a word; k, k2 name its set."""
     often = word_frequencies(docs, text)
     lines = _placed_lines(docs, text, doc_id)
     hashed = lines.select("d", "place", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("w"))
-    ranked = hashed.where(F.size("w") > 0).select("d", "place", F.sort_array(F.transform("w", lambda w: (
+    least = lambda mask: F.array_min(F.transform("w", lambda w: w.bitwiseXOR(F.lit(mask))))
+    bands = F.array(*[F.xxhash64(F.lit(i), least(a), least(b)) for i, (a, b) in enumerate(LEAD_MASKS)])
+    ranked = hashed.where(F.size("w") > 0).select("d", "place", bands.alias("bands"), F.sort_array(F.transform("w", lambda w: (
         F.get(often, F.pmod(w, F.lit(BUCKETS)).cast("int")) * F.lit(1 << 43) + w.bitwiseAND(F.lit((1 << 43) - 1))
     ))).alias("w"))
     n = F.size("w")
     return ranked.select(
         "d", "place", F.xxhash64("w").alias("k"), F.hash("w").alias("k2"), n.alias("n"),
-        _parity(0).alias("low"), _parity(64).alias("high"),
+        _parity(0).alias("low"), _parity(64).alias("high"), "bands",
         F.transform(F.slice("w", 1, n - F.floor((4 * n + 4) / 5).cast("int") + 1), lambda w: F.hash(w)).alias("prefix"))
 
 
@@ -123,8 +130,9 @@ def matched_sets(sets: DataFrame, docs: DataFrame, text: str = "text", doc_id: s
     fields = [F.col("d"), F.col("place"), F.col("low"), F.col("high")]
     packed = lambda i: (F.shiftleft(F.col("n").cast("long"), 32) + i).alias("ni")
 
-    lead = large.select(*fields, "n", "prefix", F.explode(F.slice(F.array_sort("prefix"), 1, LEAD_WORDS)).alias("t")).select(
-        *fields, "t", packed(F.array_position("prefix", F.col("t")) - 1))
+    keys = F.concat(F.slice(F.array_sort("prefix"), 1, LEAD_WORDS).cast("array<bigint>"), "bands")
+    lead = large.select(*fields, "n", "prefix", F.explode(keys).alias("t")).select(
+        *fields, "t", packed(F.greatest(F.array_position(F.col("prefix").cast("array<bigint>"), F.col("t")) - 1, F.lit(0))))
     first = lead.groupBy("t").agg(F.min(F.struct("d", "place", "low", "high", "ni")).alias("f")).select("t", "f.*")
     near = lead.alias("y").join(first.alias("x"), "t").where(_earlier("x", "y") & _can_match("x", "y")).selectExpr(*PAIR)
     settled = held(_verified(near.distinct(), docs, text, doc_id))
@@ -147,7 +155,7 @@ def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     """(d, place, line, first_d, first_line, match_d, match_line): every line to remove, the
     first line with the same words, and an earlier matching line of other words, if any."""
     lines = stored(line_sets(docs, text, doc_id), "lines")
-    best = lines.groupBy("k", "k2").agg(F.min(F.struct("d", "place", "n", "low", "high", "prefix")).alias("s"))
+    best = lines.groupBy("k", "k2").agg(F.min(F.struct("d", "place", "n", "low", "high", "bands", "prefix")).alias("s"))
     sets = stored(best.select("k", "k2", "s.*"), "line-sets")
     matched = held(matched_sets(sets, docs, text, doc_id))
     classes = sets.join(matched, ["d", "place"], "left").select(
