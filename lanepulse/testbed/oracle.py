@@ -505,8 +505,7 @@ def _storage() -> dict[str, str]:
             "CASE WHEN l_suppkey % 7 <> 0 THEN strftime(l_shipdate, '%Y-%m-%d') END AS date, "
             "CAST(hour(l_shipdate) AS INT) AS hour FROM lineitem"),
         "date_boundary_ingest": _with(
-            f"SELECT detector_id, lane_id, speed, volume, {_day('date', 'date')}, source_file FROM readings "
-            "WHERE source_file IN ('file-1', 'file-2')"),
+            f"SELECT detector_id, lane_id, speed, volume, {_day('date', 'date')}, source_file FROM readings"),
         "compacted_by_date": _with(f"SELECT {ROW} FROM readings"),
         "exported_summary": descriptive["district_stats"],
         "stored_lane_stats": descriptive["lane_stats"],
