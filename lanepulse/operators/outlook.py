@@ -6,12 +6,17 @@ Reports that look back or ahead in time run on hourly means per detector, which
 and are found by day, then merged, so no window holds more than a lane's readings of one day.
 """
 
+from functools import reduce
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanepulse.functions import columns as C
+from lanepulse.operators.distribution import describe_column
+from lanepulse.operators.ranking import with_percent_rank
+from lanepulse.sources import shared
 
 HOUR = 3600
 DAYS = range(1, 8)
@@ -88,13 +93,15 @@ def sd_speed_relation(clean: DataFrame) -> DataFrame:
         F.avg(F.try_divide("standard_deviation", "speed")).alias("avg_cv"))
 
 
-def congestion_index_banded(clean: DataFrame) -> DataFrame:
-    """Index of percentile ranks and relative spread per road, with its band (roads are few)."""
-    roads = clean.groupBy(*ROAD).agg(
-        F.avg("speed").alias("avg_speed"), F.avg("occupancy").alias("avg_occupancy"), F.stddev("speed").alias("sd"))
-    rank = lambda name: F.percent_rank().over(Window.orderBy(name)) * 100
-    index = (100 - rank("avg_speed")) * 0.4 + rank("avg_occupancy") * 0.4 + F.try_divide("sd", "avg_speed") * 100 * 0.2
-    scored = roads.select(*ROAD, index.alias("congestion_index"))
+def congestion_index_banded(clean: DataFrame, keys=ROAD) -> DataFrame:
+    """Index of percentile ranks and relative spread per road (or whatever `keys` name), with
+    its band. Groups may be many: ranks come from blocks of values, not from one sorted task."""
+    groups = shared.stored(clean.groupBy(*keys).agg(
+        F.avg("speed").alias("avg_speed"), F.avg("occupancy").alias("avg_occupancy"), F.stddev("speed").alias("sd")), "index")
+    ranked = with_percent_rank(with_percent_rank(groups, "avg_speed", "fast"), "avg_occupancy", "full")
+    index = ((100 - F.col("fast") * 100) * 0.4 + F.col("full") * 100 * 0.4
+             + F.try_divide("sd", "avg_speed") * 100 * 0.2)
+    scored = ranked.select(*keys, index.alias("congestion_index"))
     band = F.lit(TOP_BAND)
     for label, below in reversed(BANDS):
         band = F.when(F.col("congestion_index") < below, label).otherwise(band)
@@ -143,13 +150,27 @@ def congestion_episodes(clean: DataFrame, longest_gap: int = 3600) -> DataFrame:
 
 def delay_cost(clean: DataFrame, free_speed: str | float = 60.0, value_of_time: float = 100.0, seconds: int = 30) -> DataFrame:
     """Vehicle hours lost per road below free speed, and their cost. `free_speed` is one number
-    or a column name; a road's own percentile can be joined on before."""
+    or a column name; `delay_against_own_speed` takes each road's own percentile."""
     free = F.col(free_speed) if isinstance(free_speed, str) else F.lit(float(free_speed))
     lost = F.greatest(F.try_divide(free - F.col("speed"), free), F.lit(0.0)) * F.lit(seconds / HOUR) * F.col("volume")
     roads = clean.groupBy(*ROAD).agg(F.sum(lost).alias("delay_hours"))
     return roads.withColumn("delay_cost", F.col("delay_hours") * value_of_time)
 
 
+def delay_against_own_speed(clean: DataFrame, share: float = 0.85, value_of_time: float = 100.0, seconds: int = 30) -> DataFrame:
+    """`delay_cost` with each road's own free speed, the given percentile of its speeds. Readings
+    are added up per road and speed before the join, so a road is joined at most once per
+    speed it was ever driven at."""
+    same = reduce(Column.__and__, [F.col(f"v.{k}").eqNullSafe(F.col(f"f.{k}")) for k in ROAD])
+    by_speed = clean.groupBy(*ROAD, "speed").agg(F.sum("volume").alias("volume"))
+    free = describe_column(clean, "speed", {"free_speed": share}, ROAD).select(*ROAD, "free_speed")
+    placed = by_speed.alias("v").join(free.alias("f"), same).select(
+        *[f"v.{k}" for k in ROAD], "v.speed", "v.volume", "f.free_speed")
+    lost = delay_cost(placed, "free_speed", value_of_time, seconds)
+    same = reduce(Column.__and__, [F.col(f"d.{k}").eqNullSafe(F.col(f"f.{k}")) for k in ROAD])
+    return lost.alias("d").join(free.alias("f"), same).select("d.*", "f.free_speed")
+
+
 def threshold_incidents(clean: DataFrame, drop: float = 0.5, spike: float = 1.5) -> DataFrame:
     """Detector hours far slower, or far fuller, than the same hour on all days."""
     hours = _hourly(clean, "detector_id")
@@ -213,11 +234,25 @@ def road_profiles(clean: DataFrame) -> DataFrame:
 
 
 def road_clusters(clean: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """Roads grouped by their daily profile. Cluster numbers carry no meaning."""
-    profiles = road_profiles(clean).na.drop()
-    rows = VectorAssembler(inputCols=[f"h{h}" for h in range(24)], outputCol="profile").transform(profiles)
-    fitted = KMeans(k=k, seed=seed, featuresCol="profile", predictionCol="cluster").fit(rows)
-    return fitted.transform(rows).drop("profile")
+    """Roads grouped by their daily profile: each with its `cluster`, the mean speed of the
+    cluster's centre and its distance from it. Clusters are numbered from 1 by that mean speed,
+    slowest first, so a number says something and does not hang on the fit's own order. No
+    roads give no rows."""
+    hours = [f"h{h}" for h in range(24)]
+    profiles = shared.stored(road_profiles(clean).na.drop(subset=hours), "profiles")
+    if profiles.isEmpty():
+        return profiles.select(*ROAD, F.lit(0).alias("cluster"), F.lit(0.0).alias("centre_speed"), F.lit(0.0).alias("distance"))
+    rows = VectorAssembler(inputCols=hours, outputCol="profile").transform(profiles)
+    fitted = KMeans(k=k, seed=seed, featuresCol="profile", predictionCol="fit").fit(rows)
+    centres = [[float(x) for x in c] for c in fitted.clusterCenters()]
+    slowest = sorted(range(len(centres)), key=lambda i: (sum(centres[i]), centres[i]))
+    numbers = F.array(*[F.lit(slowest.index(i) + 1) for i in range(len(centres))])
+    centre = F.array(*[F.array(*map(F.lit, c)) for c in centres])[F.col("fit")]
+    gaps = F.zip_with(F.array(*hours), centre, lambda a, b: (a - b) * (a - b))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+    return fitted.transform(rows).select(
+        *ROAD, numbers[F.col("fit")].alias("cluster"), (total(centre) / 24).alias("centre_speed"),
+        F.sqrt(total(gaps)).alias("distance"))
 
 
 def live_congestion(readings: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:

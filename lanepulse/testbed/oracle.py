@@ -475,7 +475,7 @@ def _ingest() -> dict[str, str]:
         "locations_csv": _lanes("SELECT AID_ID_Number, Road_EN, District, NULL::DOUBLE AS Rotation FROM places"),
         "located_readings": located,
         "streamed_readings": located,
-        "ingested_folder": _lanes("SELECT count(*) AS good_rows, true AS has_files, 0::BIGINT AS quarantined FROM flat"),
+        "ingested_folder": _lanes("SELECT count(*) AS good_rows, true AS has_files, 2::BIGINT AS quarantined FROM flat"),
         "two_stream_ingest": f"{located} CROSS JOIN (VALUES (1), (2)) twice(n)",
         "located_observations": _with(f"SELECT {OBS_ROW} FROM obs"),
     }
@@ -617,6 +617,12 @@ HOURS = (
 )
 
 
+ROAD_HOURS = (
+    "road_hours AS (SELECT Road_EN, District, date_diff('day', DATE '1970-01-01', date) * 24 + hour AS at, avg(speed) AS s "
+    "FROM clean WHERE Road_EN IS NOT NULL AND District IS NOT NULL AND speed IS NOT NULL GROUP BY ALL)"
+)
+
+
 def _outlook() -> dict[str, str]:
     day = _day("date", "date")
     road = "Road_EN, District"
@@ -691,7 +697,45 @@ def _outlook() -> dict[str, str]:
             "OR date - 1 IN (SELECT date FROM off) THEN 'next to one' ELSE 'normal' END AS day_kind, "
             f"{_avg('speed')}, {VOLUME}, {N} AS record_count FROM clean GROUP BY ALL",
             "off AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE dayofyear(CAST(ts AS DATE)) % 10 = 0)"),
-        "road_clusters": _with(f"SELECT count(*) AS roads, true AS few FROM (SELECT DISTINCT {road} FROM clean)"),
+        "detector_congestion_index": _with(
+            "SELECT detector_id, round(i, 6) AS congestion_index, CASE WHEN i < 25 THEN 'Low' WHEN i < 50 THEN 'Moderate' "
+            "WHEN i < 75 THEN 'High' WHEN i IS NOT NULL THEN 'Severe' END AS band FROM ("
+            "SELECT *, (100 - percent_rank() OVER (ORDER BY s) * 100) * 0.4 + percent_rank() OVER (ORDER BY o) * 100 * 0.4 "
+            "+ sd / nullif(s, 0) * 100 * 0.2 AS i FROM (SELECT detector_id, avg(speed) AS s, avg(occupancy) AS o, "
+            "stddev_samp(speed) AS sd FROM clean GROUP BY ALL))"),
+        "delay_against_own_speed": _with(
+            f"SELECT {road}, round(h, 3) AS delay_hours, round(h * 100, 3) AS delay_cost, round(free, 6) AS free_speed FROM ("
+            f"SELECT {road}, free, sum(greatest((free - speed) / free, 0) * (30 / 3600::DOUBLE) * volume) AS h FROM ("
+            f"SELECT *, quantile_disc(speed, 0.85) OVER (PARTITION BY {road}) AS free FROM clean) GROUP BY ALL)"),
+        "road_speed_correlation": _with(
+            "SELECT Road_EN, District, partner_Road_EN, partner_District, CAST(place AS INT) AS place, "
+            "round(c, 6) AS correlation, n AS hours FROM (SELECT *, row_number() OVER (PARTITION BY Road_EN, District "
+            "ORDER BY c DESC, partner_Road_EN, partner_District) AS place FROM ("
+            "SELECT a.Road_EN, a.District, b.Road_EN AS partner_Road_EN, b.District AS partner_District, "
+            "corr(a.s, b.s) AS c, count(*) AS n FROM road_hours a JOIN road_hours b ON a.at = b.at "
+            "AND (a.Road_EN, a.District) <> (b.Road_EN, b.District) GROUP BY ALL HAVING count(*) >= 24)) WHERE place <= 10",
+            ROAD_HOURS),
+        "shifted_correlation": _with(
+            "SELECT Road_EN, District, follower_Road_EN, follower_District, CAST(place AS INT) AS place, "
+            "lag AS lag_hours, round(c, 6) AS correlation, n AS hours FROM (SELECT *, row_number() OVER (PARTITION BY "
+            "Road_EN, District ORDER BY c DESC, follower_Road_EN, follower_District) AS place FROM (SELECT * FROM ("
+            "SELECT a.Road_EN, a.District, b.Road_EN AS follower_Road_EN, b.District AS follower_District, lag, "
+            "corr(a.s, b.s) AS c, count(*) AS n FROM road_hours a CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS lag) "
+            "JOIN road_hours b ON a.at + lag = b.at AND (a.Road_EN, a.District) <> (b.Road_EN, b.District) "
+            "GROUP BY ALL HAVING count(*) >= 24) QUALIFY row_number() OVER (PARTITION BY Road_EN, District, "
+            "follower_Road_EN, follower_District ORDER BY c DESC, lag) = 1)) WHERE place <= 10",
+            ROAD_HOURS),
+        "forecast_rows": _with(
+            f"SELECT detector_id, {day}, hour, clock AS \"at\", round(s, 6) AS avg_speed, "
+            "round(coalesce(avg(s) OVER (PARTITION BY detector_id ORDER BY clock RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), s), 6) AS speed_1h, "
+            "round(coalesce(avg(s) OVER (PARTITION BY detector_id ORDER BY clock RANGE BETWEEN 24 PRECEDING AND 24 PRECEDING), s), 6) AS speed_24h, "
+            "round(coalesce(avg(s) OVER (PARTITION BY detector_id ORDER BY clock RANGE BETWEEN 168 PRECEDING AND 1 PRECEDING), s), 6) AS speed_7d, "
+            "round(coalesce(avg(f) OVER (PARTITION BY detector_id, clock % 168 ORDER BY clock RANGE BETWEEN UNBOUNDED PRECEDING "
+            "AND 1 PRECEDING), s), 6) AS speed_alike, round(coalesce(o, 0), 6) AS avg_occupancy, "
+            "round(sin(hour * pi() / 12), 6) AS hour_sin, round(cos(hour * pi() / 12), 6) AS hour_cos, "
+            "CAST(dayofweek(date) IN (0, 6) AS INT) AS is_weekend, f < 40 AS next_congested FROM ("
+            "SELECT *, avg(s) OVER (PARTITION BY detector_id ORDER BY clock RANGE BETWEEN 1 FOLLOWING AND "
+            "1 FOLLOWING) AS f FROM hours WHERE s IS NOT NULL)", HOURS),
         "streamed_windows": _with(
             "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, detector_id, "
             f"{N} AS record_count, {_avg('speed')}, {SEVERE} AS severe_count FROM ("

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from lanepulse.functions import columns as C
 from lanepulse.functions import fixed_values as V
 from lanepulse.operators import (
-    descriptive, flow, ingest, outlook, quality, rush, sampling, spatial, temporal, timings,
+    descriptive, flow, forecast, ingest, network, outlook, quality, rush, sampling, spatial, temporal, timings,
 )
 from lanepulse.plans.ingest_folder import ingest_folder
 from lanepulse.plans.rollup import flow_rollup, hourly_rollup, located_rollup
@@ -194,6 +194,10 @@ def ingested_folder(spark, sf_dir):
     """Rows and files of one folder's ingest, good and quarantined."""
     table, quarantine = shared.new_path(spark, "table"), shared.new_path(spark, "quarantine")
     folder = _xml_files(spark, sf_dir)
+    # Two files that are no readable documents: cut short within a tag, and not XML.
+    cut_short = f"<{xml.ROW_TAG}><date>2024-01-01</date><periods><period></{xml.ROW_TAG}>"
+    for broken in (cut_short, f"<{xml.ROW_TAG}>< & ></{xml.ROW_TAG}>"):
+        spark.createDataFrame([(broken,)], "value string").write.mode("append").option("extension", "xml").csv(folder)
     places = ingest.canonical_locations(documents.detector_locations(spark, sf_dir))
     for _ in range(2):  # a rerun of the unit leaves its rows once
         ingest_folder(spark, folder, places, table, quarantine, "folder-1")
@@ -508,8 +512,14 @@ def _outlook() -> dict[str, Query]:
         "coverage_gaps": _on(tables.observations, outlook.coverage_gaps),
         "holiday_effect": lambda spark, sf_dir: plain(
             outlook.holiday_effect(tables.clean(spark, sf_dir), _holidays(spark, sf_dir))),
-        "road_clusters": lambda spark, sf_dir: outlook.road_clusters(tables.clean(spark, sf_dir)).agg(
-            F.count(F.lit(1)).alias("roads"), (F.countDistinct("cluster") <= 5).alias("few")),
+        "detector_congestion_index": _on(tables.clean, outlook.congestion_index_banded, keys=("detector_id",)),
+        "delay_against_own_speed": _on(tables.clean, lambda obs: outlook.delay_against_own_speed(obs).withColumns(
+            {c: F.round(c, 3) for c in ("delay_hours", "delay_cost")})),
+        "road_clusters": _on(tables.clean, outlook.road_clusters),
+        "road_speed_correlation": _on(tables.clean, network.road_speed_correlation),
+        "shifted_correlation": _on(tables.clean, network.shifted_correlation),
+        "forecast_rows": _on(tables.clean, forecast.forecast_rows),
+        "next_hour_forecast": _on(tables.clean, forecast.next_hour_forecast),
         "streamed_congestion": streamed_congestion,
         "streamed_windows": streamed_windows,
     }

@@ -11,6 +11,8 @@ QUERIES, ORACLES = queries.queries(), oracle.oracle_sql()
 NO_SQL = {f"{name}_from_sketches" for name in (
     "overall_speed", "overall_volume", "overall_occupancy", "overall_wide", "road_capacity_estimates",
     "lane_capacity_estimates")}
+# Fitted models: tested in test_outlook and test_network.
+NO_SQL |= {"road_clusters", "next_hour_forecast"}
 
 
 @pytest.fixture(scope="module")
