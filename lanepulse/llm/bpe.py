@@ -110,58 +110,69 @@ class Codec:
         self.decimal = list(map(str, range(len(parts))))
         self.words, self.pieces_known = Recent(MAX_WORDS), Recent(MAX_PIECES)
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """What stands at one edge of a token (0 left, 1 right) while merges build it, in time
+        order: each part with the merge that swallows it, for the token itself none."""
+        parts = [(token, len(self.halves))]
+        while (part := self.halves[parts[-1][0]][side]) != parts[-1][0]:
+            parts.append((part, parts[-1][0]))
+        return parts[::-1]
+
     def compatible(self, left: int, right: int) -> bool:
-        """Whether merging would leave the border between two tokens alone: no pair of their
-        parts across the border is ever merged before the parts themselves are complete."""
+        """Whether merging the bytes of both gives just these two tokens. Merges happen in the
+        order of token numbers, so time is replayed: at any moment one part of each token
+        touches the border, and the border falls if the merge of these two comes before either
+        is swallowed. Of equal merges the leftmost comes first: one inside `left` wins over one
+        across the border, which wins over one inside `right`."""
+        before, after = iter(self._edge(left, 1)), iter(self._edge(right, 0))
+        (x, x_goes), (y, y_goes) = next(before), next(after)
+        end = len(self.halves)
+        while True:
+            across = self.made.get((x, y), end)
+            if across < x_goes and across <= y_goes:
+                return False
+            if x_goes == y_goes == end:
+                return True
+            if x_goes <= y_goes:
+                x, x_goes = next(before)
+            else:
+                y, y_goes = next(after)
+
+    def _joins(self, left: int, right: int) -> bool:
         pair = left << 32 | right
         answer = self.fits.get(pair)
-        if answer is not None:
-            return answer
-        made, halves, limit = self.made, self.halves, len(self.halves)
-        while answer is None:
-            if made.get((left, right), limit) < limit:
-                answer = False
-            elif left > right:
-                limit, left = left, halves[left][1]
-                if left == limit:
-                    limit, right = right + 1, halves[right][0]
-                    answer = True if right + 1 == limit else None
-            else:
-                limit, right = right + 1, halves[right][0]
-                if right + 1 == limit:
-                    limit, left = left, halves[left][1]
-                    answer = True if left == limit else None
-        if len(self.fits) >= MAX_PAIRS:
-            self.fits.clear()
-        self.fits[pair] = answer
+        if answer is None:
+            answer = self.compatible(left, right)
+            if len(self.fits) >= MAX_PAIRS:
+                self.fits.clear()
+            self.fits[pair] = answer
         return answer
 
     def encode_piece(self, piece: bytes) -> list[int]:
+        """A depth-first search for the one chain of tokens whose neighbours all join. From each
+        position tokens are tried longest first; a position from which none leads on is a dead
+        end for good."""
         n = len(piece)
-        longest, last = [-1] * n, n - 1
+        longest = [-1] * n + [-1]
         for end, token in self.longest.iter(piece.decode("latin-1")[::-1]):
-            if longest[last - end] < 0:  # the longest comes first
-                longest[last - end] = token
-        tokens, at, dead, size, shorter, fits = [], 0, set(), self.size, self.shorter, self.fits
-        token, last = longest[0], -1
+            start = n - 1 - end
+            if longest[start] < 0:  # the longest comes first
+                longest[start] = token
+        dead, chain, at, size, shorter, joins = bytearray(n + 1), [], 0, self.size, self.shorter, self._joins
+        choice = longest[0]
         while at < n:
-            stop = at + size[token]
-            fit = stop not in dead and (last < 0 or fits.get(last << 32 | token))
-            if fit is None:
-                fit = self.compatible(last, token)
-            if fit:
-                tokens.append(token)
-                at, last = stop, token
-                if at < n:
-                    token = longest[at]
-            elif shorter[token] >= 0:
-                token = shorter[token]
+            while choice >= 0 and (dead[at + size[choice]] or (chain and not joins(chain[-1], choice))):
+                choice = shorter[choice]
+            if choice >= 0:
+                chain.append(choice)
+                at += size[choice]
+                choice = longest[at]
             else:
-                dead.add(at)
-                token = tokens.pop()
-                at -= size[token]
-                last = tokens[-1] if tokens else -1
-        return [self.ids[t] for t in tokens]
+                dead[at] = 1
+                undone = chain.pop()
+                at -= size[undone]
+                choice = shorter[undone]
+        return [self.ids[t] for t in chain]
 
     def _piece(self, piece: str) -> bytes:
         packed = self.pieces_known.get(piece)

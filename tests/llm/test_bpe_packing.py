@@ -30,6 +30,42 @@ def test_ids_and_text_equal_the_library(library):
     assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def merged(own, piece):
+    """Plain merging: the earliest merge, leftmost first, until none applies."""
+    tokens = [own.shorter_of[bytes([b])] for b in piece]
+    while True:
+        ready = [(own.made[pair], i) for i, pair in enumerate(zip(tokens, tokens[1:])) if pair in own.made]
+        if not ready:
+            return tokens
+        token, i = min(ready)
+        tokens[i : i + 2] = [token]
+
+
+def test_pair_rule_equals_merging():
+    own, rng = bpe.codec(PATH), random.Random(4)
+    own.shorter_of = {bytes([b]): own.longest.get(chr(b)) for b in range(256)}
+    data = {}
+
+    def text(token):
+        if token not in data:
+            a, b = own.halves[token]
+            data[token] = text(a) + text(b) if (a, b) != (token, token) else next(
+                k for k, v in own.shorter_of.items() if v == token)
+        return data[token]
+
+    seen = set()
+    for _ in range(6000):
+        left, right = rng.randrange(3000), rng.randrange(3000)
+        if rng.random() < 0.5:  # tokens that meet in some token are the hard cases
+            left, right = rng.choice(own.halves[256:6000])
+            right = rng.choice([right, *own.halves[right]])
+            left = rng.choice([left, *own.halves[left]])
+        both = merged(own, text(left) + text(right)) == [left, right]
+        assert own.compatible(left, right) == both
+        seen.add(both)
+    assert seen == {True, False}
+
+
 def test_one_very_long_word(library):
     rng = random.Random(3)
     text = "".join(rng.choice("aeinthsrou") for _ in range(30_000))
