@@ -26,7 +26,9 @@ recall of 0.97 and more on such data. Lower `probes` where data cluster.
 
 Defined results: vectors that are null, zero, of another dimension than most, or that hold
 null or non-finite components take no part, as queries neither. Rows that share a query's id
-count as its own. Repeated rows count once. Empty tables give empty results.
+count as its own. Repeated rows count once; different vectors of one id count as one, with
+the score of the best of them, and queries of one id likewise. Ties go to the smaller id.
+Empty tables give empty results.
 """
 
 from collections.abc import Iterator
@@ -114,20 +116,26 @@ def enough(needs: list[list[float]], probes: float, tables: int) -> float:
 
 
 def _best_rows(queries, ids, own, vectors, cells, probed, k):
-    """Exact best `k` of one block for a batch of queries: (query's place, vector's place, score) rows."""
+    """Exact best `k` ids of one block for a batch of queries: (query's place, vector's place, score) rows."""
     scores = queries @ vectors.T
     scores[~probed[:, cells]] = -np.inf
     scores[ids[:, None] == own[None, :]] = -np.inf
-    if scores.shape[1] > k:
-        least = np.partition(scores, -k, axis=1)[:, -k][:, None]
-        slack = 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(least), least, 0)))
-        chosen = np.isfinite(scores) & (scores >= least - slack)
-    else:
-        chosen = np.isfinite(scores)
+    names, name = np.unique(own, return_inverse=True)
+    slack = 1e-9 * np.maximum(1.0, np.where(np.isfinite(scores), np.abs(scores), 0).max(axis=1, initial=0))[:, None]
+    chosen, best = np.isfinite(scores), scores
+    if len(names) < len(own):  # several vectors of one id: the best of them speaks for it
+        order = np.argsort(name, kind="stable")
+        best = np.maximum.reduceat(scores[:, order], np.searchsorted(name[order], np.arange(len(names))), axis=1)
+        chosen &= scores >= best[:, name] - slack
+    if len(names) > k:
+        chosen &= scores >= np.partition(best, -k, axis=1)[:, -k][:, None] - slack
     q, r = np.nonzero(chosen)
     exact = (queries[q] * vectors[r]).sum(axis=1)  # one order of addition, wherever a pair is met
     order = np.lexsort((own[r], -exact, q))
     q, r, exact = q[order], r[order], exact[order]
+    if len(names) < len(own):
+        first = np.sort(np.unique(np.stack([q, own[r]]), axis=1, return_index=True)[1])
+        q, r, exact = q[first], r[first], exact[first]
     keep = np.arange(len(q)) - np.searchsorted(q, q) < k
     return q[keep], r[keep], exact[keep]
 
@@ -221,7 +229,8 @@ def search(
         asks = asked.select("id", "v", F.explode(asked_blocks("v")).alias("p"))
         asks = asks.select("p.t", "p.b", F.lit(1).alias("kind"), "id", "v", F.lit(-1).alias("cell"))
         together = rows.where(F.col("t") < over).unionByName(asks).repartition("b").sortWithinPartitions("b", "kind")
-        candidates = together.mapInPandas(score, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+        candidates = together.mapInPandas(score, "query_id long, vec_id long, score double").groupBy(
+            "query_id", "vec_id").agg(F.max("score").alias("score"))
         return candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
             "query_id", "rank", "vec_id", "score")
 

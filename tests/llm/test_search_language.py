@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from lanepulse.llm import languages, neighbours, substrings
 
 
@@ -45,6 +46,26 @@ def test_vectors_that_take_no_part_ties_and_norms(spark):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("probes", [1.0, 0.5])
+def test_several_vectors_of_one_id(spark, probes):
+    rng = np.random.default_rng(8)
+    rows = [(i // 5 if i < 400 else 7 if i < 600 else i, rng.normal(size=8).tolist()) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    best = defaultdict(dict)
+    for q, a in rows:
+        for i, b in rows if q % 20 == 0 else ():
+            if i != q:
+                best[q][i] = max(best[q].get(i, -1e9), float(np.dot(a, b)))
+    found = neighbours.search(df, df.where("vec_id % 20 = 0"), block=64, probes=probes).collect()
+    got = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    want = {q: [(i, round(s, 9)) for i, s in sorted(m.items(), key=lambda m: (-m[1], m[0]))[:20]] for q, m in best.items()}
+    assert all(len(got[q]) == 20 and len({i for i, _ in got[q]}) == 20 for q in want)
+    right = sum(len(set(got[q]) & set(want[q])) for q in want)
+    assert right == 20 * len(want) if probes == 1 else right >= 18 * len(want)
+
+
 def test_languages(spark, sf_dir):
     docs = spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "text", "lang").collect()
     out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
