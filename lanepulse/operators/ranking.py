@@ -13,20 +13,18 @@ BLOCKS = 256
 
 
 def value_ranks(rows: DataFrame, value: str) -> DataFrame:
-    """One row per value: `value`, `below` (rows with a smaller one) and `total` (rows with
-    one). NULL is no value. Reads `rows` twice; store it first if it is dear."""
+    """One row per value of a numeric column: `value`, `below` (rows with a smaller one) and
+    `total` (rows with one). NULL is no value. Reads `rows` three times, twice at once for the
+    cuts and the sizes of blocks; store it first if it is dear."""
     known = rows.where(F.col(value).isNotNull()).select(value)
-    shares = [i / BLOCKS for i in range(1, BLOCKS)]
-    cuts = known.agg(F.percentile_approx(value, shares, 10_000)).scalar()
-    counts = known.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_cuts", cuts).select(
-        value, "_n", F.size(F.filter("_cuts", lambda cut: cut <= F.col(value))).alias("_block"))
-    sizes = counts.groupBy("_block").agg(F.sum("_n").alias("n")).agg(
-        F.collect_list(F.struct(F.col("_block").alias("block"), "n"))).scalar()
-    rows_in = lambda blocks: F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + b["n"])
-    before = rows_in(F.filter("_sizes", lambda b: b["block"] < F.col("_block")))
+    cuts = known.approxQuantile(value, [i / BLOCKS for i in range(1, BLOCKS)], 1 / (8 * BLOCKS))
+    block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= F.col(value))) if cuts else F.lit(0)
+    sizes = {r["_block"]: r["count"] for r in known.groupBy(block.alias("_block")).count().collect()}
+    before = [sum(n for b, n in sizes.items() if b < i) for i in range(BLOCKS)]
+    counts = known.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", block)
     inside = F.sum("_n").over(Window.partitionBy("_block").orderBy(value)) - F.col("_n")
-    return counts.withColumn("_inside", inside).withColumn("_sizes", sizes).select(
-        value, (before + F.col("_inside")).alias("below"), rows_in(F.col("_sizes")).alias("total"))
+    offset = F.array(*[F.lit(n).cast("long") for n in before])[F.col("_block")]
+    return counts.select(value, (offset + inside).alias("below"), F.lit(sum(sizes.values())).cast("long").alias("total"))
 
 
 def with_percent_rank(rows: DataFrame, value: str, name: str) -> DataFrame:
