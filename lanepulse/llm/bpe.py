@@ -139,40 +139,37 @@ class Codec:
                 y, y_goes = next(after)
 
     def _joins(self, left: int, right: int) -> bool:
-        pair = left << 32 | right
-        answer = self.fits.get(pair)
-        if answer is None:
-            answer = self.compatible(left, right)
-            if len(self.fits) >= MAX_PAIRS:
-                self.fits.clear()
-            self.fits[pair] = answer
+        """The pair rule for a pair that `fits` does not hold yet."""
+        if len(self.fits) >= MAX_PAIRS:
+            self.fits.clear()
+        answer = self.fits[left << 32 | right] = self.compatible(left, right)
         return answer
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """A depth-first search for the one chain of tokens whose neighbours all join. From each
         position tokens are tried longest first; a position from which none leads on is a dead
         end for good."""
-        n = len(piece)
-        longest = [-1] * n + [-1]
-        for end, token in self.longest.iter(piece.decode("latin-1")[::-1]):
-            start = n - 1 - end
-            if longest[start] < 0:  # the longest comes first
-                longest[start] = token
-        dead, chain, at, size, shorter, joins = bytearray(n + 1), [], 0, self.size, self.shorter, self._joins
-        choice = longest[0]
+        n, size, shorter, known, joins = len(piece), self.size, self.shorter, self.fits.get, self._joins
+        # Of the matches that start at a position the longest is found first, so it is kept last.
+        matches = dict([*self.longest.iter(piece.decode("latin-1")[::-1])][::-1])
+        longest = [*map(matches.__getitem__, range(n - 1, -1, -1)), -1]
+        dead, chain, at, last, choice = bytearray(n + 1), [], 0, -1, longest[0]
         while at < n:
-            while choice >= 0 and (dead[at + size[choice]] or (chain and not joins(chain[-1], choice))):
+            while choice >= 0:
+                if not dead[at + size[choice]]:
+                    if last < 0 or (fit := known(last << 32 | choice)) or (fit is None and joins(last, choice)):
+                        break
                 choice = shorter[choice]
             if choice >= 0:
                 chain.append(choice)
                 at += size[choice]
-                choice = longest[at]
+                last, choice = choice, longest[at]
             else:
                 dead[at] = 1
                 undone = chain.pop()
                 at -= size[undone]
-                choice = shorter[undone]
-        return [self.ids[t] for t in chain]
+                last, choice = chain[-1] if chain else -1, shorter[undone]
+        return [*map(self.ids.__getitem__, chain)]
 
     def _piece(self, piece: str) -> bytes:
         packed = self.pieces_known.get(piece)
@@ -186,7 +183,7 @@ class Codec:
         """Ids of a space and what follows it up to the next one."""
         packed = self.words.get(word)
         if packed is None:
-            packed = b"".join([self._piece(p) for p in self.pieces(" " + word)])
+            packed = b"".join(map(self._piece, self.pieces(" " + word)))
             if len(word) <= LONGEST_ENTRY:
                 self.words.put(word, packed)
         return packed
@@ -198,7 +195,7 @@ class Codec:
         if UNSAFE.search(section) is None:
             packed = list(map(self.words.young.get, rest))
             if None in packed:
-                packed = [p or self._word(w) for p, w in zip(packed, rest, strict=True)]
+                packed = [p or self._word(w) for p, w in zip(packed, rest)]  # noqa: B905
             return b"".join([*map(self._piece, self.pieces(first)), *packed])
         return b"".join(map(self._piece, self.pieces(section)))
 
