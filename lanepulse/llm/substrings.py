@@ -17,8 +17,10 @@ Digests are counted with map-side combining, then flag chunks and windows by joi
 keys are split; only flagged ones are grouped by document. No two documents are paired.
 
 Words are what white space (ASCII) parts. Defined results: null, empty and short texts have no
-spans. Repeats inside one document do not count. Rows with the same doc_id are one document; a
-document without an id is known by its text. Empty tables give empty results.
+spans. Repeats inside one document do not count. Rows with the same doc_id are one document. A
+document without an id is known by its text, so its copies without an id are one document; it
+comes after all that have one, and its id stays null in results. Ids lie below 2 ** 62. Empty
+tables give empty results.
 """
 
 from collections.abc import Iterator
@@ -26,11 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS, GRAM, REACH = 51, 4, 12
 BASE = 0x9E3779B97F4A7C15
+#: Documents without an id are numbered from here on, by the hash of their text.
+NO_ID = 1 << 62
 WINDOW_FIELDS = "who long, row long, no int, start int, stop int, low int, high int, digest long"
 
 
@@ -108,11 +112,19 @@ def windows(text: str, shared: np.ndarray, words: int = WORDS) -> tuple[np.ndarr
             digests(raw, start, stop))
 
 
+def _who(doc_id: str, row: Column) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), row.bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
+
+
+def _shown(who: str) -> Column:
+    return F.when(F.col(who) < F.lit(NO_ID), F.col(who))
+
+
 def _known(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """Documents as who; row tells rows of one document apart."""
     row = F.xxhash64(text)
     return docs.where(F.col(text).isNotNull()).select(
-        F.coalesce(F.col(doc_id).cast("long"), row).alias("who"), row.alias("row"), F.col(text).alias("text"))
+        _who(doc_id, row).alias("who"), row.alias("row"), F.col(text).alias("text"))
 
 
 def chunk_table(known: DataFrame) -> DataFrame:
@@ -178,7 +190,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """(doc_id, start, stop, n_words, n_chunks, first_doc_id, is_first) for every span of
     windows that other documents share; is_first: no window of it occurs in an earlier one."""
     return _spans(docs, text, doc_id, min_words).select(
-        F.col("who").alias("doc_id"), "start", "stop", "n_words", "n_chunks", "first_doc_id", "is_first")
+        _shown("who").alias("doc_id"), "start", "stop", "n_words", "n_chunks",
+        _shown("first_doc_id").alias("first_doc_id"), "is_first")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = WORDS) -> DataFrame:
@@ -186,7 +199,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spans = _spans(docs, text, doc_id, min_words).where("NOT is_first").groupBy("who", "row").agg(
         F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cut"))
     row = F.xxhash64(text)
-    own = docs.select(F.struct("*").alias("_doc"), F.coalesce(F.col(doc_id).cast("long"), row).alias("who"), row.alias("row"))
+    own = docs.select(F.struct("*").alias("_doc"), _who(doc_id, row).alias("who"), row.alias("row"))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, cut: pd.Series) -> pd.Series:

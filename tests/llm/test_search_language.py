@@ -176,3 +176,14 @@ def test_texts_without_letters_are_und():
         assert languages.features(text) is None
     for text in ("a", "é", "ß 1", "字", "ª"):
         assert languages.features(text) is not None
+
+
+def test_copies_without_an_id(spark):
+    rng = random.Random(12)
+    shared, other = prose(rng, 80), prose(rng, 70)
+    rows = [(None, shared), (None, shared), (None, shared), (7, shared), (None, other), (None, other), (3, prose(rng, 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.first_doc_id, r.is_first) for r in substrings.repeated_spans(docs).collect()}
+    assert got == {(None, 7, False), (7, 7, True)}
+    left = sorted((r.doc_id or 0, len(r.text)) for r in substrings.remove_repeats(docs).collect())
+    assert left == sorted([(0, 0)] * 3 + [(7, len(shared)), (0, len(other)), (0, len(other)), (3, len(rows[-1][1]))])
