@@ -74,9 +74,9 @@ def judge_urls(
     column `url`, in any form. A rule decides where one fits, else pages on the list are
     blocked."""
     added = ("host", "path", "canonical", "rule", "verdict")
-    keys = held(listed.select(canonical_url(F.col(url)).alias("listed_url")).where("listed_url IS NOT NULL").distinct())
+    keys = held(listed.select(canonical_url(F.col(f"`{url}`")).alias("listed_url")).where("listed_url IS NOT NULL").distinct())
 
-    source = F.col(f"_page.{url}")
+    source = F.col(f"_page.`{url}`")
     page = pages.select(F.struct("*").alias("_page"))
     page = page.select("_page", url_host(source).alias("_host"), url_path(source).alias("_path"),
                        canonical_url(source).alias("_key"))

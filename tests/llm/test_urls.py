@@ -67,4 +67,13 @@ def test_filter_never_misses_and_mostly_prunes(spark):
 
 def test_every_operator_is_registered():
     names = sorted(int(m[1]) for q in queries.queries() if (m := re.match(r"op(\d+)_", q)))
-    assert names == list(range(1, 11)) and "pipeline" in queries.queries()
+    assert names == list(range(1, 14)) and "pipeline" in queries.queries()
+
+
+def test_column_names_with_dots_and_very_long_urls(spark):
+    long_url = "http://a.net/" + "x" * 200_000
+    rows = [(1, "http://a.org/x"), (2, long_url), (3, None)]
+    pages = spark.createDataFrame(rows, "page_id long, `page.url` string")
+    listed = spark.createDataFrame([(long_url.replace("a.net", "b.org"),), ("http://a.org/x",)], "`page.url` string")
+    got = {r.page_id: (r.host, len(r.path), r.rule, r.verdict) for r in urls.judge_urls(pages, listed, url="page.url").collect()}
+    assert got == {1: ("a.org", 2, None, "block"), 2: ("a.net", 200_001, "net/", "block"), 3: ("", 0, None, "allow")}
