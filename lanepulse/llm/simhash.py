@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanepulse.llm.bloom import with_hits
 from lanepulse.llm.links import components
 from lanepulse.llm.stored import held
 
@@ -236,8 +237,9 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, text: str, doc_id: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """Rows as (doc_id, fp), and per fingerprint its group's root and least doc_id."""
-    own = held(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(docs, text, width).alias("fp")))
+    """Rows as (doc_id, hash of the text, fp), and per fingerprint its group's root and least doc_id."""
+    own = held(docs.select(
+        F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("hash"), fingerprints(docs, text, width).alias("fp")))
     prints = held(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     nodes = components(fingerprint_links(prints)).withColumnsRenamed({"node": "fp"})
     grouped = nodes.join(prints, "fp")
@@ -258,10 +260,19 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     """Documents with one row left of each group: the least doc_id, then the least fingerprint
     and text hash; rows without an id come last."""
     own, known = _grouped(docs, text, doc_id, width)
-    stays = own.join(known, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("s"))
-    stays = stays.select(F.col("s.doc_id").alias("_id"), F.col("s.fp").alias("_fp"))
-    rows = docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("_own"), fingerprints(docs, text, width).alias("_print"))
-    kept = rows.join(stays, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_fp")), "left_semi")
-    first = Window.partitionBy("_own", "_print").orderBy(F.xxhash64(f"_doc.`{text}`"))
-    kept = kept.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    # The least row of a fingerprint, then of a group: no row meets another but in an aggregate.
+    least = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "hash")).alias("r"))
+    heads = least.join(known, "fp").groupBy("root").agg(F.min(F.struct("r.late", "r.doc_id", "fp", "r.hash")).alias("s"))
+    heads = held(heads.select(F.col("s.doc_id").alias("_id"), F.col("s.hash").alias("_head")))
+    # A row that surely is the only one of its id and text and heads its group stays where it is.
+    rows = own.groupBy("doc_id", "hash").count()
+    heading = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_head"))
+    asked = held(rows.where("count > 1").select("doc_id", "hash").unionByName(
+        rows.where("count = 1").join(heads, heading, "left_anti").select("doc_id", "hash")))
+    texts = docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("_own"), F.xxhash64(text).alias("_hash"))
+    probed = with_hits(texts, ["_own", "_hash"], asked, ["doc_id", "hash"])
+    kept = probed.where("_hit").join(
+        heads, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_head")), "left_semi")
+    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_own", "_hash").orderBy("_hash"))).where("_n = 1")
+    kept = probed.where("NOT _hit").select("_doc").unionByName(kept.select("_doc"))
     return kept.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

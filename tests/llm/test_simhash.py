@@ -121,3 +121,22 @@ def test_against_brute_force(spark, sf_dir):
     want = plain_components(plain)
     got = {r.doc_id: (r.fp, r.component_id) for r in simhash.simhash_components(docs).collect()}
     assert got == {i: (as_long(p), want[i]) for i, p in plain}
+
+
+def test_one_row_of_each_group_stays(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    component = plain_components([(r.doc_id, plain_print(r.text)) for r in docs.collect()])
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    assert kept == sorted(i for i, head in component.items() if i == head) and len(kept) < len(component)
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    text = "one two three four five six"
+    rows = [(4, text, "a"), (4, text, "b"), (4, text.upper(), "c"), (2, "other words stand in this row", "d"), (None, text, "e"),
+            (None, "none has an id in here", "f"), (None, "none has an id in here", "g"), (8, None, "h"), (6, "", "i"), (6, None, "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    groups = sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept.collect())
+    assert groups == [(0, "none has an id in here"), (2, "other words stand in this row"), (4, text), (6, "")]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
