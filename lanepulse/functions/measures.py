@@ -12,8 +12,8 @@ from lanepulse.functions import columns as C
 
 MEASURES = ("speed", "volume", "occupancy")
 ROWS = "n_rows"
-# Endings of the sketch columns of a roll-up, after the column they sketch.
-QUANTILES, DISTINCT = "_kll", "_hll"
+# Endings of a roll-up's columns of sketches, and of values to count, after the column's name.
+QUANTILES, DISTINCT = "_kll", "_seen"
 
 # Keys of a flow roll-up: bin numbers of the finest bins in use, and both regimes.
 CELLS = ("volume_cell", "occupancy_cell", "traffic_regime", "flow_regime")
@@ -86,8 +86,8 @@ class RolledUp:
         return F.sum(f"{flag}_n")
 
     def distinct(self, name: str) -> Column:
-        """Estimated from the merged sketches."""
-        return F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(name + DISTINCT)), F.lit(0))
+        """Exact, from the values that the roll-up lists."""
+        return F.count_distinct(name + DISTINCT)
 
 
 def additive_parts(name: str) -> list[Column]:

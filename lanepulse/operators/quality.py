@@ -48,8 +48,8 @@ def _distinct_counts(obs: DataFrame, named: dict[str, str], nulls: bool, extra=(
     The columns belong together (a detector has one road and one district), so their
     combinations are few; counting on those avoids expanding every input row once per
     column. A bare distinct() would be optimised away again, hence the count and its
-    filter. ``nulls`` counts a missing value as one more value. A roll-up with distinct-count
-    sketches is answered from those.
+    filter. ``nulls`` counts a missing value as one more value. A roll-up that lists the
+    values is answered from those.
     """
     if all(c + DISTINCT in obs.columns for c in named.values()):
         m = measures(obs)

@@ -58,6 +58,15 @@ def test_distinct_counts_within_a_hundredth(many):
         assert abs(roads[r.Road_EN] - r.Num_Detectors) <= max(1, 0.01 * r.Num_Detectors)
 
 
+@pytest.mark.parametrize("report", [quality.spatial_coverage, quality.clean_coverage, descriptive.road_stats])
+def test_distinct_counts_are_exact(many, report):
+    """9,000 detectors: more than a distinct-count sketch holds one by one."""
+    exact, merged = report(many), report(sketch_rollup(many))
+    counts = [c for c, t in exact.dtypes if t == "bigint"]
+    assert exact.dtypes == merged.dtypes
+    assert sorted(map(tuple, exact.select(counts).collect())) == sorted(map(tuple, merged.select(counts).collect()))
+
+
 @pytest.mark.parametrize("report", [
     descriptive.overall_speed, descriptive.overall_volume, descriptive.overall_occupancy, descriptive.overall_wide,
     descriptive.overall_speed_sd, flow.road_capacity_estimates, flow.lane_capacity_estimates])
