@@ -111,7 +111,8 @@ def congestion_index_banded(clean: DataFrame, keys=ROAD) -> DataFrame:
 def congestion_episodes(clean: DataFrame, longest_gap: int = 3600) -> DataFrame:
     """Runs of congested readings of one detector's lane, over midnight and over days. A run
     ends with a reading that is not congested or a gap of more than `longest_gap` seconds (a day
-    at most). `date` is the day it starts on, `episode` its number among that day's.
+    at most), both times taken to the nearest second. `date` is the day it starts on, `episode` its
+    number among that day's.
 
     Two steps, so that no window holds more than a day of a lane's readings: runs are found
     within days; then those that touch the first or last reading of their day, two a day at
@@ -122,9 +123,10 @@ def congestion_episodes(clean: DataFrame, longest_gap: int = 3600) -> DataFrame:
         raise ValueError("longest_gap is up to a day: only neighbouring days are merged")
     lane = ["detector_id", "lane_id"]
     day = Window.partitionBy(*lane, "date").orderBy("period_from", "period_to", "on")
-    at = F.col("period_from").cast("timestamp").cast("long")
+    # Days are those of the rounded times: two readings at most a day apart lie in neighbouring ones.
+    at = F.rint(F.unix_micros(F.col("period_from").cast("timestamp")) / 1_000_000).cast("long")
     marked = clean.where("period_from IS NOT NULL").select(
-        *lane, F.to_date("period_from").alias("date"), "period_from", "period_to", C.moderate().alias("on"), at.alias("at"))
+        *lane, F.to_date(F.timestamp_seconds(at)).alias("date"), "period_from", "period_to", C.moderate().alias("on"), at.alias("at"))
     placed = marked.select(
         "*", F.lag("on").over(day).alias("before"), F.lag("at").over(day).alias("at_before"),
         F.lead("at").over(day).isNull().alias("is_last"))
@@ -140,9 +142,8 @@ def congestion_episodes(clean: DataFrame, longest_gap: int = 3600) -> DataFrame:
                & (F.col("opens") - F.lag("closes").over(edges) <= longest_gap))
     edge = runs.where("from_edge OR to_edge").withColumn("new", ~F.coalesce(goes_on, F.lit(False)))
     merged = edge.withColumn("whole", F.sum(F.col("new").cast("int")).over(edges)).groupBy(*lane, "whole").agg(
-        F.min("date").alias("date"), F.min("start").alias("start"), F.max("stop").alias("stop"),
-        F.sum("readings").alias("readings"))
-    columns = [*lane, "date", "start", "stop", "readings"]
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("readings").alias("readings"))
+    columns = [*lane, F.to_date("start").alias("date"), "start", "stop", "readings"]
     every = runs.where("NOT (from_edge OR to_edge)").select(*columns).unionByName(merged.select(*columns))
     number = F.row_number().over(Window.partitionBy(*lane, "date").orderBy("start"))
     return every.select(*lane, "date", number.cast("long").alias("episode"), "start", "stop", "readings")

@@ -61,6 +61,25 @@ def test_episodes_over_days_against_plain_python(spark):
         outlook.congestion_episodes(readings(spark, rows), longest_gap=86401)
 
 
+def test_gaps_between_the_nearest_seconds(spark):
+    """As in SQL: 3,600.6 s apart is one episode or two by where the seconds fall."""
+    def pair(d, start, gap):
+        t = START + dt.timedelta(seconds=start)
+        return [(d, "a", t, True), (d, "a", t + dt.timedelta(seconds=gap), True)]
+
+    midnight = 24 * 3600
+    rows = [*pair(1, 100.8, 3600.6), *pair(2, 100.2, 3600.6), *pair(3, 100.9, 3600.5), *pair(4, 100.1, 3600.3),
+            *pair(5, 100.5, 3600), *pair(6, 101.5, 3601), *pair(7, midnight - 0.3, 3600.2), *pair(8, midnight - 3000.4, 3600.95)]
+    count = {}
+    for d, *_ in episodes(readings(spark, rows)):
+        count[d] = count.get(d, 0) + 1
+    assert count == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 2}
+    far = [*pair(1, midnight - 0.3, 24 * 3600 + 0.5), *pair(2, 0.3, 24 * 3600 - 0.1)]
+    found = outlook.congestion_episodes(readings(spark, far), longest_gap=24 * 3600).collect()
+    assert sorted((r.detector_id, str(r.date), r.episode, r.readings) for r in found) == [
+        (1, "2024-01-10", 1, 2), (2, "2024-01-10", 1, 2)]
+
+
 WINDOW, LATE = dt.timedelta(minutes=5), dt.timedelta(minutes=10)
 
 
