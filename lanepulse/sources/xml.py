@@ -28,31 +28,52 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
     return T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
 
 
-def _with_file(docs: DataFrame) -> DataFrame:
-    """Add the file's name. Spark does not let a query read the corrupt column alone, so
-    every read touches the first field too (the test always holds)."""
-    read = F.xxhash64(docs.columns[0]).bitwiseOR(F.lit(1)) != 0
-    return docs.filter(read).withColumn("source_file", F.col("_metadata.file_name"))
+PARSING = {k: v for k, v in OPTIONS.items() if k not in ("pathGlobFilter", "charset")}
+
+
+def _parsed(text, schema: T.StructType, **options):
+    """Generates one struct per text, so that what reads its fields does not parse again."""
+    return F.explode(F.array(F.from_xml(text, _with_corrupt(schema), PARSING | options)))
+
+
+def _elements(raw: DataFrame, tag: str, schema: T.StructType, **options) -> DataFrame:
+    """One row per element `tag` of a text read by the separator of that tag.
+
+    A record reaches from the end of one element to the end of the next, so a large file is read
+    by many tasks. Comments are left out; an empty tag, or an end tag with a space in it, ends an
+    element within its record. What does not parse has its text in the corrupt column, as has
+    the rest of a file that is cut short. A file cut right before its last end tag counts as
+    whole. An end tag inside a comment or CDATA section is taken for one.
+    """
+    text = F.regexp_replace("value", r"(?s)<!--.*?-->", "")
+    text = F.regexp_replace(text, rf"<{tag}(\s[^>]*)?/>", rf"<{tag}$1></{tag} >")
+    pieces = raw.select(
+        F.col("_metadata.file_name").alias("source_file"), F.explode(F.split(text, rf"</{tag}\s+>")).alias("piece"))
+    found = pieces.select("source_file", F.regexp_extract("piece", rf"(?s)<{tag}(\s[^>]*)?>.*", 0).alias("text")).where("text <> ''")
+    rows = found.select("source_file", "text", _parsed(F.concat("text", F.lit(f"</{tag}>")), schema, **options).alias("p"))
+    return rows.select(
+        *[f"p.{name}" for name in schema.names], F.when(F.col(f"p.{CORRUPT}").isNotNull(), F.col("text")).alias(CORRUPT),
+        "source_file")
+
+
+def _text(reader, tag: str):
+    return reader.format("text").option("lineSep", f"</{tag}>").option("pathGlobFilter", OPTIONS["pathGlobFilter"])
 
 
 def read_documents(spark: SparkSession, *paths: str) -> DataFrame:
-    """One row per reading file, nested, leaves as text, with the file's name."""
-    reader = spark.read.format("xml").options(rowTag=ROW_TAG, **OPTIONS)
-    return _with_file(reader.schema(_with_corrupt(schemas.READING_DOCUMENT)).load(list(paths)))
+    """One row per reading document, nested, leaves as text, with the file's name."""
+    return _elements(_text(spark.read, ROW_TAG).load(list(paths)), ROW_TAG, schemas.READING_DOCUMENT)
 
 
 def stream_documents(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
     """The same rows as a stream over the files that arrive in a folder."""
-    reader = spark.readStream.format("xml").options(
-        rowTag=ROW_TAG, maxFilesPerTrigger=files_per_batch, **OPTIONS
-    )
-    return _with_file(reader.schema(_with_corrupt(schemas.READING_DOCUMENT)).load(path))
+    files = _text(spark.readStream, ROW_TAG).option("maxFilesPerTrigger", files_per_batch).load(path)
+    return _elements(files, ROW_TAG, schemas.READING_DOCUMENT)
 
 
 def read_periods(spark: SparkSession, *paths: str) -> DataFrame:
     """One row per period. The date lies outside that element; the file name has it."""
-    reader = spark.read.format("xml").options(rowTag="period", nullValue="", **OPTIONS)
-    periods = _with_file(reader.schema(_with_corrupt(schemas.PERIOD)).load(list(paths)))
+    periods = _elements(_text(spark.read, "period").load(list(paths)), "period", schemas.PERIOD, nullValue="")
     date = F.regexp_replace(
         F.regexp_extract("source_file", V.FILE_DATE_PATTERN, 0), V.FILE_DATE_PATTERN, "$1-$2-$3"
     )

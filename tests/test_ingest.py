@@ -174,6 +174,35 @@ def test_split_files_give_the_rows_of_whole_ones(spark, folder, size):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("read", [xml.read_documents, xml.read_periods])
+def test_many_tasks_read_one_file(spark, folder, read):
+    """A file of one split a document gives the rows of one split."""
+    path = folder(a="<all>" + "".join(document(
+        [(f"{h:02}:{m:02}:00", f"{h:02}:{m:02}:30", [detector(f"AID{h}", [lane("é", m)])]) for m in range(6)],
+        date=f"2025-08-{10 + h}").split("?>")[1] for h in range(8)) + "</all>")
+    want, before = rows(read(spark, path)), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert len(want) == (8 if read is xml.read_documents else 48)
+    try:
+        for size in (64, 700):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+            split = read(spark, path)
+            assert split.rdd.getNumPartitions() > 3
+            assert rows(split) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_documents_in_unusual_forms(spark, folder):
+    tag = xml.ROW_TAG
+    two = GOOD.replace(f"</{tag}>", f"</{tag} >") + f"<{tag}/>" + GOOD.split("?>")[1].replace(f"<{tag}>", f"<{tag} a='1' >")
+    path = folder(a=two, b=GOOD.replace(f"<{tag}>", f"<!-- <{tag}> --><{tag}>"), c="", d="<other/>", e=GOOD[:-3])
+    docs, corrupt = xml.good_and_corrupt(xml.read_documents(spark, path))
+    assert ingest.fanout_counts(docs).first()[:] == (4, 6, 9, 15)
+    assert [r.source_file[9] for r in corrupt.collect()] == ["e"]
+
+
 def test_split_files_with_prefixes_attributes_and_damage(spark, folder):
     prefixed = document([("01:00:00", "01:00:30", [detector("AID1", [lane("Fast Lane", 40, p="t:")], p="t:")])], p="t:")
     attributed = GOOD.replace("<period>", "<period id='1'>")
