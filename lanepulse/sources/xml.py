@@ -106,25 +106,27 @@ def read_split_periods(spark: SparkSession, *paths: str) -> DataFrame:
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value",
         F.nullif(F.regexp_extract("value", DATE_TAG, 1), F.lit("")).alias("named"))
-    split = Window.partitionBy("path", "block")
-    dated = pieces.withColumn("own", F.last("named", ignorenulls=True).over(
-        split.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
     ends = pieces.groupBy("path", "block").agg(F.max_by("named", F.when(F.col("named").isNotNull(), F.col("place"))).alias("last"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("path", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
 
+    # Parsed where it is read: what meets in a split's window is rows, and parsed once.
     whole = F.col("value").rlike(PERIOD_END)
     body = F.regexp_replace(F.regexp_replace("value", PERIOD_END, ""), PERIOD_START, "")
-    options = {k: v for k, v in OPTIONS.items() if k not in ("pathGlobFilter", "charset")}
-    found = dated.where(whole | F.col("value").rlike(HOLDS_READINGS)).join(carried, ["path", "block"], "left").select(
-        F.coalesce("own", "carried").alias("date"), "source_file", "value", whole.alias("whole"),
-        F.when(whole, F.from_xml(
-            F.concat(F.lit("<period>"), body, F.lit("</period>")), _with_corrupt(schemas.PERIOD), options)).alias("p"))
+    kept = pieces.where(whole | F.col("named").isNotNull() | F.col("value").rlike(HOLDS_READINGS))
+    rows = kept.withColumn("whole", whole).select(
+        "*", _parsed(F.when(F.col("whole"), F.concat(F.lit("<period>"), body, F.lit("</period>"))), schemas.PERIOD).alias("p"))
     good = F.col("whole") & F.col(f"p.{CORRUPT}").isNull()
-    return found.select(
-        "date", F.when(good, F.struct("p.period_from", "p.period_to", "p.detectors")).alias("period"),
-        F.when(~good, F.col("value")).alias(CORRUPT), "source_file")
+    read = rows.select(
+        "path", "block", "place", "source_file", "named",
+        F.when(good, F.struct("p.period_from", "p.period_to", "p.detectors")).alias("period"),
+        F.when(~good & (F.col("whole") | F.col("value").rlike(HOLDS_READINGS)), F.col("value")).alias(CORRUPT))
+    split = Window.partitionBy("path", "block")
+    dated = read.withColumn("own", F.last("named", ignorenulls=True).over(
+        split.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = dated.where(F.col("period").isNotNull() | F.col(CORRUPT).isNotNull()).join(carried, ["path", "block"], "left")
+    return found.select(F.coalesce("own", "carried").alias("date"), "period", CORRUPT, "source_file")
 
 
 def good_and_corrupt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

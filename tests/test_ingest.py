@@ -203,6 +203,13 @@ def test_documents_in_unusual_forms(spark, folder):
     assert [r.source_file[9] for r in corrupt.collect()] == ["e"]
 
 
+def test_split_files_are_parsed_once_before_the_window(spark, folder):
+    """The window over a split holds parsed rows of it, and no step after it parses."""
+    plan = split_flat(spark, folder(a=GOOD))[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1
+    assert plan.index("Window") < plan.index("from_xml")  # the plan's first lines come last
+
+
 def test_split_files_with_prefixes_attributes_and_damage(spark, folder):
     prefixed = document([("01:00:00", "01:00:30", [detector("AID1", [lane("Fast Lane", 40, p="t:")], p="t:")])], p="t:")
     attributed = GOOD.replace("<period>", "<period id='1'>")
