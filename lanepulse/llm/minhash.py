@@ -50,6 +50,7 @@ CHUNKS, CHUNK = 8, 4
 MINIMA = CHUNKS * CHUNK
 SMALLEST = 6  # smaller sets can only be linked with equal ones
 BLOCK = 1 << 15
+PART = 1 << 20
 BUCKETS = 1 << 14
 _rng = np.random.default_rng(20_11)
 FACTORS = _rng.integers(1 << 62, 1 << 63, (2, MINIMA)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,6 +83,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least.astype(np.uint16)
 
 
+def _parts(texts: pd.Series) -> Iterator[pd.Series]:
+    """Runs of texts of about `PART` characters: a task never holds the sets of a whole batch."""
+    sizes = np.fromiter((len(t or "") for t in texts), np.int64, len(texts))
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PART)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+        yield texts.iloc[a:b]
+
+
 def _measured(texts: pd.Series, width: int) -> pd.DataFrame:
     out = []
     for text in texts:
@@ -99,7 +108,8 @@ def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     @F.pandas_udf(FIELDS)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield _measured(texts, width)
+            for part in _parts(texts):
+                yield _measured(part, width)
 
     found = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), of(F.col(f"`{text}`")).alias("_m"))
     return stored(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "_m.*"), "shingles")

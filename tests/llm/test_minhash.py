@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 from lanepulse.llm import minhash, queries
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -109,3 +110,12 @@ def test_documents(spark, sf_dir):
     got = [(r.doc_id, r.component_id) for r in queries.op11_minhash(spark, sf_dir).collect()]
     assert sorted(got) == sorted(want)
     assert any(d != c for d, c in want)
+
+
+def test_a_batch_is_measured_in_parts():
+    """Ten texts of 300,000 characters and odd ones: no part holds more than about `PART`."""
+    texts = pd.Series([None, "", *["word " * 60_000] * 10, "a" * 3_000_000, None, "x"], dtype=object)
+    parts = list(minhash._parts(texts))
+    assert pd.concat(parts).equals(texts) and len(parts) > 3
+    assert all(sum(len(t or "") for t in p) <= minhash.PART + 300_000 or max(len(t or "") for t in p) > minhash.PART for p in parts)
+    assert sum(map(len, minhash._parts(texts.iloc[:0]))) == 0
