@@ -118,19 +118,17 @@ def _spanning(fps: np.ndarray, start: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def _cut(slot: int, fps: np.ndarray) -> pd.DataFrame:
-    """The 56 finer keys of each fingerprint of a large group."""
+def _cut(slot: int, fps: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The 56 finer keys of each fingerprint of a large group, one key of all at a time."""
     start, free = divmod(slot, 3)
     turned = fps if not start else (fps >> np.uint64(8 * start)) | (fps << np.uint64(64 - 8 * start))
     open_steps = [2 + free, 5, 6, 7]
     groups = [(turned >> np.uint64(8 * s + 4 * half)) & np.uint64(0xF) for s in open_steps for half in (0, 1)]
-    frames = []
     for number, chosen in enumerate(combinations(range(8), 5)):
         key = np.zeros(len(fps), np.uint64)
         for c in chosen:
             key = (key << np.uint64(4)) | groups[c]
-        frames.append(pd.DataFrame({"a": fps.view(np.int64), "b": key.view(np.int64), "cut": np.int32(number)}))
-    return pd.concat(frames, ignore_index=True)
+        yield pd.DataFrame({"a": fps.view(np.int64), "b": key.view(np.int64), "cut": np.int32(number)})
 
 
 def _runs(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[tuple[pd.DataFrame, bool]]:
@@ -178,8 +176,8 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             here = (slots[a], keys[a])
             if unfinished or b - a > LIMIT or here == long_run:
                 for i in range(a, b, LIMIT):
-                    finer = _cut(int(slots[a]), fps[i : min(b, i + LIMIT)])
-                    yield finer.assign(slot=np.int32(slots[a]), key=keys[a])
+                    for finer in _cut(int(slots[a]), fps[i : min(b, i + LIMIT)]):
+                        yield finer.assign(slot=np.int32(slots[a]), key=keys[a])
                 long_run = here
             elif b - a == 2:
                 if _ring_filter(fps[a : a + 1] ^ fps[a + 1 : b], int(slots[a]) // 3)[0]:

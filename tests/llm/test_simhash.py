@@ -140,3 +140,10 @@ def test_repeated_rows_and_rows_without_id(spark):
     groups = sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept.collect())
     assert groups == [(0, "none has an id in here"), (2, "other words stand in this row"), (4, text), (6, "")]
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_finer_keys_come_one_at_a_time():
+    fps = np.arange(4096, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    frames = list(simhash._cut(5, fps))
+    assert len(frames) == 56 and all(len(f) == 4096 for f in frames)
+    assert [f["cut"].iloc[0] for f in frames] == list(range(56))
