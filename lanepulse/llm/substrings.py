@@ -1,21 +1,27 @@
-"""Substring dedup by content-defined chunking.
-
-A text is cut where the hash of GRAM words is the least of some REACH hashes in a row (of equal
-ones the last), so cuts depend on nearby words only: an insertion moves the cuts next to it and
-no others. Any REACH words in a row hold a cut, also where a text repeats itself, and chunks
-are six or seven words long on average. Chunks are compared by their 64-bit digest.
-
-Chunks only find the candidates. In a passage of WORDS = 51 words the cuts from word 11 to 36
-depend on the passage alone and are two at least, so whoever shares it shares all chunks
-between them, of which there is always one: no passage is lost by chance of where cuts
-fall. A window of 51 words whose chunks in that range all occur in other documents is
-compared as it stands, by the digest of its bytes, with the windows of all other documents.
-Consecutive windows that others share are joined to a span, which is thus exact: each span is
-over 50 words long, and each of its stretches of 51 words occurs in another document.
-
-Digests are counted with map-side combining, then flag chunks and windows by joins whose hot
+"""Substring dedup by anchored windows.
+
+A passage is shared where a window of WORDS = 51 words, compared as it stands, occurs in another
+document. Consecutive windows that others share are joined to a span, which is thus exact: each
+span is over 50 words long, and each of its stretches of 51 words occurs in another document.
+
+Windows are compared in groups. A window's anchor is the GRAM words of least hash (of equal ones
+the last) that begin MARGIN words from its edges or further inside, so equal windows have their
+anchor at the same place. Some 14 windows in a row have one anchor. The words that all windows
+of any such group hold are the group's core, and its extent is all that its windows cover.
+Whoever shares a window shares the core of its group, so:
+
+1. A group whose core no other document holds has no shared window.
+2. A core that is always found with the same extent stands for all windows of its group: whoever
+   has the core has each of them.
+3. Only where a core is shared by groups of different extents, at the edges of passages, are
+   windows compared one by one, by the digest of their bytes.
+
+Digests are counted with map-side combining, then flag groups and windows by joins whose hot
 keys are split; only flagged ones are grouped by document. No two documents are paired.
 
+The number of chunks of a span counts the places where a text may be cut by content: where the
+hash of GRAM words is the least of some REACH hashes in a row, so cuts depend on nearby words only.
+
 Words are what white space (ASCII) parts. Defined results: null, empty and short texts have no
 spans. Repeats inside one document do not count. Rows with the same doc_id are one document. A
 document without an id is known by its text, so its copies without an id are one document; it
@@ -31,11 +37,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORDS, GRAM, REACH = 51, 4, 12
+from lanepulse.llm.stored import stored
+
+WORDS, GRAM, REACH, MARGIN = 51, 4, 12, 10
+#: Grams among which a window's anchor is chosen.
+CENTRE = WORDS - GRAM + 1 - 2 * MARGIN
 BASE = 0x9E3779B97F4A7C15
 #: Documents without an id are numbered from here on, by the hash of their text.
 NO_ID = 1 << 62
-WINDOW_FIELDS = "who long, row long, no int, start int, stop int, low int, high int, digest long"
+GROUP_FIELDS = "who long, row long, span long, core long, extent long"
+PIECE_FIELDS = "who long, row long, no int, last int, start int, stop int, low int, high int, digest long, least long"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -56,17 +67,25 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1
 
 
-def cuts(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Numbers of the words that begin a chunk."""
-    if len(begins) < GRAM + reach - 1:
-        return np.zeros(0, np.int64)
+def gram_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     powers = np.cumprod(np.full(len(data), BASE, np.uint64))
     sums = np.append(np.uint64(0), np.cumsum(GEAR[data] * powers))
     first, last = begins[: len(begins) - GRAM + 1], ends[GRAM - 1 :]
     back = np.cumprod(np.full(len(data), INVERSE, np.uint64))
-    h = mixed((sums[last] - sums[first]) * back[first])
-    rows = np.lib.stride_tricks.sliding_window_view(h, reach)
-    return np.unique(np.arange(len(rows)) + reach - 1 - rows[:, ::-1].argmin(axis=1))
+    return mixed((sums[last] - sums[first]) * back[first])
+
+
+def least_of(hashes: np.ndarray, reach: int) -> np.ndarray:
+    """Where the least of each `reach` hashes in a row is; of equal ones the last."""
+    rows = np.lib.stride_tricks.sliding_window_view(hashes, reach)
+    return np.arange(len(rows)) + reach - 1 - rows[:, ::-1].argmin(axis=1)
+
+
+def cuts(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Numbers of the words that begin a chunk."""
+    if len(begins) < GRAM + reach - 1:
+        return np.zeros(0, np.int64)
+    return np.unique(least_of(gram_hashes(data, begins, ends), reach))
 
 
 def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -86,30 +105,49 @@ def chunks(text: str) -> tuple[np.ndarray, ...]:
     return points[starts], points[ends], np.diff(np.append(words, len(begins))), digests(raw, starts, ends)
 
 
-def _inner_chunks(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The text's bytes, words, cuts, and the digests of the chunks between cuts."""
+def groups(text: str, words: int = WORDS) -> tuple[np.ndarray, ...]:
+    """First and last window of each group of windows with one anchor, digests of core and extent."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
     begins, ends = word_bounds(data)
-    at = cuts(data, begins, ends) if len(begins) >= WORDS else np.zeros(0, np.int64)
-    return raw, data, begins, ends, at, digests(raw, begins[at[:-1]], begins[at[1:]])
-
-
-def windows(text: str, shared: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, ...]:
-    """Number of the first word, start, stop (code points), cuts before and up to the end, digest of each
-    window of `words` words whose inner chunks are all `shared`."""
-    raw, data, begins, ends, at, own = _inner_chunks(text)
-    no = np.arange(len(begins) - words + 1)
-    if not len(own) or not len(no):
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
-    low = np.searchsorted(at, no + REACH - 1)
-    high = np.searchsorted(at, no + words - GRAM - REACH + 1, "right") - 1
-    missing = np.append(0, np.cumsum(~np.isin(own, shared)))
-    no = no[missing[np.maximum(low, high)] == missing[low]]
+    count = len(begins) - words + 1
+    if count < 1:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    anchor = MARGIN + least_of(gram_hashes(data, begins, ends)[MARGIN:], CENTRE)[:count]
+    first = np.append(0, np.flatnonzero(np.diff(anchor)) + 1)
+    last = np.append(first[1:], count) - 1
+    at = anchor[first]
+    core = digests(raw, begins[at - MARGIN], ends[at - MARGIN - CENTRE + words])
+    extent = digests(raw, begins[first], ends[last + words - 1])
+    # Equal extents are the same windows only if the anchor is at the same place in them.
+    return first, last, core, extent ^ mixed((begins[at] - begins[first] + 1).astype(np.uint64)).view(np.int64)
+
+
+def pieces(text: str, flagged: dict[int, tuple[int, int]], words: int = WORDS) -> tuple[np.ndarray, ...]:
+    """First and last window, start, stop (code points), cuts before and up to the end, digest and
+    least holder: a run of windows known to be shared has a holder, a window to be compared a digest.
+    `flagged`: last window and least holder, or -1, by the first window of a group."""
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    begins, ends = word_bounds(data)
+    at = cuts(data, begins, ends)
     points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-    start, stop = begins[no], ends[no + words - 1]
-    return (no, points[start], points[stop], np.searchsorted(at, no), np.searchsorted(at, no + words, "right"),
-            digests(raw, start, stop))
+    runs, single = [], []
+    for first in sorted(flagged):
+        last, least = flagged[first]
+        if least < 0:
+            single.extend(range(first, last + 1))
+        elif runs and runs[-1][1] == first - 1:
+            runs[-1] = (runs[-1][0], last, min(runs[-1][2], least))
+        else:
+            runs.append((first, last, least))
+    no = np.array([r[0] for r in runs] + single, np.int64)
+    last = np.array([r[1] for r in runs] + single, np.int64)
+    least = np.array([r[2] for r in runs] + [-1] * len(single), np.int64)
+    digest = np.zeros(len(no), np.int64)
+    digest[len(runs) :] = digests(raw, begins[no[len(runs) :]], ends[no[len(runs) :] + words - 1])
+    return (no, last, points[begins[no]], points[ends[last + words - 1]], np.searchsorted(at, no),
+            np.searchsorted(at, last + words, "right"), digest, least)
 
 
 def _who(doc_id: str, row: Column) -> Column:
@@ -127,61 +165,72 @@ def _known(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         _who(doc_id, row).alias("who"), row.alias("row"), F.col(text).alias("text"))
 
 
-def chunk_table(known: DataFrame) -> DataFrame:
-    """(who, digest) of the chunks between cuts, once a text."""
+def group_table(known: DataFrame, min_words: int) -> DataFrame:
+    """One row per group of windows (GROUP_FIELDS); span holds its first window and how many follow."""
+    names = [x.split()[0] for x in GROUP_FIELDS.split(", ")]
+
+    def frame(keys: list[tuple[int, int]], parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        first, last, core, extent = (np.concatenate(x) for x in zip(*parts, strict=True))
+        own = np.repeat(np.array(keys, np.int64), [len(p[0]) for p in parts], axis=0)
+        return pd.DataFrame(dict(zip(names, (own[:, 0], own[:, 1], first << 32 | last - first, core, extent), strict=True)))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            whos, parts, rows = [], [], 0
-            for who, value in zip(batch["who"].tolist(), batch["text"].tolist(), strict=True):
-                parts.append(np.unique(_inner_chunks(value)[-1]))
-                whos.append(who)
-                rows += len(parts[-1])
+            keys, parts, rows = [], [], 0
+            for who, row, value in zip(batch["who"].tolist(), batch["row"].tolist(), batch["text"].tolist(), strict=True):
+                parts.append(groups(value, min_words))
+                keys.append((who, row))
+                rows += len(parts[-1][0])
                 if rows > 100_000:
-                    yield _frame(whos, parts)
-                    whos, parts, rows = [], [], 0
+                    yield frame(keys, parts)
+                    keys, parts, rows = [], [], 0
             if parts:
-                yield _frame(whos, parts)
-
-    return known.select("who", "text").mapInPandas(of, "who long, digest long")
-
+                yield frame(keys, parts)
 
-def _frame(whos: list[int], parts: list[np.ndarray]) -> pd.DataFrame:
-    return pd.DataFrame({"who": np.repeat(np.array(whos, np.int64), [len(p) for p in parts]), "digest": np.concatenate(parts)})
+    return known.mapInPandas(of, GROUP_FIELDS)
 
 
-def _shared(table: DataFrame) -> DataFrame:
-    """Rows whose digest occurs in other documents, and the least of all these."""
-    seen = table.groupBy("digest").agg(F.min("who").alias("least"), F.max("who").alias("most"))
-    return table.join(seen.where("least < most").select("digest", "least"), "digest")
+def _holders(table: DataFrame, digest: str, *more: Column) -> DataFrame:
+    """The least holder of each digest that several documents hold."""
+    seen = table.groupBy(digest).agg(F.min("who").alias("least"), F.max("who").alias("most"), *more)
+    return seen.where("least < most").drop("most")
 
 
-def window_table(known: DataFrame, min_words: int) -> DataFrame:
-    """One row per candidate window (WINDOW_FIELDS)."""
-    flagged = _shared(chunk_table(known)).groupBy("who").agg(F.collect_set("digest").alias("shared"))
+def piece_table(known: DataFrame, min_words: int) -> DataFrame:
+    """One row per run of windows that others share and per window to be compared (PIECE_FIELDS)."""
+    table = group_table(known, min_words)
+    cores = _holders(table, "core", F.min("extent").alias("one"), F.max("extent").alias("other")).select(
+        "core", F.when(F.col("one") == F.col("other"), F.col("least")).otherwise(F.lit(-1)).alias("least"))
+    flagged = table.select("who", "row", "span", "core").join(cores, "core").groupBy("who", "row").agg(
+        F.collect_set(F.struct("span", "least")).alias("flagged"))
+    names = [x.split()[0] for x in PIECE_FIELDS.split(", ")]
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for who, row, value, shared in zip(batch["who"], batch["row"], batch["text"], batch["shared"], strict=True):
-                no, *rest = windows(value, np.asarray(shared, np.int64), min_words)
-                for i in range(0, len(no), 100_000):
-                    part = [x[i : i + 100_000] for x in (no, *rest)]
-                    names = [x.split()[0] for x in WINDOW_FIELDS.split(", ")]
+            for who, row, value, flagged in zip(batch["who"], batch["row"], batch["text"], batch["flagged"], strict=True):
+                spans = {f["span"] >> 32: ((f["span"] >> 32) + (f["span"] & 0x7FFFFFFF), f["least"]) for f in flagged}
+                found = pieces(value, spans, min_words)
+                for i in range(0, len(found[0]), 100_000):
+                    part = [x[i : i + 100_000] for x in found]
                     yield pd.DataFrame({"who": who, "row": row, **dict(zip(names[2:], part, strict=True))})
 
-    return known.join(flagged, "who").mapInPandas(of, WINDOW_FIELDS)
+    return known.join(flagged, ["who", "row"]).mapInPandas(of, PIECE_FIELDS)
 
 
 def _spans(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFrame:
     if min_words < WORDS:
         raise ValueError(f"spans of fewer than {WORDS} words are not searched")
-    shared = _shared(window_table(_known(docs, text, doc_id), min_words))
-    # Windows in a row have numbers that rise as their rank does; a row that is repeated lists
-    # its windows again, so ranks are dense.
-    rank = F.dense_rank().over(Window.partitionBy("who", "row").orderBy("no"))
-    return shared.withColumn("run", F.col("no") - rank).groupBy("who", "row", "run").agg(
+    table = stored(piece_table(_known(docs, text, doc_id), min_words), "pieces")
+    alone = table.where("least < 0").drop("least")
+    shared = alone.join(_holders(alone, "digest"), "digest").unionByName(table.where("least >= 0")).drop("digest")
+    # A row that is repeated lists its pieces again, so a piece may begin inside the ones before.
+    inside = Window.partitionBy("who", "row").orderBy("no")
+    before = F.max("last").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    begun = shared.withColumn("begins", F.when(F.col("no") <= before + 1, 0).otherwise(1))
+    return begun.withColumn("run", F.sum("begins").over(inside.rowsBetween(Window.unboundedPreceding, 0))).groupBy(
+        "who", "row", "run").agg(
         F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"),
-        (F.max("no") - F.min("no") + min_words).cast("long").alias("n_words"),
+        (F.max("last") - F.min("no") + min_words).cast("long").alias("n_words"),
         (F.max("high") - F.min("low") - 1).cast("long").alias("n_chunks"), F.min("least").alias("first_doc_id"),
         (F.min("least") >= F.col("who")).alias("is_first"))
 

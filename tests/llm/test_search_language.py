@@ -187,3 +187,37 @@ def test_copies_without_an_id(spark):
     assert got == {(None, 7, False), (7, 7, True)}
     left = sorted((r.doc_id or 0, len(r.text)) for r in substrings.remove_repeats(docs).collect())
     assert left == sorted([(0, 0)] * 3 + [(7, len(shared)), (0, len(other)), (0, len(other)), (3, len(rows[-1][1]))])
+
+
+def test_few_windows_of_copies_are_compared_one_by_one_and_spans_equal_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: rng.choices(words, k=n)
+    docs = []
+    for i in range(12):
+        passage, periodic = text(300), text(rng.randrange(1, 30)) * 10
+        docs += [passage, passage, [*text(20), *passage[:140], "new", *passage[141:], *text(20)], [*text(5), *passage[100:151]],
+                 [*text(9), *passage[100:150], *text(9)], periodic, [*text(3), *periodic[1:-1]], [*passage[40:], *passage[:200]]]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    holders = {}
+    for i, d in enumerate(docs):
+        for no in range(len(d) - 50):
+            holders.setdefault(tuple(d[no : no + 51]), set()).add(i)
+    want = set()
+    for i, d in enumerate(docs):
+        run = []
+        for no in range(len(d) - 49):
+            found = holders.get(tuple(d[no : no + 51]), ()) if no < len(d) - 50 else ()
+            if len(found) > 1:
+                run.append((no, min(found)))
+            elif run:
+                first, last, least = run[0][0], run[-1][0] + 51, min(r[1] for r in run)
+                start = sum(len(w) + 1 for w in d[:first])
+                want.add((i, start, start + len(" ".join(d[first:last])), last - first, least, least >= i))
+                run = []
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.repeated_spans(df).collect()
+    assert {(r.doc_id, r.start, r.stop, r.n_words, r.first_doc_id, r.is_first) for r in got} == want and len(got) == len(want)
+    copies = spark.createDataFrame([(i, " ".join(docs[0])) for i in range(50)], "doc_id long, text string")
+    table = substrings.piece_table(substrings._known(copies, "text", "doc_id"), 51).collect()
+    assert len(table) == 50 and {(r.no, r.last, r.least) for r in table} == {(0, 249, 0)}
