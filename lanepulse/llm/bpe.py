@@ -8,6 +8,11 @@ that border alone, which the pair table answers. Where no token fits, the last o
 back and its end marked as a dead end, so each position is settled once and a piece costs
 time linear in its length, however long it is.
 
+Many texts at once (`packed_all`, which packing uses) first gather the words that no table holds
+and encode those together: short pieces are columns of a matrix in which numpy makes the earliest
+merge of every column, round by round, with the pairs in a table of open addressing. Ids are those
+of the single encoder.
+
 Decoding copies bytes out of one buffer that holds all tokens, by an offset per token.
 
 Each worker keeps what it has encoded in tables of bounded size, emptied when full; results
@@ -20,7 +25,7 @@ each. Columns of the documents pass through; the added columns replace equally n
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 
@@ -39,6 +44,10 @@ SPLIT = (
 #: Entries in the young half of a worker's tables; an entry takes some 400 bytes.
 MAX_WORDS, MAX_PIECES, MAX_PAIRS = 550_000, 250_000, 300_000
 LONGEST_ENTRY = 64
+#: Pieces up to this many bytes are merged side by side; texts are taken together up to so many characters.
+LONGEST_COLUMN, MOST_CHARACTERS = 40, 2_000_000
+#: Slots of the pair table (a power of two), the value of a pair that never merges, the hash's factor.
+PAIR_BITS, NEVER, FACTOR = 18, 1 << 16, np.uint64(0x9E3779B97F4A7C15)
 #: A space that may not begin a token of its own: more white space, or the end, follows.
 UNSAFE = re.compile(r" (?=\s|\Z)")
 
@@ -70,6 +79,12 @@ class Recent:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
+    def put_all(self, entries: dict) -> None:
+        """Many at once; the young half may hold so many more than its limit."""
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update(entries)
+
 
 class Codec:
     """Encoder and decoder of one tokenizer file."""
@@ -109,6 +124,81 @@ class Codec:
         self.offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         self.decimal = list(map(str, range(len(parts))))
         self.words, self.pieces_known = Recent(MAX_WORDS), Recent(MAX_PIECES)
+        self._number_pairs([letters[t] for t in bases])
+
+    def _number_pairs(self, bytes_of: list[int]) -> None:
+        """The pair table as arrays: a pair lies in the first free slot from its hash on."""
+        pairs = np.array(list(self.made), np.int64).reshape(-1, 2)
+        keys, made = pairs[:, 0] << 16 | pairs[:, 1], np.fromiter(self.made.values(), np.int32)
+        self.pair_keys = np.full(1 << PAIR_BITS, -1, np.int64)
+        self.pair_made = np.full(1 << PAIR_BITS, NEVER, np.int32)
+        slots = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.pair_keys[slots] < 0)
+            first = free[np.unique(slots[free], return_index=True)[1]]
+            self.pair_keys[slots[first]], self.pair_made[slots[first]] = keys[first], made[first]
+            rest = np.delete(np.arange(len(keys)), first)
+            keys, made, slots = keys[rest], made[rest], (slots[rest] + 1) & ((1 << PAIR_BITS) - 1)
+        self.token_of_byte = np.zeros(256, np.int32)
+        self.token_of_byte[bytes_of] = np.arange(len(bytes_of))
+        self.id_of_token = np.array(self.ids, "<u4")
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * FACTOR >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+    def _pair_made(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that each pair merges into, or `NEVER`."""
+        keys = left.astype(np.int64) << 16 | right
+        slots = self._slots(keys)
+        seen = self.pair_keys[slots]
+        out = np.where(seen == keys, self.pair_made[slots], np.int32(NEVER))
+        again = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(again):
+            slots[again] = (slots[again] + 1) & ((1 << PAIR_BITS) - 1)
+            seen = self.pair_keys[slots[again]]
+            hit = seen == keys[again]
+            out[again[hit]] = self.pair_made[slots[again[hit]]]
+            again = again[~hit & (seen >= 0)]
+        return out
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of many pieces by merging. Every column that is not done loses one token a
+        round, so all columns of a round have the same height, and pieces of that many bytes join."""
+        out: list[bytes] = [b""] * len(pieces)
+        by_size: dict[int, list[int]] = {}
+        for i, piece in enumerate(pieces):
+            if len(piece) > LONGEST_COLUMN:
+                out[i] = array("I", self.encode_piece(piece)).tobytes()
+            else:
+                by_size.setdefault(len(piece), []).append(i)
+        height = max(by_size, default=0)
+        who, tokens, made = np.zeros(0, np.int64), np.zeros((height, 0), np.int32), np.zeros((max(height - 1, 0), 0), np.int32)
+        for n in range(height, 0, -1):
+            if n in by_size:
+                data = np.frombuffer(b"".join([pieces[i] for i in by_size[n]]), np.uint8).reshape(-1, n)
+                fresh = self.token_of_byte[data.T]
+                who, tokens = np.concatenate((who, by_size[n])), np.hstack((tokens, fresh))
+                pairs = self._pair_made(fresh[:-1].ravel(), fresh[1:].ravel())
+                made = np.hstack((made, pairs.reshape(n - 1, len(data))))
+            # The least (token, position): the earliest merge, the leftmost of equal ones.
+            at = np.arange(n - 1, dtype=np.int32)[:, None]
+            best = (made << 8 | at).min(axis=0) if n > 1 else np.full(len(who), NEVER << 8, np.int32)
+            live = best < NEVER << 8
+            done = np.flatnonzero(~live)
+            ids = self.id_of_token[tokens[:, done].T].tobytes()
+            for k, i in enumerate(who[done].tolist()):
+                out[i] = ids[4 * n * k : 4 * n * (k + 1)]
+            if n == 1:
+                break
+            who, tokens, made, best = who[live], tokens[:, live], made[:, live], best[live]
+            place, token, column = best & 255, best >> 8, np.arange(len(who))
+            tokens = np.where(at > place, tokens[1:], tokens[:-1])
+            tokens[place, column] = token
+            made = np.where(at[:-1] > place, made[1:], made[:-1])
+            before, after = np.flatnonzero(place > 0), np.flatnonzero(place < n - 2)
+            made[place[before] - 1, before] = self._pair_made(tokens[place[before] - 1, before], token[before])
+            made[place[after], after] = self._pair_made(token[after], tokens[place[after] + 1, after])
+        return out
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """What stands at one edge of a token (0 left, 1 right) while merges build it, in time
@@ -209,6 +299,54 @@ class Codec:
             for s in self.at_added.split(text)
         ])
 
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of words that follow a space."""
+        if not words:
+            return {}
+        pieces = self.pieces(" " + " ".join(words))
+        found = {p: self.pieces_known.get(p) for p in dict.fromkeys(pieces)}
+        new = [p for p, packed in found.items() if packed is None]
+        learned = dict(zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
+        found.update(learned)
+        self.pieces_known.put_all({p: packed for p, packed in learned.items() if len(p) <= LONGEST_ENTRY})
+        packed = [*map(found.__getitem__, pieces)]
+        starts = [i for i, p in enumerate(pieces) if p[0] == " "]
+        return {word: packed[a] if b == a + 1 else b"".join(packed[a:b])
+                for word, a, b in zip(words, starts, [*starts[1:], len(pieces)], strict=True)}
+
+    def packed_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """`packed` of each text; the new words of some two million characters are encoded at once."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= MOST_CHARACTERS:
+                yield from self._packed_group(group)
+                group, size = [], 0
+        yield from self._packed_group(group)
+
+    def _packed_group(self, texts: list[str]) -> Iterator[bytes]:
+        known, out, gaps, absent = self.words.young.get, [], [], set()
+        for text in texts:
+            if UNSAFE.search(text) is not None or any(a in text for a in self.added):
+                out.append([self.packed(text)])
+                gaps.append(())
+                continue
+            words = text.split(" ")
+            packed = [*map(known, words)]
+            packed[0] = b"".join(map(self._piece, self.pieces(words[0])))
+            gap = [(i, words[i]) for i, p in enumerate(packed) if p is None] if None in packed else ()
+            absent.update([w for _, w in gap])
+            out.append(packed)
+            gaps.append(gap)
+        seen = {w: p for w in absent if (p := self.words.old.get(w)) is not None}
+        seen.update(self._encode_words([w for w in absent if w not in seen]))
+        self.words.put_all({w: p for w, p in seen.items() if len(w) <= LONGEST_ENTRY})
+        for packed, gap in zip(out, gaps, strict=True):
+            for i, word in gap:
+                packed[i] = seen[word]
+            yield b"".join(packed)
+
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.packed(text), "<u4")
 

@@ -51,8 +51,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
         own, last = codec(path), end.to_bytes(4, "little")
         for part in parts:
             out = []
-            for text in part:
-                packed = own.packed(text) + last
+            for packed in own.packed_all(part):
+                packed += last
                 n = len(packed) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 out.append([(i, a, b - a, zlib.crc32(packed[4 * a : 4 * b]))

@@ -147,3 +147,27 @@ def test_plans_hold_every_length(low, high, n):
     assert found == counts
     alone = packing.best_fit(Counter(), sorted(counts.items(), reverse=True), 1024)
     assert sum(kinds.values()) <= sum(alone.values())
+
+
+def test_many_texts_at_once_equal_the_library(library, monkeypatch):
+    rng, own = random.Random(5), bpe.Codec(PATH)
+    letters = "aeinthsrouABC'.,-\n\t\x1c\x85éß中🙂1٣_"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    words += ["w" * n for n in (39, 40, 41, 63, 64, 65, 300)] + ["<|endoftext|>", "x<|endoftext|>y", ""]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(1500)] + [None, "", " ", "a "]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(bpe, "MOST_CHARACTERS", 5000)
+    for _ in range(2):
+        assert [np.frombuffer(p, "<u4").tolist() for p in own.packed_all(texts)] == want
+
+
+def test_new_words_are_encoded_together(monkeypatch):
+    own, rng = bpe.Codec(PATH), random.Random(6)
+    texts = [" ".join("".join(rng.choice("aeinthsrou") for _ in range(9)) for _ in range(50)) for _ in range(40)]
+    want = [own.packed(t) for t in texts]
+    alone, calls = bpe.Codec(PATH), []
+    plain = alone.encode_piece
+    monkeypatch.setattr(alone, "encode_piece", lambda piece: calls.append(piece) or plain(piece))
+    assert list(alone.packed_all(texts)) == want and len(calls) <= len(texts)
+    pieces = ["".join(rng.choice("aeinthsrou '.") for _ in range(rng.randrange(1, 60))).encode() for _ in range(500)]
+    assert own.encode_pieces(pieces) == [np.array(own.encode_piece(p), "<u4").tobytes() for p in pieces]
