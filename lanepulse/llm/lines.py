@@ -11,8 +11,8 @@ removed if an earlier line of the table matches it. Earlier means a smaller (doc
    that shares one must also pass the length filter, the positional filter (what can still be
    common after that word) and a bound by 128 parity bits of the words.
 4. Large groups of near copies would meet pairwise. So each set first meets only the earliest
-   set of two of its prefix words, and of four pairs of minima of its hashed words, which near
-   copies mostly share; those matched there are settled. Then every set still open meets all
+   set of two of its prefix words, and of the least and the greatest of its hashed words in four
+   orders, which near copies mostly share; those matched there are settled. Then every set still open meets all
    earlier ones that share a prefix word. The result is that of all pairs.
 5. Candidates are verified on the words themselves, read again for the lines concerned only.
 
@@ -35,15 +35,23 @@ from lanepulse.llm.stored import held, stored
 
 BUCKETS = 1 << 14
 LEAD_WORDS = 2
-#: Each pair of masks reorders the hashed words twice; the two least words name a lead.
+#: Each mask reorders the hashed words; the least and the greatest word name a lead.
 _draw = random.Random(3)
-LEAD_MASKS = [(_draw.getrandbits(63), _draw.getrandbits(63)) for _ in range(4)]
+LEAD_MASKS = [_draw.getrandbits(63) for _ in range(4)]
 LAST_ID = (1 << 63) - 1
-SPACE = r"[\x20\x09-\x0D]+"
+SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+
+
+def _split(line: Column) -> Column:
+    """Words and empty strings. Only where white space other than blanks occurs is a pattern needed."""
+    other = F.lit(False)
+    for c in "\t\n\x0b\x0c\r":
+        other = other | F.contains(line, F.lit(c))
+    return F.when(other, F.split(line, SPACE)).otherwise(F.split(line, " "))
 
 
 def _words(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(line, SPACE), lambda w: w != ""))
+    return F.array_remove(F.array_distinct(_split(line)), "")
 
 
 def _placed_lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -59,7 +67,7 @@ def word_frequencies(docs: DataFrame, text: str = "text") -> Column:
     """A constant array: how often the words of each hash bucket occur in the whole table, on
     a logarithmic scale. Its size is fixed, so it may pass through the driver."""
     counts = (
-        docs.select(F.explode(F.split(F.col(text), SPACE)).alias("w"))
+        docs.select(F.replace(F.col(text), F.lit("\n"), F.lit(" ")).alias("t")).select(F.explode(_split(F.col("t"))).alias("w"))
         .groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
     )
     scale = [0] * BUCKETS
@@ -79,11 +87,13 @@ def _parity(half: int) -> Column:
 def line_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(d, place, k, k2, n, low, high, bands, prefix) of every line with a word; k, k2 name its set."""
     often = word_frequencies(docs, text)
-    lines = _placed_lines(docs, text, doc_id)
+    # A filter on the number of words would be pushed down and split every line a second time.
+    lines = _placed_lines(docs, text, doc_id).where(F.col("line").rlike(WORD))
     hashed = lines.select("d", "place", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("w"))
-    least = lambda mask: F.array_min(F.transform("w", lambda w: w.bitwiseXOR(F.lit(mask))))
-    bands = F.array(*[F.xxhash64(F.lit(i), least(a), least(b)) for i, (a, b) in enumerate(LEAD_MASKS)])
-    ranked = hashed.where(F.size("w") > 0).select("d", "place", bands.alias("bands"), F.sort_array(F.transform("w", lambda w: (
+    ordered = lambda mask: F.transform("w", lambda w: w.bitwiseXOR(F.lit(mask)))
+    orders = [ordered(mask) for mask in LEAD_MASKS]
+    bands = F.array(*[F.hash(F.lit(i), F.array_min(o), F.array_max(o)) for i, o in enumerate(orders)])
+    ranked = hashed.select("d", "place", bands.alias("bands"), F.sort_array(F.transform("w", lambda w: (
         F.get(often, F.pmod(w, F.lit(BUCKETS)).cast("int")) * F.lit(1 << 43) + w.bitwiseAND(F.lit((1 << 43) - 1))
     ))).alias("w"))
     n = F.size("w")
@@ -130,9 +140,9 @@ def matched_sets(sets: DataFrame, docs: DataFrame, text: str = "text", doc_id: s
     fields = [F.col("d"), F.col("place"), F.col("low"), F.col("high")]
     packed = lambda i: (F.shiftleft(F.col("n").cast("long"), 32) + i).alias("ni")
 
-    keys = F.concat(F.slice(F.array_sort("prefix"), 1, LEAD_WORDS).cast("array<bigint>"), "bands")
+    keys = F.concat(F.slice(F.sort_array("prefix"), 1, LEAD_WORDS), "bands")
     lead = large.select(*fields, "n", "prefix", F.explode(keys).alias("t")).select(
-        *fields, "t", packed(F.greatest(F.array_position(F.col("prefix").cast("array<bigint>"), F.col("t")) - 1, F.lit(0))))
+        *fields, "t", packed(F.greatest(F.array_position("prefix", F.col("t")) - 1, F.lit(0))))
     first = lead.groupBy("t").agg(F.min(F.struct("d", "place", "low", "high", "ni")).alias("f")).select("t", "f.*")
     near = lead.alias("y").join(first.alias("x"), "t").where(_earlier("x", "y") & _can_match("x", "y")).selectExpr(*PAIR)
     settled = held(_verified(near.distinct(), docs, text, doc_id))
@@ -154,14 +164,20 @@ def matched_sets(sets: DataFrame, docs: DataFrame, text: str = "text", doc_id: s
 def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(d, place, line, first_d, first_line, match_d, match_line): every line to remove, the
     first line with the same words, and an earlier matching line of other words, if any."""
-    lines = stored(line_sets(docs, text, doc_id), "lines")
-    best = lines.groupBy("k", "k2").agg(F.min(F.struct("d", "place", "n", "low", "high", "bands", "prefix")).alias("s"))
-    sets = stored(best.select("k", "k2", "s.*"), "line-sets")
+    lines = stored(line_sets(docs, text, doc_id), "lines", "zstd")
+    best = lines.groupBy("k", "k2").agg(F.min(F.struct("d", "place", "n", "low", "high", "bands", "prefix")).alias("s"),
+                                           F.count("*").alias("copies"))
+    sets = stored(best.select("k", "k2", "copies", "s.*"), "line-sets", "zstd")
     matched = held(matched_sets(sets, docs, text, doc_id))
-    classes = sets.join(matched, ["d", "place"], "left").select(
-        "k", "k2", F.col("d").alias("fd"), F.col("place").alias("fplace"), "match")
+    # Only sets of several lines or with a match lose lines; the rest is not shuffled again.
+    probed = with_hits(sets.select("k", "k2", "copies", "d", "place"), ["d", "place"], matched, ["d", "place"])
+    alone = probed.where("NOT _hit").withColumn("match", F.lit(None).cast(matched.schema["match"].dataType))
+    either = alone.unionByName(probed.where("_hit").join(matched, ["d", "place"], "left"))
+    classes = held(either.where("copies > 1 OR match IS NOT NULL").select(
+        "k", "k2", F.col("d").alias("fd"), F.col("place").alias("fplace"), "match"))
     # A third of all lines may be equal: the set is one row, and the join splits their lines.
-    every = lines.select("d", "place", "k", "k2").join(classes, ["k", "k2"])
+    some = with_hits(lines.select("d", "place", "k", "k2"), ["k", "k2"], classes, ["k", "k2"]).where("_hit")
+    every = some.join(classes, ["k", "k2"])
     gone = every.where(F.col("match").isNotNull() | (F.col("d") != F.col("fd")) | (F.col("place") != F.col("fplace")))
     at = lambda c: F.floor(c / F.lit(1 << 31)).cast("int")
     return gone.select(

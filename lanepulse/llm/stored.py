@@ -20,11 +20,11 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """`df` written as a Parquet table of its own in the shared folder and read again."""
     spark = df.sparkSession
     _folder(spark)
     base = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.parquet(path)

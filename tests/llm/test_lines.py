@@ -68,3 +68,30 @@ def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     got = sorted((r.d, r.line) for r in lines.removed_lines(docs).collect())
     assert got == plain([tuple(r) for r in docs.collect()])
+
+
+def test_words_with_and_without_other_white_space(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a", "b", "é", "\x85", "\xa0", " ", " ", "\t", "\x0b", "\x0c", "\r", "\x1c", "|"][: rng.choice([6, 13])])
+                     for _ in range(rng.randrange(14))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", lines._words(lines.F.col("t")).alias("w"))
+    for r in df.collect():
+        assert r.w == list(dict.fromkeys(w for w in re.split(r"[\x20\x09-\x0D]+", r.t) if w))
+
+
+def test_lines_are_split_once(spark, capsys):
+    docs = spark.createDataFrame([(1, "a b c\nd e"), (2, " \t\n")], "doc_id long, text string")
+    sets = lines.line_sets(docs)
+    assert sets.count() == 2
+    sets.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("array_distinct(") == 1
+
+
+def test_near_copies_share_leads(spark):
+    base = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(30)]
+    rows = lines.line_sets(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(len(r.bands) == len(set(r.bands)) == len(lines.LEAD_MASKS) for r in rows)
+    first = rows[0].bands
+    assert sum(any(a == b for a, b in zip(first, r.bands, strict=True)) for r in rows) >= 25
