@@ -45,7 +45,7 @@ SPLIT = (
 MAX_WORDS, MAX_PIECES, MAX_PAIRS = 550_000, 250_000, 300_000
 LONGEST_ENTRY = 64
 #: Pieces up to this many bytes are merged side by side; texts are taken together up to so many characters.
-LONGEST_COLUMN, MOST_CHARACTERS = 40, 2_000_000
+LONGEST_COLUMN, MOST_CHARACTERS = 40, 500_000
 #: Slots of the pair table (a power of two), the value of a pair that never merges, the hash's factor.
 PAIR_BITS, NEVER, FACTOR = 18, 1 << 16, np.uint64(0x9E3779B97F4A7C15)
 #: A space that may not begin a token of its own: more white space, or the end, follows.
@@ -89,7 +89,7 @@ class Recent:
 class Codec:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_words: int | None = None, max_pieces: int | None = None):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters = byte_letters()
@@ -123,7 +123,7 @@ class Codec:
         self.buffer = np.frombuffer(b"".join(parts), np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         self.decimal = list(map(str, range(len(parts))))
-        self.words, self.pieces_known = Recent(MAX_WORDS), Recent(MAX_PIECES)
+        self.words, self.pieces_known = Recent(max_words or MAX_WORDS), Recent(max_pieces or MAX_PIECES)
         self._number_pairs([letters[t] for t in bases])
 
     def _number_pairs(self, bytes_of: list[int]) -> None:
@@ -315,7 +315,7 @@ class Codec:
                 for word, a, b in zip(words, starts, [*starts[1:], len(pieces)], strict=True)}
 
     def packed_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """`packed` of each text; the new words of some two million characters are encoded at once."""
+        """`packed` of each text; the new words of some half a million characters are encoded at once."""
         group, size = [], 0
         for text in texts:
             group.append(text or "")
@@ -365,9 +365,9 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str) -> Codec:
-    """One codec per worker and file."""
-    return Codec(path)
+def codec(path: str, max_words: int | None = None, max_pieces: int | None = None) -> Codec:
+    """One codec per worker, file and size of tables."""
+    return Codec(path, max_words, max_pieces)
 
 
 def _added(docs: DataFrame, column: Callable, names: list[str]) -> DataFrame:

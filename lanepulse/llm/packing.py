@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,27 +38,37 @@ from lanepulse.llm.bpe import codec
 from lanepulse.llm.stored import held
 
 CAPACITY, END = 1024, 2
+#: Entries of a worker's tables, which are smaller than the encoder's own as texts come
+#: in groups here; texts taken out of a batch at a time; what the encoder returns for a text.
+MAX_WORDS, MAX_PIECES, ROWS = 250_000, 30_000, 100
+PIECES = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 GROUPS, SMALL = 128, 1 / 4
 MOST_ROUNDS = 2000
 #: Most free tokens a filled configuration may keep, tried in turn; the fewest sequences win.
 LOOSE = (0, 1, 2, 4, 8, 16, 32, 1 << 30)
 
 
+def texts_of(part: pa.Array) -> Iterator[str | None]:
+    """The texts of a batch, few of them as Python strings at a time."""
+    for at in range(0, len(part), ROWS):
+        yield from part.slice(at, ROWS).to_pylist()
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) per piece, with the partition that made it."""
 
-    @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
-    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own, last = codec(path), end.to_bytes(4, "little")
+    @F.arrow_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
+    def cut(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own, last = codec(path, MAX_WORDS, MAX_PIECES), end.to_bytes(4, "little")
         for part in parts:
             out = []
-            for packed in own.packed_all(part):
+            for packed in own.packed_all(texts_of(part)):
                 packed += last
                 n = len(packed) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 out.append([(i, a, b - a, zlib.crc32(packed[4 * a : 4 * b]))
                             for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
-            yield pd.Series(out)
+            yield pa.array(out, PIECES)
 
     return docs.select("doc_id", F.explode(cut("text")).alias("p")).select(
         "doc_id", "p.*", F.spark_partition_id().alias("dealt"))

@@ -5,6 +5,7 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from lanepulse.llm import bpe, packing
 from tokenizers import Tokenizer
@@ -171,3 +172,19 @@ def test_new_words_are_encoded_together(monkeypatch):
     assert list(alone.packed_all(texts)) == want and len(calls) <= len(texts)
     pieces = ["".join(rng.choice("aeinthsrou '.") for _ in range(rng.randrange(1, 60))).encode() for _ in range(500)]
     assert own.encode_pieces(pieces) == [np.array(own.encode_piece(p), "<u4").tobytes() for p in pieces]
+
+
+def test_packing_holds_small_tables_and_few_texts(spark, library):
+    own = bpe.codec(PATH, packing.MAX_WORDS, packing.MAX_PIECES)
+    assert own is not bpe.codec(PATH)
+    texts = [" ".join(f"w{i * 1000 + k:x}q" for k in range(1000)) for i in range(700)]
+    packed = [*own.packed_all(texts)]
+    for i in (0, 350, 699):
+        assert np.frombuffer(packed[i], "<u4").tolist() == library.encode(texts[i], add_special_tokens=False).ids
+    group = bpe.MOST_CHARACTERS // 5
+    for table, limit in ((own.words, packing.MAX_WORDS), (own.pieces_known, packing.MAX_PIECES)):
+        assert len(table.young) + len(table.old) <= 2 * (limit + group)
+    batch = pa.array(["a", None, "", *map(str, range(3 * packing.ROWS))])
+    assert [*packing.texts_of(batch.slice(1))] == batch.to_pylist()[1:]
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "doc_id long, text string")
+    assert [r["length"] for r in packing.token_pieces(docs, PATH).orderBy("doc_id").collect()] == [1, 1, 3]
