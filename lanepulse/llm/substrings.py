@@ -42,6 +42,8 @@ from lanepulse.llm.stored import stored
 WORDS, GRAM, REACH, MARGIN = 51, 4, 12, 10
 #: Grams among which a window's anchor is chosen.
 CENTRE = WORDS - GRAM + 1 - 2 * MARGIN
+#: Texts are joined up to so many characters, so that numpy works on many at once.
+TOGETHER = 300_000
 BASE = 0x9E3779B97F4A7C15
 #: Documents without an id are numbered from here on, by the hash of their text.
 NO_ID = 1 << 62
@@ -76,9 +78,16 @@ def gram_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def least_of(hashes: np.ndarray, reach: int) -> np.ndarray:
-    """Where the least of each `reach` hashes in a row is; of equal ones the last."""
-    rows = np.lib.stride_tricks.sliding_window_view(hashes, reach)
-    return np.arange(len(rows)) + reach - 1 - rows[:, ::-1].argmin(axis=1)
+    """Where the least of each `reach` hashes in a row is; of equal ones the last. Rows double in
+    length until two that overlap make one of `reach`."""
+    least, at, size = hashes, np.arange(len(hashes)), 1
+    while size < reach:
+        step = min(size, reach - size)
+        if len(least) <= step:
+            return np.zeros(0, np.int64)
+        later = least[step:] <= least[:-step]
+        least, at, size = np.where(later, least[step:], least[:-step]), np.where(later, at[step:], at[:-step]), size + step
+    return at
 
 
 def cuts(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, reach: int = REACH) -> np.ndarray:
@@ -90,7 +99,8 @@ def cuts(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, reach: int = RE
 
 def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64)
+    found = (digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    return np.fromiter(found, np.uint64, len(starts)).view(np.int64)
 
 
 def chunks(text: str) -> tuple[np.ndarray, ...]:
@@ -105,49 +115,78 @@ def chunks(text: str) -> tuple[np.ndarray, ...]:
     return points[starts], points[ends], np.diff(np.append(words, len(begins))), digests(raw, starts, ends)
 
 
-def groups(text: str, words: int = WORDS) -> tuple[np.ndarray, ...]:
-    """First and last window of each group of windows with one anchor, digests of core and extent."""
-    raw = text.encode()
-    data = np.frombuffer(raw, np.uint8)
-    begins, ends = word_bounds(data)
-    count = len(begins) - words + 1
-    if count < 1:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    anchor = MARGIN + least_of(gram_hashes(data, begins, ends)[MARGIN:], CENTRE)[:count]
-    first = np.append(0, np.flatnonzero(np.diff(anchor)) + 1)
-    last = np.append(first[1:], count) - 1
-    at = anchor[first]
-    core = digests(raw, begins[at - MARGIN], ends[at - MARGIN - CENTRE + words])
-    extent = digests(raw, begins[first], ends[last + words - 1])
+class Joined:
+    """Many texts as one array of bytes, parted by line breaks, so that no word crosses. `starts`:
+    where texts begin (bytes); `words`: the number of each text's first word."""
+
+    def __init__(self, texts: list[str]):
+        raws = [t.encode() for t in texts]
+        self.raw = b"\n".join(raws)
+        self.data = np.frombuffer(self.raw, np.uint8)
+        self.starts = np.cumsum([0] + [len(r) + 1 for r in raws[:-1]])
+        self.begins, self.ends = word_bounds(self.data)
+        self.words = np.searchsorted(self.begins, self.starts)
+        self.owner = np.repeat(np.arange(len(texts)), np.diff(np.append(self.words, len(self.begins))))
+        self.hashes = gram_hashes(self.data, self.begins, self.ends) if len(self.begins) >= GRAM else np.zeros(0, np.uint64)
+
+    def inside(self, words: int) -> np.ndarray:
+        """The first words of all rows of so many words that lie in one text."""
+        return np.flatnonzero(self.owner[: max(len(self.owner) - words + 1, 0)] == self.owner[words - 1 :])
+
+    def cuts(self) -> np.ndarray:
+        return np.unique(least_of(self.hashes, REACH)[self.inside(GRAM + REACH - 1)])
+
+
+def joined(texts: list[str]) -> Iterator[tuple[int, Joined]]:
+    """The texts in groups of about TOGETHER characters, each with the number of its first text."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= TOGETHER or i == len(texts) - 1:
+            yield first, Joined(texts[first : i + 1])
+            first, size = i + 1, 0
+
+
+def groups(texts: Joined, words: int = WORDS) -> tuple[np.ndarray, ...]:
+    """Text, first and last window of each group of windows with one anchor, digests of core and extent."""
+    begins, ends, at = texts.begins, texts.ends, texts.inside(words)
+    if not len(at):
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    # Windows of different texts differ in their anchors, as an anchor lies inside its windows.
+    anchor = MARGIN + least_of(texts.hashes[MARGIN:], CENTRE)[at]
+    edge = np.append(0, np.flatnonzero(np.diff(anchor)) + 1)
+    first, last, anchor = at[edge], at[np.append(edge[1:], len(at)) - 1], anchor[edge]
+    core = digests(texts.raw, begins[anchor - MARGIN], ends[anchor - MARGIN - CENTRE + words])
+    extent = digests(texts.raw, begins[first], ends[last + words - 1])
     # Equal extents are the same windows only if the anchor is at the same place in them.
-    return first, last, core, extent ^ mixed((begins[at] - begins[first] + 1).astype(np.uint64)).view(np.int64)
-
-
-def pieces(text: str, flagged: dict[int, tuple[int, int]], words: int = WORDS) -> tuple[np.ndarray, ...]:
-    """First and last window, start, stop (code points), cuts before and up to the end, digest and
-    least holder: a run of windows known to be shared has a holder, a window to be compared a digest.
-    `flagged`: last window and least holder, or -1, by the first window of a group."""
-    raw = text.encode()
-    data = np.frombuffer(raw, np.uint8)
-    begins, ends = word_bounds(data)
-    at = cuts(data, begins, ends)
-    points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-    runs, single = [], []
-    for first in sorted(flagged):
-        last, least = flagged[first]
-        if least < 0:
-            single.extend(range(first, last + 1))
-        elif runs and runs[-1][1] == first - 1:
-            runs[-1] = (runs[-1][0], last, min(runs[-1][2], least))
-        else:
-            runs.append((first, last, least))
-    no = np.array([r[0] for r in runs] + single, np.int64)
-    last = np.array([r[1] for r in runs] + single, np.int64)
-    least = np.array([r[2] for r in runs] + [-1] * len(single), np.int64)
+    extent = extent ^ mixed((begins[anchor] - begins[first] + 1).astype(np.uint64)).view(np.int64)
+    own = texts.owner[first]
+    return own, first - texts.words[own], last - texts.words[own], core, extent
+
+
+def pieces(texts: Joined, own: np.ndarray, span: np.ndarray, least: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, ...]:
+    """Text, first and last window, start, stop (code points), cuts before and up to the end, digest
+    and least holder: a run of windows known to be shared has a holder, a window to be compared a
+    digest. Groups of windows: their text, first window and how many follow, least holder or -1."""
+    begins, ends = texts.begins, texts.ends
+    first = texts.words[own] + (span >> 32)
+    order = np.argsort(first)
+    first, least, last = first[order], least[order], (first + (span & 0x7FFFFFFF))[order]
+    shared = least >= 0
+    at, to, holder = first[shared], last[shared], least[shared]
+    new = np.flatnonzero(np.append(True, at[1:] != to[:-1] + 1)[: len(at)])
+    begin, count = first[~shared], (last - first + 1)[~shared]
+    single = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+    no = np.concatenate((at[new], single))
+    last = np.concatenate((to[np.append(new[1:], len(at)) - 1] if len(new) else to, single))
+    least = np.concatenate((np.minimum.reduceat(holder, new) if len(new) else holder, np.full(len(single), -1)))
     digest = np.zeros(len(no), np.int64)
-    digest[len(runs) :] = digests(raw, begins[no[len(runs) :]], ends[no[len(runs) :] + words - 1])
-    return (no, last, points[begins[no]], points[ends[last + words - 1]], np.searchsorted(at, no),
-            np.searchsorted(at, last + words, "right"), digest, least)
+    digest[len(new) :] = digests(texts.raw, begins[single], ends[single + words - 1])
+    points, cut, own = np.append(0, np.cumsum((texts.data & 0xC0) != 0x80)), texts.cuts(), texts.owner[no]
+    from_word, from_point, from_cut = texts.words[own], points[texts.starts[own]], np.searchsorted(cut, texts.words)[own]
+    end = np.minimum(last + words, np.append(texts.words[1:], len(begins))[own] - 1)  # the next text's cuts are not its own
+    return (own, no - from_word, last - from_word, points[begins[no]] - from_point, points[ends[last + words - 1]] - from_point,
+            np.searchsorted(cut, no) - from_cut, np.searchsorted(cut, end, "right") - from_cut, digest, least)
 
 
 def _who(doc_id: str, row: Column) -> Column:
@@ -169,23 +208,13 @@ def group_table(known: DataFrame, min_words: int) -> DataFrame:
     """One row per group of windows (GROUP_FIELDS); span holds its first window and how many follow."""
     names = [x.split()[0] for x in GROUP_FIELDS.split(", ")]
 
-    def frame(keys: list[tuple[int, int]], parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-        first, last, core, extent = (np.concatenate(x) for x in zip(*parts, strict=True))
-        own = np.repeat(np.array(keys, np.int64), [len(p[0]) for p in parts], axis=0)
-        return pd.DataFrame(dict(zip(names, (own[:, 0], own[:, 1], first << 32 | last - first, core, extent), strict=True)))
-
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, parts, rows = [], [], 0
-            for who, row, value in zip(batch["who"].tolist(), batch["row"].tolist(), batch["text"].tolist(), strict=True):
-                parts.append(groups(value, min_words))
-                keys.append((who, row))
-                rows += len(parts[-1][0])
-                if rows > 100_000:
-                    yield frame(keys, parts)
-                    keys, parts, rows = [], [], 0
-            if parts:
-                yield frame(keys, parts)
+            who, row = batch["who"].to_numpy(), batch["row"].to_numpy()
+            for at, texts in joined(batch["text"].tolist()):
+                own, first, last, core, extent = groups(texts, min_words)
+                values = who[at + own], row[at + own], first << 32 | last - first, core, extent
+                yield pd.DataFrame(dict(zip(names, values, strict=True)))
 
     return known.mapInPandas(of, GROUP_FIELDS)
 
@@ -198,7 +227,7 @@ def _holders(table: DataFrame, digest: str, *more: Column) -> DataFrame:
 
 def piece_table(known: DataFrame, min_words: int) -> DataFrame:
     """One row per run of windows that others share and per window to be compared (PIECE_FIELDS)."""
-    table = group_table(known, min_words)
+    table = stored(group_table(known, min_words), "groups")
     cores = _holders(table, "core", F.min("extent").alias("one"), F.max("extent").alias("other")).select(
         "core", F.when(F.col("one") == F.col("other"), F.col("least")).otherwise(F.lit(-1)).alias("least"))
     flagged = table.select("who", "row", "span", "core").join(cores, "core").groupBy("who", "row").agg(
@@ -207,14 +236,19 @@ def piece_table(known: DataFrame, min_words: int) -> DataFrame:
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for who, row, value, flagged in zip(batch["who"], batch["row"], batch["text"], batch["flagged"], strict=True):
-                spans = {f["span"] >> 32: ((f["span"] >> 32) + (f["span"] & 0x7FFFFFFF), f["least"]) for f in flagged}
-                found = pieces(value, spans, min_words)
-                for i in range(0, len(found[0]), 100_000):
-                    part = [x[i : i + 100_000] for x in found]
-                    yield pd.DataFrame({"who": who, "row": row, **dict(zip(names[2:], part, strict=True))})
-
-    return known.join(flagged, ["who", "row"]).mapInPandas(of, PIECE_FIELDS)
+            who, row, spans, leasts = (batch[c].to_numpy() for c in ("who", "row", "span", "least"))
+            for at, texts in joined(batch["text"].tolist()):
+                mine = slice(at, at + len(texts.starts))
+                own = np.repeat(np.arange(len(texts.starts)), [len(x) for x in spans[mine]])
+                found = pieces(texts, own, np.concatenate(spans[mine]), np.concatenate(leasts[mine]), min_words)
+                for i in range(0, len(own := found[0]), 100_000):
+                    part = slice(i, i + 100_000)
+                    values = who[at + own[part]], row[at + own[part]], *(x[part] for x in found[1:])
+                    yield pd.DataFrame(dict(zip(names, values, strict=True)))
+
+    both = known.join(flagged, ["who", "row"]).select(
+        "who", "row", "text", F.col("flagged.span").alias("span"), F.col("flagged.least").alias("least"))
+    return both.mapInPandas(of, PIECE_FIELDS)
 
 
 def _spans(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFrame:

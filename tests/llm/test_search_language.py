@@ -221,3 +221,31 @@ def test_few_windows_of_copies_are_compared_one_by_one_and_spans_equal_brute_for
     copies = spark.createDataFrame([(i, " ".join(docs[0])) for i in range(50)], "doc_id long, text string")
     table = substrings.piece_table(substrings._known(copies, "text", "doc_id"), 51).collect()
     assert len(table) == 50 and {(r.no, r.last, r.least) for r in table} == {(0, 249, 0)}
+
+
+def test_texts_joined_for_numpy_give_the_windows_of_each_alone(monkeypatch):
+    rng = random.Random(9)
+    texts = ["", " ", "x " * 50, "x " * 51, "0 " * 300, "é 中 🙂 " * 60, " é" * 51]
+    texts += [" ".join(rng.choice(["a", "b", "ÿ"]) for _ in range(rng.randrange(45, 200))) for _ in range(60)]
+    rng.shuffle(texts)
+
+    def found(several):
+        rows = set()
+        for at, joined in substrings.joined(several):
+            own, first, last, core, extent = substrings.groups(joined)
+            least = np.where(first % 3 == 0, -1, first % 5)
+            some = substrings.pieces(joined, own, first << 32 | last - first, least)
+            rows |= {(texts.index(several[at + i]), *x) for i, *x in zip(*(c.tolist() for c in (own, first, last, core, extent)))}
+            rows |= {(texts.index(several[at + i]), *x) for i, *x in zip(*(c.tolist() for c in some))}
+        return rows
+
+    alone = set().union(*(found([t]) for t in texts))
+    assert found(texts) == alone
+    monkeypatch.setattr(substrings, "TOGETHER", 1000)
+    assert found(texts) == alone
+
+
+def test_windows_are_grouped_in_one_pass_over_the_texts(spark):
+    docs = spark.createDataFrame([(1, "a " * 60), (2, "a " * 70)], "doc_id long, text string")
+    plan = substrings.piece_table(substrings._known(docs, "text", "doc_id"), 51)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
