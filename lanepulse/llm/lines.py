@@ -26,6 +26,7 @@ give empty results.
 
 import json
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,12 +77,11 @@ def word_frequencies(docs: DataFrame, text: str = "text") -> Column:
     return F.from_json(F.lit(json.dumps(scale, separators=(",", ":"))), "array<int>")
 
 
-def _parity(half: int) -> Column:
-    """64 of 128 bits: each word of `w` flips the bit that its last seven bits name."""
-    one = F.lit(1).cast("long")
-    return F.aggregate("w", F.lit(0).cast("long"), lambda bits, w: F.when(
-        w.bitwiseAND(F.lit(64)) == half,
-        bits.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int")))).otherwise(bits))
+def _parity(flips: Callable[[Column], Column]) -> Column:
+    """64 bits: each word of `w` for which `flips` is one, not zero, flips the bit that its last six bits name."""
+    name = lambda w: w.bitwiseAND(F.lit(63)).cast("int")
+    return F.aggregate("w", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(
+        F.call_function("shiftleft", flips(w), name(w))))
 
 
 def line_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -89,16 +89,19 @@ def line_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     often = word_frequencies(docs, text)
     # A filter on the number of words would be pushed down and split every line a second time.
     lines = _placed_lines(docs, text, doc_id).where(F.col("line").rlike(WORD))
-    hashed = lines.select("d", "place", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("w"))
+    # Numbers are told apart faster than words.
+    hashed = lines.select("d", "place", F.array_remove(F.array_distinct(
+        F.transform(_split(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))).alias("w"))
     least = lambda mask: F.array_min(F.transform("w", lambda w: w.bitwiseXOR(F.lit(mask))))
-    bands = F.array(*[F.xxhash64(F.lit(i), least(a), least(b)) for i, (a, b) in enumerate(LEAD_MASKS)])
+    bands = F.array(*[F.hash(F.lit(i), least(a), least(b)) for i, (a, b) in enumerate(LEAD_MASKS)])
     ranked = hashed.select("d", "place", bands.alias("bands"), F.sort_array(F.transform("w", lambda w: (
         F.get(often, F.pmod(w, F.lit(BUCKETS)).cast("int")) * F.lit(1 << 43) + w.bitwiseAND(F.lit((1 << 43) - 1))
     ))).alias("w"))
     n = F.size("w")
     return ranked.select(
         "d", "place", F.xxhash64("w").alias("k"), F.hash("w").alias("k2"), n.alias("n"),
-        _parity(0).alias("low"), _parity(64).alias("high"), "bands",
+        _parity(lambda w: F.lit(1).cast("long")).alias("low"),
+        _parity(lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(1).cast("long"))).alias("high"), "bands",
         F.transform(F.slice("w", 1, n - F.floor((4 * n + 4) / 5).cast("int") + 1), lambda w: F.hash(w)).alias("prefix"))
 
 
@@ -106,7 +109,8 @@ def _can_match(x: str, y: str) -> Column:
     """Length, positional and parity filters for two exploded prefix rows."""
     return F.expr(
         "5 * least({nx}, {ny}) >= 4 * greatest({nx}, {ny})"
-        " AND 9 * (bit_count({x}.low ^ {y}.low) + bit_count({x}.high ^ {y}.high)) <= {nx} + {ny}"
+        # Some words flip a bit of `high` too; what is left of `low` are 64 further bits.
+        " AND 9 * (bit_count({x}.low ^ {y}.low ^ {x}.high ^ {y}.high) + bit_count({x}.high ^ {y}.high)) <= {nx} + {ny}"
         " AND 9 * least({nx} - {ix}, {ny} - {iy}) >= 4 * ({nx} + {ny})".format(
             x=x, y=y, nx=f"shiftright({x}.ni, 32)", ny=f"shiftright({y}.ni, 32)",
             ix=f"({x}.ni & 2147483647)", iy=f"({y}.ni & 2147483647)"))
@@ -139,9 +143,9 @@ def matched_sets(sets: DataFrame, docs: DataFrame, text: str = "text", doc_id: s
     fields = [F.col("d"), F.col("place"), F.col("low"), F.col("high")]
     packed = lambda i: (F.shiftleft(F.col("n").cast("long"), 32) + i).alias("ni")
 
-    keys = F.concat(F.slice(F.array_sort("prefix"), 1, LEAD_WORDS).cast("array<bigint>"), "bands")
+    keys = F.concat(F.slice(F.array_sort("prefix"), 1, LEAD_WORDS), "bands")
     lead = large.select(*fields, "n", "prefix", F.explode(keys).alias("t")).select(
-        *fields, "t", packed(F.greatest(F.array_position(F.col("prefix").cast("array<bigint>"), F.col("t")) - 1, F.lit(0))))
+        *fields, "t", packed(F.greatest(F.array_position(F.col("prefix"), F.col("t")) - 1, F.lit(0))))
     first = lead.groupBy("t").agg(F.min(F.struct("d", "place", "low", "high", "ni")).alias("f")).select("t", "f.*")
     near = lead.alias("y").join(first.alias("x"), "t").where(_earlier("x", "y") & _can_match("x", "y")).selectExpr(*PAIR)
     settled = held(_verified(near.distinct(), docs, text, doc_id))

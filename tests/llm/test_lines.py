@@ -95,3 +95,19 @@ def test_near_copies_share_leads(spark):
     assert all(len(r.bands) == len(set(r.bands)) == len(lines.LEAD_MASKS) for r in rows)
     first = rows[0].bands
     assert sum(any(a == b for a, b in zip(first, r.bands, strict=True)) for r in rows) >= 25
+
+
+def test_sets_are_small_numbers_whose_parities_bound_the_difference(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    texts = ["\n".join(" ".join(rng.sample(words, rng.randrange(1, 40))) for _ in range(8)) for _ in range(8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = lines.line_sets(df)
+    assert sets.schema["bands"].dataType.elementType.simpleString() == "int"
+    of = {(i, k): set(line.split(" ")) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n"))}
+    rows = [(of[r.d, r.place >> 31], r) for r in sets.collect()]
+    assert len(rows) == 64 and all(len(w) == r.n for w, r in rows)
+    for a, x in rows:
+        for b, y in rows:
+            low, high = ((x[side] ^ y[side]) & (1 << 64) - 1 for side in ("low", "high"))
+            assert (low ^ high).bit_count() + high.bit_count() <= len(a ^ b)
