@@ -19,6 +19,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lanepulse-{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table at a `new_path` that its job has read for the last time."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written below the shared folder and read back, so that it is computed once."""
     path = new_path(df.sparkSession, name)

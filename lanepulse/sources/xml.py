@@ -22,6 +22,8 @@ OPTIONS = {
     "ignoreSurroundingSpaces": "true",
     "pathGlobFilter": "*.xml",
 }
+PLAIN = OPTIONS["pathGlobFilter"]
+PACKED = "*.{xml,xml.gz}"
 
 
 def _with_corrupt(schema: T.StructType) -> T.StructType:
@@ -56,13 +58,15 @@ def _elements(raw: DataFrame, tag: str, schema: T.StructType, **options) -> Data
         "source_file")
 
 
-def _text(reader, tag: str):
-    return reader.format("text").option("lineSep", f"</{tag}>").option("pathGlobFilter", OPTIONS["pathGlobFilter"])
+def _text(reader, tag: str, files: str = PLAIN):
+    return reader.format("text").option("lineSep", f"</{tag}>").option("pathGlobFilter", files)
 
 
-def read_documents(spark: SparkSession, *paths: str) -> DataFrame:
-    """One row per reading document, nested, leaves as text, with the file's name."""
-    return _elements(_text(spark.read, ROW_TAG).load(list(paths)), ROW_TAG, schemas.READING_DOCUMENT)
+def read_documents(spark: SparkSession, *paths: str, files: str = PLAIN) -> DataFrame:
+    """One row per reading document, nested, leaves as text, with the file's name. `files` names
+    those to read of a folder; PACKED takes gzip files too. One task reads a whole gzip file, and
+    one that cannot be unpacked to its end fails the read."""
+    return _elements(_text(spark.read, ROW_TAG, files).load(list(paths)), ROW_TAG, schemas.READING_DOCUMENT)
 
 
 def stream_documents(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:

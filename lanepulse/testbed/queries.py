@@ -150,11 +150,15 @@ TYPED = (
 )
 
 
-def _xml_files(spark, sf_dir) -> str:
+# Fixed value: documents of a packed file. One task reads a whole gzip file, here some 15 MB of XML.
+PACKED_DOCUMENTS = 10_000
+
+
+def _xml_files(spark, sf_dir, **options) -> str:
     """The documents as XML files in the shared folder."""
     path = shared.new_path(spark, "xml")
     rows = documents.documents(spark, sf_dir)
-    rows.write.format("xml").option("rowTag", xml.ROW_TAG).option("rootTag", "readings").save(path)
+    rows.write.format("xml").option("rowTag", xml.ROW_TAG).option("rootTag", "readings").options(**options).save(path)
     return path
 
 
@@ -191,16 +195,17 @@ def xml_split_readings(spark, sf_dir):
 
 
 def ingested_folder(spark, sf_dir):
-    """Rows and files of one folder's ingest, good and quarantined."""
+    """Rows and files of one folder's ingest, good and quarantined. The folder holds its documents
+    in gzip files: plain, their XML takes some 70 times the space of the events."""
     table, quarantine = shared.new_path(spark, "table"), shared.new_path(spark, "quarantine")
-    folder = _xml_files(spark, sf_dir)
+    folder = _xml_files(spark, sf_dir, compression="gzip", maxRecordsPerFile=PACKED_DOCUMENTS)
     # Two files that are no readable documents: cut short within a tag, and not XML.
     cut_short = f"<{xml.ROW_TAG}><date>2024-01-01</date><periods><period></{xml.ROW_TAG}>"
     for broken in (cut_short, f"<{xml.ROW_TAG}>< & ></{xml.ROW_TAG}>"):
         spark.createDataFrame([(broken,)], "value string").write.mode("append").option("extension", "xml").csv(folder)
     places = ingest.canonical_locations(documents.detector_locations(spark, sf_dir))
     for _ in range(2):  # a rerun of the unit leaves its rows once
-        ingest_folder(spark, folder, places, table, quarantine, "folder-1")
+        ingest_folder(spark, folder, places, table, quarantine, "folder-1", xml.PACKED)
     bad = spark.read.schema(f"{xml.CORRUPT} string, source_file string").parquet(quarantine)
     return spark.read.parquet(table).agg(
         F.count(F.lit(1)).alias("good_rows"), (F.countDistinct("source_file") > 0).alias("has_files"),

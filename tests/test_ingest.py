@@ -1,13 +1,18 @@
 """Reading files, flattening, locations, quarantine, incremental ingest."""
 
+import gzip
+import os
+
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from conftest import rows
 from lanepulse.operators import ingest, quality
-from lanepulse.sources import xml
+from lanepulse.plans.ingest_folder import ingest_folder
+from lanepulse.sources import shared, xml
 from lanepulse.streaming.ingest import ingest_batch, ingest_new_files
-from lanepulse.testbed import tables
+from lanepulse.testbed import queries, tables
 
 
 def lane(name, speed, valid="Y", sd="1.5", p=""):
@@ -280,3 +285,54 @@ def test_a_repeated_batch_leaves_its_rows_once(spark, folder, locations, tmp_pat
     for number in (0, 1, 1):
         ingest_batch(docs, locations, number, str(tmp_path / "t"), str(tmp_path / "q"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 10
+
+
+@pytest.fixture
+def shared_folder(tmp_path_factory, monkeypatch):
+    path = tmp_path_factory.mktemp("shared")
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: str(path))
+    return path
+
+
+def test_a_folders_ingest_leaves_no_parsed_documents(spark, folder, locations, shared_folder):
+    path, out = folder(a=GOOD, b=GOOD[:200]), (str(shared_folder / "t"), str(shared_folder / "q"))
+    for _ in range(2):
+        ingest_folder(spark, path, locations, *out, "u")
+        assert sorted(os.listdir(shared_folder)) == ["q", "t"]
+    assert spark.read.parquet(out[0]).count() == 5
+    assert [r.source_file for r in spark.read.parquet(out[1]).collect()] == ["20250826-b-rawSpeedVol-all.xml"]
+    with pytest.raises(AnalysisException):
+        ingest_folder(spark, path, locations.drop("AID_ID_Number"), *out, "u")
+    assert sorted(os.listdir(shared_folder)) == ["q", "t"]
+
+
+def test_gzip_files_are_read_where_asked_for(spark, folder, locations, tmp_path, shared_folder):
+    path, out = folder(a=GOOD), (str(shared_folder / "t"), str(shared_folder / "q"))
+    for name, text in {"b": GOOD + GOOD.split("?>")[1], "c": GOOD[:200]}.items():
+        (tmp_path / f"{name}.xml.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "d.txt").write_text(GOOD)
+    assert xml.read_documents(spark, path).count() == 1
+    ingest_folder(spark, path, locations, *out, "u", xml.PACKED)
+    found = spark.read.parquet(out[0])
+    plain = flat(spark, path)[0].drop("source_file")
+    assert rows(found.select(plain.columns)) == sorted(rows(plain) * 3, key=repr)
+    assert [r.source_file for r in spark.read.parquet(out[1]).collect()] == ["c.xml.gz"]
+
+
+def test_the_ingested_folder_is_small(spark, tmp_path, shared_folder, monkeypatch):
+    """Its files are packed and of a bounded number of documents; nothing parsed stays behind."""
+    monkeypatch.setattr(queries, "PACKED_DOCUMENTS", 100, raising=False)
+    sf_dir = str(tmp_path / "in")
+    spark.range(450).selectExpr(
+        "id AS event_id", "id % 7 AS user_id", "timestamp_ntz'2024-01-31 23:50:00' + make_interval(0, 0, 0, 0, 0, id) AS ts",
+        "'click' AS event_type", "id * 0.25D AS value", "concat('{\"k\": ', id % 100, '}') AS props",
+    ).coalesce(1).write.parquet(f"{sf_dir}/events.parquet")
+    spark.range(5).selectExpr("id AS s_suppkey", "cast(id AS int) AS s_nationkey").write.parquet(f"{sf_dir}/supplier.parquet")
+    lanes = sum((1 + (i % 5 == 0)) * (1 + (i % 3 == 0) + (i % 4 == 0)) for i in range(450))
+    assert rows(queries.ingested_folder(spark, sf_dir)) == [(lanes, True, 2)]
+    kept = os.listdir(shared_folder)
+    assert sorted(name.split("-")[1] for name in kept) == ["quarantine", "table", "xml"]
+    files = [f for name in kept if "-xml-" in name for f in (shared_folder / name).glob("*.gz")]
+    texts = [gzip.decompress(f.read_bytes()).decode() for f in files]
+    assert sorted(text.count(f"<{xml.ROW_TAG}>") for text in texts) == [50, 100, 100, 100, 100]
+    assert sum(f.stat().st_size for f in files) < sum(map(len, texts)) / 10
